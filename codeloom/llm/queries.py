@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, decontaminate, planes, shared, sharding
+from codeloom.llm import chat, decontaminate, neardup, planes, shared, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_tokens(planes.write_tokens(table(spark, sf_dir, "documents"), encoder))
 
 
+def held_out(remainder: int):
+    """Whether CRC-32 of a row's doc_id as text leaves ``remainder`` when divided by 5 (null ids: no)."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == remainder, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels").where(~held_out(0)))
+    return toxicity.score(documents, model).select("doc_id", held_out(0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = r"\\### Assistant: </turn> ok"
     more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{says}'), (-7L, 1L, 'assistant', '{says}') AS t(conv_id, turn, role, text)")
@@ -30,6 +41,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -39,8 +54,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bit_planes": op2_bit_planes,
+    "op3_toxicity": op3_toxicity,
     "op4_chat_windows": op4_chat_windows,
     "op7_decontamination": op7_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_sharding": op10_sharding,
 }
 
