@@ -182,42 +182,62 @@ def read_tokens(files: DataFrame) -> DataFrame:
     return files.repartitionById(parts, (F.col("part") % parts).cast("int")).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+#: The printable characters that stand for bytes in byte-level vocabularies: visible ones for themselves, the rest in order from 256.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - _VISIBLE))}
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer of the ``tokenizers`` library that never looks across white space.
 
     The library is asked once for each word; its answers are kept for the
-    texts that follow, up to a fixed number of words.
+    texts that follow, in two generations of a fixed number of words.
     """
 
-    KEPT = 700_000
+    KEPT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
+        base = word[:-1]
+        if word[-1:] in (b".", b",") and base and base[-1] >= 97 and base[-1] <= 122:
+            # A letter and a mark are always two pieces for the pre-tokenizer.
+            return self._known(base) + self._known(word[-1:])
         text = word.decode()
-        if text.isascii() and text.isalpha():
-            # One piece for the pre-tokenizer, and no letter that it would map: only the merges are left to do.
-            ids = [x.id for x in self.tokenizer.model.tokenize(text.lower())]
+        low = text.lower()
+        if low.isalpha() and max(text) < "\u0250" and max(low) < "\u0250":
+            # One piece, in normal form already: only the merges are left to do.
+            plain = low if low.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, low.encode()))
+            ids = [x.id for x in self.tokenizer.model.tokenize(plain)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _known(self, word: bytes) -> bytes:
+        ids = self.kept.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._word(word)
+            if len(self.kept) >= self.KEPT:
+                self.kept, self.older = {}, self.kept
+            self.kept[word] = ids
+        return ids
 
     def __call__(self, texts: list[bytes], end: int | None = None) -> Iterator[np.ndarray]:
         last = b"" if end is None else struct.pack("<I", end)
         for text in texts:
-            if len(self.kept) > self.KEPT:
-                self.kept.clear()
-            kept, out = self.kept, []
-            for word in text.split():
-                ids = kept.get(word)
-                if ids is None:
-                    ids = kept[word] = self._word(word)
-                out.append(ids)
-            yield np.frombuffer(b"".join(out) + last, "<u4")
+            # Letter case is lost anyway; only the special strings, if any, tell it apart.
+            own = text.split() if b"<|" in text else text.translate(words.LOWER).split()
+            got = list(map(self.kept.get, own))
+            if None in got:
+                got = [self._known(w) if ids is None else ids for w, ids in zip(own, got, strict=True)]
+            yield np.frombuffer(b"".join(got) + last, "<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}

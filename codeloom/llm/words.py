@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z; what is neither digit, letter nor part of a longer UTF-8 sequence becomes a space.
 _ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -19,7 +19,7 @@ BLOCK_BYTES = 4 << 20
 
 def space_words(text: bytes) -> list[bytes]:
     """A-Z lower-cased, split at space and the control characters 9 to 13."""
-    return text.translate(_LOWER).split()
+    return text.translate(LOWER).split()
 
 
 def alnum_words(text: bytes) -> list[bytes]:

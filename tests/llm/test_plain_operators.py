@@ -99,7 +99,7 @@ def test_plane_files(tmp_path, bits):
     assert reader.span(65_000, 140_001).tolist() == whole[65_000:140_001].tolist()
 
 
-ODD = [None, "", " ", "<|endoftext|> a<|startoftext|>b < |", "It's don't WE'LL x'S 's", "ΑΣ ΑΣ.", "́x ́y", "a\x1cb \x85c d", "İstanbul ǅ ½ ² ٣", "日本語 🙂🙂 x", "ﬁ Å ª º", "word " * 3000]
+ODD = [None, "", " ", "<|endoftext|> a<|startoftext|>b < |", "<|ENDOFTEXT|> A.. b., c.d .e, Ñé. Œuvre, naïve,", "It's don't WE'LL x'S 's", "ΑΣ ΑΣ.", "́x ́y", "a\x1cb \x85c d", "İstanbul ǅ ½ ² ٣", "日本語 🙂🙂 x", "ﬁ Å ª º", "word " * 3000]
 
 
 def test_word_encoder_equals_library(spark, sf_dir):
