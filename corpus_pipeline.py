@@ -1,12 +1,54 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread before the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread before the next."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from codeloom.llm import decontaminate, neardup, pieces, quality, shared, toxicity
+from codeloom.llm.queries import held_out, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, with what is known of their sites, accepts."""
+    labels = table(spark, sf_dir, "labels")
+    return quality.keep_good(docs, labels, quality.learn(docs, labels))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.remove_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out(0))))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates (five words, similarity of 0.8)."""
+    return neardup.keep_first(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's pieces, encoded and decoded again, as counts and digests."""
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmarks),
+    ("sentencepiece", encoded),
+]
+
+#: SQL can express neither the fitted models nor the encoding; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = shared.save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
