@@ -1,11 +1,387 @@
-"""All registered queries of the graph engine and their SQL."""
+"""All registered queries of the graph engine, each beside the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom import schema
+from codeloom.functions import names
+from codeloom.operators import filters, graph, joins, rollups, trees
+from codeloom.plans import sample, scan, testbed
+from codeloom.plans.testbed import EDGES, NODES, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Point reads, filters, projections
+
+
+@query(f"WITH {NODES} SELECT id, node_type, name FROM nodes WHERE id = 'customer/7'")
+def s6_point_get(spark, d):
+    return filters.get(testbed.nodes(spark, d), "customer/7")
+
+
+@query(f"WITH {EDGES} SELECT id, edge_type, from_id, to_id FROM edges WHERE id = 'contains/orders/77'")
+def s7_edge_get(spark, d):
+    return filters.get(testbed.edges(spark, d, "contains"), "contains/orders/77")
+
+
+@query(f"WITH {NODES} SELECT node_type, count(*) AS n FROM nodes GROUP BY node_type")
+def s8_full_scan(spark, d):
+    return filters.find(testbed.nodes(spark, d)).groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey = 3 GROUP BY c_mktsegment")
+def s9_sql_passthrough(spark, d):
+    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM {c} WHERE c_nationkey = :key GROUP BY c_mktsegment", args={"key": 3}, c=table(spark, d, "customer"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def f1_filter_eq(spark, d):
+    return filters.find(table(spark, d, "orders"), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}).select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH {EDGES} SELECT from_id, to_id FROM edges WHERE edge_type = 'calls' AND from_id = 'orders/5'")
+def f2_edge_filter(spark, d):
+    return filters.find(testbed.edges(spark, d, "calls"), {"from_id": "orders/5"}).select("from_id", "to_id")
+
+
+@query(f"WITH {NODES} SELECT id, name FROM nodes WHERE node_type = 'file' ORDER BY id LIMIT 1")
+def f3_find_one(spark, d):
+    return filters.find_one(testbed.nodes(spark, d), {"node_type": "file"}).select("id", "name")
+
+
+@query(f"WITH {NODES} SELECT id, name FROM nodes WHERE node_type = 'project'")
+def f5_all_projects(spark, d):
+    return filters.of_type(testbed.nodes(spark, d), "project").select("id", "name")
+
+
+@query("SELECT count(*) AS n FROM (SELECT 1 FROM lineitem LIMIT 100)")
+def o1_limit(spark, d):
+    return filters.find(table(spark, d, "lineitem"), limit=100).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'customer/' || c_custkey AS id, 'nation/' || c_nationkey || '/' AS path, c_name AS name, 'nation/' || c_nationkey || '/' || c_name AS absolute_path FROM customer")
+def f9_node_view(spark, d):
+    rows = table(spark, d, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("id"), F.lit("file").alias("node_type"), F.col("c_name").alias("name"), F.col("c_name").alias("qname"), F.concat(F.lit("nation/"), "c_nationkey", F.lit("/")).alias("path"))
+    return filters.node_view(rows).select("id", "path", "name", "absolute_path")
+
+
+@query(f"WITH {EDGES} SELECT to_id AS _id, from_id AS _from FROM edges WHERE edge_type = 'contains' AND from_id = 'nation/3'")
+def f11_external_names(spark, d):
+    rows = filters.find(testbed.edges(spark, d, "contains"), {"from_id": "nation/3"}).select(F.col("to_id").alias("id"), "from_id")
+    return filters.to_external(rows)
+
+
+# Joins
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT n.id, n.name FROM edges e JOIN nodes n ON e.to_id = n.id WHERE e.edge_type = 'contains' AND e.from_id = 'nation/3'")
+def j1_out(spark, d):
+    return joins.neighbours(testbed.edges(spark, d, "contains"), testbed.nodes(spark, d), "nation/3").select("id", "name")
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT n.id, n.name FROM edges e JOIN nodes n ON e.from_id = n.id WHERE e.edge_type = 'calls' AND e.to_id = 'part/9'")
+def j2_in(spark, d):
+    return joins.neighbours(testbed.edges(spark, d, "calls"), testbed.nodes(spark, d), "part/9", "INBOUND").select("id", "name")
+
+
+@query(f"""WITH {NODES}, {EDGES} SELECT n.id, n.name FROM edges e JOIN nodes n ON e.to_id = n.id WHERE e.edge_type = 'contains' AND e.from_id = 'customer/11'
+    UNION ALL SELECT n.id, n.name FROM edges e JOIN nodes n ON e.from_id = n.id WHERE e.edge_type = 'contains' AND e.to_id = 'customer/11'""")
+def j3_any(spark, d):
+    return joins.neighbours(testbed.edges(spark, d, "contains"), testbed.nodes(spark, d), "customer/11", "ANY").select("id", "name")
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT e.from_id AS start_id, count(*) AS n FROM edges e JOIN nodes n ON e.to_id = n.id WHERE e.edge_type = 'contains' AND n.node_type = 'file' GROUP BY e.from_id")
+def j5_children_by_type(spark, d):
+    e = testbed.edges(spark, d, "contains")
+    return joins.neighbours(e, testbed.nodes(spark, d), e.select(F.col("from_id").alias("start_id")).distinct(), node_type="file").groupBy("start_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, coalesce(max(l_partkey) FILTER (l_linenumber = m), -1) AS part FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) RIGHT JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def j6_symbol_lookup(spark, d):
+    symbols = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("seq"))
+    return joins.look_up(table(spark, d, "orders").select("o_orderkey"), symbols, "o_orderkey", "part").select("o_orderkey", F.coalesce("part", F.lit(-1)).alias("part"))
+
+
+_AS_OF = """SELECT c.event_id, arg_{}(v.event_id, row(v.ts, v.event_id)) AS view_id FROM events c
+    JOIN events v ON v.user_id = c.user_id AND v.event_type = 'view' AND (v.ts, v.event_id) < (c.ts, c.event_id) WHERE c.event_type = 'click' GROUP BY c.event_id"""
+
+
+def _clicks_and_views(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.struct("ts", "event_id").alias("seq"))
+    return e.where("event_type = 'click'").select("event_id", "user_id", "seq"), e.where("event_type = 'view'").select("event_id", "user_id", "seq")
+
+
+@query(_AS_OF.format("max"))
+def j7_asof_binding(spark, d):
+    clicks, views = _clicks_and_views(spark, d)
+    return joins.as_of(clicks, views, ["user_id"], F.col("event_id")).select("event_id", F.col("bound").alias("view_id"))
+
+
+@query(_AS_OF.format("min"))
+def j8_first_import_pos(spark, d):
+    clicks, views = _clicks_and_views(spark, d)
+    return joins.as_of(clicks, views, ["user_id"], F.col("event_id"), F.col("event_id")).select("event_id", F.col("first").alias("view_id"))
+
+
+_RANGES = "ranges AS (SELECT p_brand, p_partkey, p_size AS lo, p_size + p_partkey % 3 AS hi FROM part)"
+
+
+def _ranges(spark, d):
+    return table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("long").alias("lo"), (F.col("p_size") + F.col("p_partkey") % 3).alias("hi"))
+
+
+@query(f"WITH {_RANGES} SELECT i.p_partkey AS inner_key, o.p_partkey AS outer_key FROM ranges i JOIN ranges o ON i.p_brand = o.p_brand AND i.lo >= o.lo AND i.hi <= o.hi WHERE o.hi > o.lo AND i.lo = i.hi")
+def j9_interval_contain(spark, d):
+    r = _ranges(spark, d)
+    return joins.contained(r.where("lo = hi"), r.where("hi > lo"), ["p_brand"], "lo", "hi").select(F.col("p_partkey").alias("inner_key"), F.col("outer_p_partkey").alias("outer_key"))
+
+
+@query(f"WITH {_RANGES} SELECT p_partkey FROM ranges i WHERE lo = hi AND NOT EXISTS (SELECT 1 FROM ranges o WHERE i.p_brand = o.p_brand AND i.lo >= o.lo AND i.hi <= o.hi AND o.hi > o.lo)")
+def j10_anti(spark, d):
+    r = _ranges(spark, d)
+    return joins.contained(r.where("lo = hi"), r.where("hi > lo"), ["p_brand"], "lo", "hi", "left_anti").select("p_partkey")
+
+
+# Dotted names: the reversed host and path of pages are targets, those of every third page are known.
+_NAMES = """targets AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.')), '.') || replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/', '.') AS q FROM pages),
+    known AS (SELECT q FROM targets WHERE page_id % 3 = 0),
+    have AS (SELECT DISTINCT q, array_to_string(list_slice(string_split(q, '.'), 1, i), '.') AS p FROM known, range(1, len(string_split(q, '.')) + 1) r(i)),
+    inside AS (SELECT t.page_id, t.q FROM targets t WHERE t.q IN (SELECT p FROM have)
+        OR EXISTS (SELECT 1 FROM known k WHERE t.q = k.q OR starts_with(t.q, k.q || '.')))"""
+
+
+def _targets(spark, d):
+    host = F.array_join(F.reverse(F.split(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), "[.]")), ".")
+    path = F.replace(F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("/"), F.lit("."))
+    targets = table(spark, d, "pages").select("page_id", F.concat(host, path).alias("q"))
+    return targets, targets.where("page_id % 3 = 0").select(F.col("q").alias("qname"))
+
+
+@query(f"WITH {_NAMES} SELECT page_id, q FROM inside")
+def j12_local_semi(spark, d):
+    return joins.local(*_targets(spark, d), "q")
+
+
+@query(f"WITH {_NAMES} SELECT page_id, q FROM targets WHERE page_id NOT IN (SELECT page_id FROM inside)")
+def j13_external_anti(spark, d):
+    return joins.external(*_targets(spark, d), "q")
+
+
+@query(f"WITH {_NAMES} SELECT page_id, q FROM inside WHERE q NOT IN (SELECT q FROM known)")
+def j14_dropped(spark, d):
+    targets, known = _targets(spark, d)
+    return joins.unresolved(joins.local(targets, known, "q"), known, "q")
+
+
+@query(f"WITH {_NAMES} SELECT page_id, 'package_' || string_split(q, '.')[1] AS package_id FROM targets")
+def j16_package_target(spark, d):
+    targets, _ = _targets(spark, d)
+    packages = targets.select(names.first_part(F.col("q")).alias("qname")).distinct().withColumn("id", names.placeholder_id(F.col("qname")))
+    return joins.package_targets(targets, packages, "q").select("page_id", "package_id")
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT e.to_id AS id, n.name AS file FROM edges e JOIN nodes n ON e.from_id = n.id WHERE e.edge_type = 'contains' AND n.node_type = 'file'")
+def j17_declared_in_file(spark, d):
+    e, n = testbed.edges(spark, d, "contains"), testbed.nodes(spark, d)
+    return joins.neighbours(e, n.select("id", "node_type", F.col("name").alias("file")), e.select(F.col("to_id").alias("start_id")), "INBOUND", "file").select(F.col("start_id").alias("id"), "file")
+
+
+# Traversals and trees
+
+_BELOW = f"""WITH RECURSIVE {EDGES}, below(id, parent_id, depth) AS (
+    SELECT to_id, from_id, 1 FROM edges WHERE edge_type = 'contains' AND from_id = '{{0}}'
+    UNION ALL SELECT e.to_id, e.from_id, depth + 1 FROM below JOIN edges e ON e.edge_type = 'contains' AND e.from_id = below.id WHERE depth < {{1}})"""
+
+
+@query(_BELOW.format("region/0", 10) + " SELECT depth, count(*) AS n FROM below GROUP BY depth")
+def g1_descendants_10(spark, d):
+    return graph.descendants(testbed.edges(spark, d, "contains"), "region/0", max_depth=10).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query(_BELOW.format("region/1", 100) + " SELECT id, parent_id, depth FROM below")
+def g2_descendants_parent(spark, d):
+    return graph.descendants(testbed.edges(spark, d, "contains"), "region/1", max_depth=100).select("id", "parent_id", "depth")
+
+
+_PATHS = "paths AS (SELECT DISTINCT list_filter(string_split(regexp_extract(url, '^[a-z]+://([^?#]+)', 1), '/'), lambda x: x <> '') AS p FROM pages)"
+_TREE = f"""{_PATHS}, steps AS (SELECT array_to_string(list_slice(p, 1, i), '/') AS path, i AS depth, i = len(p) AS leaf, p[i] AS name, array_to_string(list_slice(p, 1, i - 1), '/') AS parent_path
+    FROM paths, range(1, len(p) + 1) r(i)), tree AS (SELECT path, parent_path, name, depth::INTEGER AS depth, min(leaf) AS is_file FROM steps GROUP BY ALL)"""
+
+
+def _tree(spark, d):
+    return trees.tree(table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^?#]+)", 1).alias("path")))
+
+
+@query(f"WITH {_TREE.replace('GROUP BY ALL', 'GROUP BY path, parent_path, name, depth')} SELECT path, parent_path, name, depth, is_file FROM tree")
+def g4_tree_from_paths(spark, d):
+    return _tree(spark, d)
+
+
+@query(f"WITH {_TREE.replace('GROUP BY ALL', 'GROUP BY path, parent_path, name, depth')} SELECT path FROM tree WHERE is_file")
+def g5_tree_files(spark, d):
+    return trees.files(_tree(spark, d)).select("path")
+
+
+@query(f"WITH {_TREE.replace('GROUP BY ALL', 'GROUP BY path, parent_path, name, depth')} SELECT path FROM tree WHERE NOT is_file")
+def g6_tree_folders(spark, d):
+    return trees.folders(_tree(spark, d)).select("path")
+
+
+@query(f"WITH {_TREE.replace('GROUP BY ALL', 'GROUP BY path, parent_path, name, depth')} SELECT repeat('  ', depth - 1) || name || CASE WHEN is_file THEN '' ELSE '/' END AS line FROM tree")
+def g7_tree_lines(spark, d):
+    return trees.lines(_tree(spark, d))
+
+
+@query(f"WITH {_TREE.replace('GROUP BY ALL', 'GROUP BY path, parent_path, name, depth')} SELECT CASE WHEN parent_path = '' THEN '/' ELSE parent_path END AS from_path, path AS to_path FROM tree")
+def g8_tree_edges(spark, d):
+    return _tree(spark, d).select(F.when(F.col("parent_path") == "", "/").otherwise(F.col("parent_path")).alias("from_path"), F.col("path").alias("to_path"))
+
+
+# Aggregations
+
+
+@query(f"""WITH {_NAMES}, firsts AS (SELECT string_split(q, '.')[1] AS base, q, min(page_id) AS s FROM targets GROUP BY ALL)
+    SELECT base, string_agg(q, ',' ORDER BY s, q) AS imported_paths FROM firsts GROUP BY base""")
+def ga1_package_rollup(spark, d):
+    rows = rollups.packages(_targets(spark, d)[0], "q", "page_id")
+    return rows.select("base", F.array_join("imported_paths", ",").alias("imported_paths"))
+
+
+@query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id")
+def ga2_conditional_counts(spark, d):
+    kind = F.col("event_type")
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(kind == "view").alias("views"), F.count_if(kind == "click").alias("clicks"))
+
+
+@query(f"WITH {NODES}, {EDGES} SELECT 'node' AS what, node_type AS type, count(*) AS n FROM nodes GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM edges GROUP BY edge_type")
+def ga3_scan_summary(spark, d):
+    return rollups.scan_summary(testbed.nodes(spark, d), testbed.edges(spark, d))
+
+
+@query(f"""WITH {_NAMES}, u AS (SELECT t.q, i.page_id IS NOT NULL AS l FROM targets t LEFT JOIN inside i ON t.page_id = i.page_id)
+    SELECT count(*) AS total, count(*) FILTER (l) AS local, count(*) FILTER (NOT l) AS external, count(DISTINCT string_split(q, '.')[1]) FILTER (NOT l) AS n_packages,
+        coalesce(string_agg(DISTINCT string_split(q, '.')[1], ',' ORDER BY string_split(q, '.')[1]) FILTER (NOT l), '') AS packages FROM u""")
+def ga4_dep_summary(spark, d):
+    targets, known = _targets(spark, d)
+    uses = joins.local(targets, known, "q").withColumn("is_local", F.lit(True)).unionByName(joins.external(targets, known, "q").withColumn("is_local", F.lit(False)))
+    return rollups.dependency_summary(uses, qname="q").withColumn("packages", F.array_join("packages", ","))
+
+
+@query("SELECT o_custkey AS qname, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS id FROM orders GROUP BY o_custkey")
+def ga6_last_write_wins(spark, d):
+    return joins.latest(table(spark, d, "orders").select(F.col("o_custkey").alias("qname"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("seq")))
+
+
+# Mutations, as the rows that they leave
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, 'new ' || c_name FROM customer WHERE c_custkey % 4 = 0")
+def s12_upsert(spark, d):
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = old.where("id % 4 = 0").select("id", F.concat(F.lit("new "), "name").alias("name"))
+    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_name END AS name, c_nationkey AS nation FROM customer")
+def s13_partial_update(spark, d):
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    new = old.where("id % 4 = 0").select("id", F.lit("new").alias("n"), F.lit(None).cast("int").alias("k"))
+    return old.join(new, "id", "left").select("id", F.coalesce("n", "name").alias("name"), F.coalesce("k", "nation").alias("nation"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0")
+def s15_delete(spark, d):
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return old.join(old.where("id % 4 = 0"), "id", "left_anti")
+
+
+# Scalar functions
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, replace(replace(ltrim(path, '/'), '.py', ''), '/', '.') AS module, string_split(path, '/')[-1] AS name FROM p""")
+def x1_qname(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"))
+    return p.select("page_id", names.module_name(F.col("path")).alias("module"), names.basename(F.col("path")).alias("name"))
+
+
+@query(f"WITH {_NAMES} SELECT page_id, 'package_' || replace(q, '.', '_') AS id FROM targets")
+def x7_placeholder(spark, d):
+    return _targets(spark, d)[0].select("page_id", names.placeholder_id(F.col("q")).alias("id"))
+
+
+@query("SELECT p_partkey, array_to_string(list_append(string_split(p_type, ' '), p_brand), ',') AS parts FROM part")
+def x8_array_append(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(names.append(F.split("p_type", " "), F.col("p_brand")), ",").alias("parts"))
+
+
+@query("SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'view'), -1) AS last_view FROM events GROUP BY user_id")
+def x9_map_lookup(spark, d):
+    last = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last"))
+    maps = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "last"))).alias("m"))
+    return maps.select("user_id", F.coalesce(F.try_element_at("m", F.lit("view")), F.lit(-1).cast("long")).alias("last_view"))
+
+
+@query(f"WITH {_NAMES} SELECT DISTINCT q AS qname FROM known")
+def x10_known_symbols(spark, d):
+    return _targets(spark, d)[1].distinct()
+
+
+@query(f"""WITH {_NAMES} SELECT page_id, CASE WHEN 2 >= len(string_split(q, '.')) THEN '' ELSE array_to_string(list_slice(string_split(q, '.'), 1, len(string_split(q, '.')) - 2), '.') END AS base FROM targets""")
+def a6_relative_base(spark, d):
+    return _targets(spark, d)[0].select("page_id", names.relative_base(F.col("q"), F.lit(2)).alias("base"))
+
+
+# Scans of the sample project, against golden rows
+
+
+def _scanned(spark):
+    rows = [(p, p.replace(".py", "").replace("/", "."), t) for p, t in sample.SOURCES.items()]
+    return scan.scan_sources(spark, sample.PROJECT, spark.createDataFrame(rows, "path string, module string, content string"))
+
+
+@query(f"SELECT node_type, qname, path, coalesce(line_no, -1) AS line_no, coalesce(col_offset, -1) AS col_offset, coalesce(end_line_no, -1) AS end_line_no, coalesce(end_col_offset, -1) AS end_col_offset, imported_paths FROM (VALUES {sample.NODES}) AS t(node_type, qname, path, line_no, col_offset, end_line_no, end_col_offset, imported_paths)")
+def w10_scan_golden_nodes(spark, d):
+    return _scanned(spark).nodes.select("node_type", "qname", "path", *[F.coalesce(f"position.{c}", F.lit(-1)).alias(c) for c in schema.POSITION.names], F.array_join("imported_paths", ",").alias("imported_paths"))
+
+
+@query(f"SELECT * FROM (VALUES {sample.USES}) AS t(consumer, target, target_qname, target_symbol, alias, line_no, col_offset, end_col_offset, import_line)")
+def w10_scan_golden_uses(spark, d):
+    g = _scanned(spark)
+    n = g.nodes.select("id", "qname")
+    e = g.edges.where("edge_type = 'uses_import'").join(n.select(F.col("id").alias("from_id"), F.col("qname").alias("consumer")), "from_id").join(n.select(F.col("id").alias("to_id"), F.col("qname").alias("target")), "to_id")
+    p = F.col("usage_positions")[0]
+    return e.select("consumer", "target", "target_qname", "target_symbol", "alias", p["line_no"].alias("line_no"), p["col_offset"].alias("col_offset"), p["end_col_offset"].alias("end_col_offset"), F.col("import_position.line_no").alias("import_line"))
+
+
+@query("SELECT * FROM (VALUES ('node', 'project', 1), ('node', 'folder', 1), ('node', 'file', 4), ('node', 'class', 3), ('node', 'function', 5), ('node', 'package', 2), ('edge', 'contains', 13), ('edge', 'belongs_to', 15), ('edge', 'uses_import', 9)) AS t(what, type, n)")
+def w10_scan_golden_counts(spark, d):
+    g = _scanned(spark)
+    return rollups.scan_summary(g.nodes, g.edges).withColumn("n", F.col("n").cast("int"))
