@@ -150,45 +150,50 @@ def _flips(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(ODD_WORDS)), F.lit(0))
 
 
-def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Components (node, component) of the classes that have links, by the rounds that the module describes."""
-    most = most_flips(percent / 100)
-    spread = classes.select("digest", "doc_id", *[F.col("odd")[k].alias(f"o{k}") for k in range(ODD_WORDS)], F.explode("bands").alias("bucket"))
+def _links(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components (node, component) of the classes that have links, by the rounds that the module describes.
+
+    ``sketched`` may hold a class more than once: a bucket that only repeats one class is closed at once.
+    """
+    most, odd = most_flips(percent / 100), [f"o{k}" for k in range(ODD_WORDS)]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = spread.repartition(parts, "bucket")
-    shareable = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    live = shared.save(buckets.join(shareable.drop("n"), "bucket", "left_semi"), "buckets")
-    involved = shared.save(live.select("digest", "doc_id").distinct(), "involved")
+    buckets = sketched.select(F.explode("bands").alias("bucket"), "digest").repartition(parts, "bucket")
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    live = shared.save(buckets.join(several.hint("shuffle_hash"), "bucket", "left_semi"), "buckets")
+    nodes = live.select("digest").distinct()
+    known = sketched.select("digest", "doc_id", *[F.col("odd")[k].alias(f"o{k}") for k in range(ODD_WORDS)]).join(nodes.hint("shuffle_hash"), "digest", "left_semi")
+    involved = shared.save(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(o).alias(o) for o in odd]), "involved")
     ids = _few(involved.select(F.col("doc_id").alias("id")).distinct())
     sets = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_set_maker(size), "digest binary, shingles array<long>")
-    sets = shared.save(sets.dropDuplicates(["digest"]).join(_few(involved.select("digest")), "digest", "left_semi"), "sets")
+    sets = shared.save(sets.join(_few(involved.select("digest")), "digest", "left_semi"), "sets")
+    placed_nodes, links, leaders = involved.drop("doc_id").withColumn("component", F.col("digest")), None, 1
     components = involved.select(F.col("digest").alias("node"), F.col("digest").alias("component")).limit(0)
-    links = None
-    leaders = 1
     while True:
-        placed = live.join(components, live["digest"] == components["node"], "left").withColumn("component", F.coalesce("component", "digest")).drop("node")
-        placed = placed.withColumn("slot", F.pmod(F.xxhash64("digest"), F.lit(leaders)))
+        placed = live.join(placed_nodes, "digest")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
+        placed = placed.withColumn("slot", F.pmod(F.xxhash64("digest"), F.lit(leaders)))
         placed = shared.save(placed.join(open_, "bucket", "left_semi"), "placed")
-        if placed.isEmpty():
-            break
-        first = placed.groupBy("bucket", "slot").agg(F.min("digest").alias("leader"))
-        heads = placed.join(first, ["bucket", "slot"]).where(F.col("digest") == F.col("leader"))
-        heads = heads.select("bucket", "leader", F.col("component").alias("leads"), *[F.col(f"o{k}").alias(f"l{k}") for k in range(ODD_WORDS)])
+        first = placed.groupBy("bucket", "slot").agg(F.min_by(F.struct("digest", "component", *odd), "digest").alias("l"))
+        heads = first.select("bucket", F.col("l.digest").alias("leader"), F.col("l.component").alias("leads"), *[F.col(f"l.{o}").alias(f"l{o[1:]}") for o in odd])
+        heads = shared.save(heads, "leaders")
+        if heads.isEmpty():
+            return components
         met = placed.join(heads, "bucket").where((F.col("component") != F.col("leads")) & (_flips("o", "l") <= most))
         pairs = shared.save(met.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct(), "pairs")
         ends = _few(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
         own = sets.join(ends, "digest", "left_semi")
         side = lambda k: own.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        real = both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+        real = both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct()
         real = shared.save(real, "links")
         if not real.isEmpty():
             links = real if links is None else links.unionByName(real)
             components = shared.save(connected_components(links), "components")
-        live = shared.save(placed.join(first, (placed["bucket"] == first["bucket"]) & (placed["digest"] == first["leader"]), "left_anti").drop("component", "slot"), "buckets")
+            own = components.withColumnRenamed("node", "digest")
+            placed_nodes = involved.drop("doc_id").join(own, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        led = (F.col("bucket") == F.col("b")) & (F.col("digest") == F.col("leader"))
+        live = shared.save(placed.select("bucket", "digest").join(heads.select(F.col("bucket").alias("b"), "leader"), led, "left_anti"), "buckets")
         leaders *= 4
-    return components
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -205,7 +210,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     sketched = shared.save(docs.mapInArrow(_sketcher(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"), "sketches")
     full = sketched.where(F.col("digest").isNotNull())
     first = full.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    one = full.join(first, "digest").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first").dropDuplicates(["digest"])
+    one = full.join(first, "digest").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first", "n_shingles")
     components = _links(docs, one, shingle, percent)
     named = first.join(components, first["digest"] == components["node"], "left").select("digest", F.coalesce("component", "digest").alias("component"), "first")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
