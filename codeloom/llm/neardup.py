@@ -1,12 +1,15 @@
 """MinHash near-duplicates with odd sketches, confirmed on full shingle sets.
 
 1. Each document becomes the set of its distinct word shingles, coded in 64 bits, a digest of
-   that set, MinHash samples, and an odd sketch: a bitmap whose bits the samples flip.
+   that set, MinHash samples, and two odd sketches: bitmaps whose bits the samples flip, and
+   whose bits the shingles themselves flip.
 2. Documents of equal sets are one class.  Classes that agree in all samples of a band
    share a bucket; buckets of one class go.
 3. In rounds, each bucket picks leaders, and every class of another component in the bucket
    is paired with them if the odd sketches (XOR, population count) leave the similarity
-   possible.  Pairs are confirmed on the full sets; confirmed links merge components.  A
+   possible: the samples' sketch estimates it for sets of any size, the shingles' never counts
+   more than the sets differ by, and so settles most pairs of short texts.
+   Pairs are confirmed on the full sets; confirmed links merge components.  A
    leader has then met its whole bucket and leaves it, and a bucket of one component is
    done.  Leaders double from round to round, so that any bucket ends after a logarithmic
    number of rounds, with every pair either met or already connected.
@@ -85,6 +88,14 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8).reshape(len(samples), bits), axis=1, bitorder="little").view(np.int64)
 
 
+def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps: each shingle flips one bit, so two sketches differ in no more bits than their sets in shingles."""
+    bits = ODD_WORDS * 64
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) * bits
+    parity = np.bincount(row + (np.concatenate(sets) % np.uint64(bits)).astype(np.int64), minlength=len(sets) * bits) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(len(sets), bits), axis=1, bitorder="little").view(np.int64)
+
+
 def most_flips(threshold: float) -> int:
     """XOR bits beyond which a pair of ``threshold`` similarity is ruled out: over six standard deviations away."""
     k, n = BANDS * ROWS, ODD_WORDS * 64
@@ -100,7 +111,7 @@ def _sketcher(size: int):
             band, odd = [None] * len(sets), [None] * len(sets)
             if full:
                 samples = minhashes([sets[k] for k in full])
-                for k, b, o in zip(full, bands(samples), odd_sketches(samples), strict=True):
+                for k, b, o in zip(full, bands(samples), np.hstack([odd_sketches(samples), set_sketches([sets[k] for k in full])]), strict=True):
                     band[k], odd[k] = b, o
             digest = [xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
@@ -146,8 +157,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _flips(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(ODD_WORDS)), F.lit(0))
+def _flips(a: str, b: str, first: int) -> Column:
+    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(first, first + ODD_WORDS)), F.lit(0))
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches of two sets leave a similarity of ``percent`` possible."""
+    both = F.col(f"{a}n") + F.col(f"{b}n")
+    return (_flips(a, b, 0) <= most_flips(percent / 100)) & ((100 + percent) * _flips(a, b, ODD_WORDS) <= (100 - percent) * both)
 
 
 def _links(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> DataFrame:
@@ -155,13 +172,13 @@ def _links(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> Dat
 
     ``sketched`` may hold a class more than once: a bucket that only repeats one class is closed at once.
     """
-    most, odd = most_flips(percent / 100), [f"o{k}" for k in range(ODD_WORDS)]
+    odd = ["on", *(f"o{k}" for k in range(2 * ODD_WORDS))]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = sketched.select(F.explode("bands").alias("bucket"), "digest").repartition(parts, "bucket")
     several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     live = shared.save(buckets.join(several.hint("shuffle_hash"), "bucket", "left_semi"), "buckets")
     nodes = live.select("digest").distinct()
-    known = sketched.select("digest", "doc_id", *[F.col("odd")[k].alias(f"o{k}") for k in range(ODD_WORDS)]).join(nodes.hint("shuffle_hash"), "digest", "left_semi")
+    known = sketched.select("digest", "doc_id", F.col("n_shingles").alias("on"), *[F.col("odd")[k].alias(f"o{k}") for k in range(2 * ODD_WORDS)]).join(nodes.hint("shuffle_hash"), "digest", "left_semi")
     involved = shared.save(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(o).alias(o) for o in odd]), "involved")
     ids = _few(involved.select(F.col("doc_id").alias("id")).distinct())
     sets = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_set_maker(size), "digest binary, shingles array<long>")
@@ -178,7 +195,7 @@ def _links(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> Dat
         heads = shared.save(heads, "leaders")
         if heads.isEmpty():
             return components
-        met = placed.join(heads, "bucket").where((F.col("component") != F.col("leads")) & (_flips("o", "l") <= most))
+        met = placed.join(heads, "bucket").where((F.col("component") != F.col("leads")) & _possible("o", "l", percent))
         pairs = shared.save(met.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct(), "pairs")
         ends = _few(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
         own = sets.join(ends, "digest", "left_semi")
@@ -210,7 +227,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     sketched = shared.save(docs.mapInArrow(_sketcher(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"), "sketches")
     full = sketched.where(F.col("digest").isNotNull())
     first = full.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    one = full.join(first, "digest").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first", "n_shingles")
+    one = full.join(first, "digest").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first")
     components = _links(docs, one, shingle, percent)
     named = first.join(components, first["digest"] == components["node"], "left").select("digest", F.coalesce("component", "digest").alias("component"), "first")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
