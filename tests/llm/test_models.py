@@ -1,0 +1,194 @@
+"""SentencePiece, toxicity, language model, top-k, quality and the pipeline against brute force, libraries and held-out labels."""
+
+import itertools
+import math
+import re
+import zlib
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from codeloom.llm import lm, pieces, quality, queries, topk, toxicity
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+ODD = [None, "", " ", "\n\n", "a", "  two  spaces ", "▁x", "naïve Œuvre", "日本語 🙂", "x" * 3000, "word " * 5000, "a\tb\r\nc", "</s> <s>", "\x00z"]
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "again"), (4, "a"), (4, "a"), (None, "no id")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_pieces_equal_library(spark, sf_dir, odd_rows):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = odd_rows.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    rows = docs.collect()
+    expect = Counter()
+    for doc, text in rows:
+        ids = library.encode(text or "")
+        expect[doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["n_ids"], r["ids_crc32"]) for r in pieces.digests(docs, MODEL).collect()) == expect
+    assert pieces.digests(docs.limit(0), MODEL).count() == 0
+
+
+def test_pieces_keep_columns_and_decode(spark, odd_rows):
+    encoded = pieces.encode(odd_rows.selectExpr("doc_id", "text", "'x' AS decoded_too"), MODEL)
+    rows = pieces.decode(encoded, MODEL).collect()
+    assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") and r["decoded_too"] == "x" for r in rows)
+    with pytest.raises(ValueError, match="ids"):
+        pieces.encode(odd_rows.selectExpr("doc_id", "text", "1 AS ids"), MODEL)
+
+
+@given(st.text("abc", max_size=25), st.integers(1, 4))
+@settings(max_examples=60, deadline=None)
+def test_streaming_viterbi_is_optimal(text, step):
+    normal = [(p, k + 1, s) for k, (p, s) in enumerate({"a": -2.0, "b": -2.1, "c": -2.5, "ab": -3.1, "bc": -2.2, "abc": -5.3, "caa": -3.3}.items())]
+    own = pieces.Pieces(normal, {}, 0, merges=False, dummy_prefix=False)
+    stream = pieces.Stream(own)
+    ids = list(itertools.chain.from_iterable(stream.feed(text[i : i + step]) for i in range(0, len(text), step))) + stream.finish()
+    score = {k: s for _, k, s in normal}
+    best = [0.0] + [-1e9] * len(text)
+    for end in range(1, len(text) + 1):
+        best[end] = max(best[end - len(p)] + s for p, _, s in normal if text[:end].endswith(p))
+    assert "".join(next(p for p, k, _ in normal if k == i) for i in ids) == text
+    assert sum(score[i] for i in ids) == pytest.approx(best[-1])
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.lists(st.integers(0, 2**64 - 1), max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_elias_fano(values, others):
+    values = np.unique(np.array(values, np.uint64))
+    own = lm.EliasFano(lm.EliasFano.build(values))
+    assert own.get(np.arange(len(values))).tolist() == values.tolist()
+    asked = np.concatenate([values, np.array(others, np.uint64)])
+    assert own.find(asked).tolist() == [int(np.flatnonzero(values == x)[0]) if x in values else -1 for x in asked]
+
+
+def test_language_model_counts_and_probabilities(spark, odd_rows):
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    rows = odd_rows.collect()
+    counts = Counter(w for r in rows for w in [*words(r["text"]), None])
+    n, v = sum(counts.values()), len(counts)
+    model = lm.train(odd_rows)
+    got = lm.score(odd_rows.unionByName(spark.createDataFrame([(77, "unseen two  spaces")], "doc_id long, text string")), model).collect()
+    assert len(got) == len(rows) + 1
+    expect = Counter()
+    for doc, text in [*rows, (77, "unseen two  spaces")]:
+        own = [*words(text), None]
+        expect[doc, len(own), sum(counts[w] > 0 for w in own), n, round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), 4)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == expect
+    assert all(r["score"] <= 0 for r in got)
+    assert lm.score(odd_rows, lm.train(odd_rows.limit(0))).count() == len(rows)
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark, sf_dir):
+    rows = [r for r in queries.op5_language_model(spark, sf_dir).collect() if r["held_out"]]
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def brute_top_k(rows, k, every):
+    keep = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in keep:
+        if q % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in keep if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("stripe", [7, 4096])
+def test_top_k_equals_brute_force(spark, sf_dir, monkeypatch, stripe):
+    monkeypatch.setattr(topk, "STRIPE", stripe)
+    r = np.random.default_rng(2)
+    rows = [(i, r.integers(-3, 4, 4).astype(float).tolist()) for i in range(120)]  # many ties
+    rows += [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [1.0, float("nan"), 0.0, 0.0]), (203, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame([(*x, 9) for x in rows], "vec_id long, embedding array<double>, rank int")
+    got = sorted(map(tuple, topk.top_k(topk.whole(df), k=5, every=10).collect()))
+    assert got == brute_top_k(rows, 5, 10)
+    assert topk.top_k(topk.whole(df.limit(0))).count() == 0
+    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    assert topk.top_k(topk.whole(few)).count() == 2
+
+
+def test_toxicity_learns_sentences_from_document_labels(spark):
+    r = np.random.default_rng(3)
+    plain = [f"word{k}" for k in range(150)]
+    line = lambda bad: " ".join([*r.choice(plain, 8), *(["vilething"] if bad else [])])
+    docs, labels = [], []
+    for i in range(500):
+        bad = i % 3 == 0
+        own = [line(False) for _ in range(6)]
+        if bad:
+            own[i % 6] = line(True)
+        docs.append((i, ". ".join(own), "x"))
+        labels.append((i, int(bad)))
+    docs += [(900, None, "x"), (901, "", "x"), (0, docs[0][1], "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.learn(d.where("doc_id < 400"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = toxicity.score(d, model).collect()
+    assert len(rows) == len(docs)
+    assert sum(x["predicted"] == int(x["doc_id"] % 3 == 0) for x in rows if 400 <= x["doc_id"] < 900) >= 98
+    found = [x for x in rows if x["doc_id"] < 900 and x["predicted"]]
+    assert all("vilething" in x["text"][o["start"] : o["start"] + o["length"]] for x in found for o in x["offending"])
+    assert all(0 <= x["score"] < 0.5 for x in rows if x["doc_id"] >= 900)
+    kept = toxicity.remove_toxic(d.withColumn("score", d["lang"]), model)
+    assert kept.columns == ["doc_id", "text", "lang", "score"] and 0 not in {x["doc_id"] for x in kept.collect()}
+    assert 0 <= toxicity.score(d, toxicity.learn(d.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))).first()["score"] < 0.5
+
+
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    rank, y = np.empty(len(order)), np.array(labels)
+    rank[order] = np.arange(1, len(order) + 1)
+    pos = y.sum()
+    return (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
+
+
+def test_toxicity_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r["toxic"] is not None}
+    rows = [r for r in queries.op3_toxicity(spark, d).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert auc([r["score"] for r in rows], [labels[r["doc_id"]] for r in rows]) > 0.85
+
+
+def test_quality_posteriors_shrink_sparse_sites(spark):
+    docs = [(i, "t", f"https://{'good' if i % 2 else 'bad'}.org/{i % 3}/x", "en") for i in range(300)] + [(900, "t", "https://good.org/new/x", "en"), (901, None, None, None)]
+    labels = [(i, int(i % 2 and i % 10 > 0)) for i in range(300)] + [(900, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    sites = {(r["host"], r["path"]): r for r in quality.site_posteriors(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert sites["bad.org", "0"]["path_rate"] < 0.2 < 0.8 < sites["good.org", "1"]["path_rate"]
+    assert sites["good.org", "new"]["path_rate"] > 0.7  # one label says little against its host
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality.score(d, empty, quality.learn(d, empty)).collect()
+    assert len(rows) == 302 and {r["quality_score"] for r in rows} == {0.5}
+
+
+def test_quality_on_labels(spark):
+    d = "/root/testdata/sf0.01"
+    documents, labels = queries.table(spark, d, "documents"), queries.table(spark, d, "labels")
+    own = quality.score(documents, labels.where(~queries.held_out(0)), quality.learn(documents, labels.where(~queries.held_out(0))), keep=["doc_id"])
+    known = {r["doc_id"]: r["quality"] for r in labels.where(queries.held_out(0)).collect() if r["quality"] is not None}
+    rows = [r for r in own.collect() if r["doc_id"] in known]
+    assert auc([r["quality_score"] for r in rows], [known[r["doc_id"]] for r in rows]) > 0.8
+
+
+def test_pipeline(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents")
+    names, left = docs.columns, {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.shared.save(stage(spark, docs, sf_dir), name)
+        own = [r["doc_id"] for r in docs.collect()]
+        assert docs.columns == names and len(own) == len(set(own)) and set(own) <= left, name
+        left = set(own)
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == left
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["n_ids"] == len(library.encode(texts[r["doc_id"]] or "")) for r in rows)
