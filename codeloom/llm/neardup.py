@@ -141,19 +141,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges are stars.
     """
-    now, sign = shared.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars"), None
+    now = shared.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
+    n, sign = now.count(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = shared.save(large, "stars")
+        large = shared.save(large, "stars", rows=2 * n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = shared.save(small.select("e.u", "e.v").where("u != v").distinct(), "stars")
+        after = shared.save(small.select("e.u", "e.v").where("u != v").distinct(), "stars", rows=2 * n)
+        shared.forget(now, large)
+        now = after
         after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == sign:
             break
-        sign = after
+        n, sign = after[0], after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -177,6 +180,7 @@ def _links(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> Dat
     buckets = sketched.select(F.explode("bands").alias("bucket"), "digest").repartition(parts, "bucket")
     several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     live = shared.save(buckets.join(several.hint("shuffle_hash"), "bucket", "left_semi"), "buckets")
+    n = live.count()
     nodes = live.select("digest").distinct()
     known = sketched.select("digest", "doc_id", F.col("n_shingles").alias("on"), *[F.col("odd")[k].alias(f"o{k}") for k in range(2 * ODD_WORDS)]).join(nodes.hint("shuffle_hash"), "digest", "left_semi")
     involved = shared.save(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(o).alias(o) for o in odd]), "involved")
@@ -189,28 +193,33 @@ def _links(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> Dat
         placed = live.join(placed_nodes, "digest")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
         placed = placed.withColumn("slot", F.pmod(F.xxhash64("digest"), F.lit(leaders)))
-        placed = shared.save(placed.join(open_, "bucket", "left_semi"), "placed")
+        placed = shared.save(placed.join(open_, "bucket", "left_semi"), "placed", rows=n)
+        n = placed.count()
         first = placed.groupBy("bucket", "slot").agg(F.min_by(F.struct("digest", "component", *odd), "digest").alias("l"))
         heads = first.select("bucket", F.col("l.digest").alias("leader"), F.col("l.component").alias("leads"), *[F.col(f"l.{o}").alias(f"l{o[1:]}") for o in odd])
-        heads = shared.save(heads, "leaders")
-        if heads.isEmpty():
+        heads = shared.save(heads, "leaders", rows=n)
+        if not n:
             return components
         met = placed.join(heads, "bucket").where((F.col("component") != F.col("leads")) & _possible("o", "l", percent))
         pairs = shared.save(met.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct(), "pairs")
+        n_pairs = pairs.count()
         ends = _few(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
         own = sets.join(ends, "digest", "left_semi")
         side = lambda k: own.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         real = both.where(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b").distinct()
-        real = shared.save(real, "links")
+        real = shared.save(real, "links", rows=n_pairs, each=2_000)
         if not real.isEmpty():
             links = real if links is None else links.unionByName(real)
-            components = shared.save(connected_components(links), "components")
+            components = shared.save(connected_components(links), "components", rows=2 * links.count())
             own = components.withColumnRenamed("node", "digest")
             placed_nodes = involved.drop("doc_id").join(own, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
         led = (F.col("bucket") == F.col("b")) & (F.col("digest") == F.col("leader"))
-        live = shared.save(placed.select("bucket", "digest").join(heads.select(F.col("bucket").alias("b"), "leader"), led, "left_anti"), "buckets")
-        leaders *= 4
+        left = placed.select("bucket", "digest").join(heads.select(F.col("bucket").alias("b"), "leader"), led, "left_anti")
+        left = shared.save(left, "buckets", rows=n)
+        shared.forget(live, placed, heads, pairs)
+        live = left
+        leaders *= 16
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
