@@ -1,16 +1,17 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The trie's first level holds the words, its second the words seen after a word.
-Each level is a monotone sequence in Elias-Fano form: word codes; running sums of counts;
+The trie's first level holds the words, its second the words seen after a word, its third
+those seen after a word pair; all that the training texts hold is kept.  Each level is a monotone sequence in Elias-Fano form: word codes; running sums of counts;
 pointers from a context to its successors; and successors made monotone by adding their context's
 rank times 2**32, so that a lookup is one successor search relative to its context.
 Discounted probabilities and back-off weights are quantised to one byte each.
 
-Counting: tasks count their documents' words and word pairs, pack the counts by shard (a shard
-holds the contexts of some code remainder), and one task for each shard merges them and
+Counting: tasks count their documents' words, pairs and triples, pack the counts by shard (a shard
+holds the contexts of some code remainder; a pair is a context by a code of its own, so that
+the triples of a common word are spread), and one task for each shard merges them and
 writes its two levels as one file in the shared folder.  Scoring tasks map the files
 into memory, so that only what their queries touch is read, and look up each
-distinct pair of a block once.
+distinct pair and triple of a block once.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from codeloom.llm import shared, words
 #: Codes of the end of a text, a token, and of its beginning, a context only.
 END, BEGIN = np.uint64(0xE4D), np.uint64(0xBE6)
 DISCOUNT = 0.75
-#: Pairs that occur less often in all training texts are left to the back-off.
-LEAST_PAIRS = 2
 #: Steps of log10 that a quantised value counts.
 STEP = 1 / 32
 #: Tokens of a task's texts that are counted before they are sent on.
@@ -71,6 +70,7 @@ class EliasFano:
         self.before = np.frombuffer(data, "<u8", size + 1, at := at + 8 * size)
         self.packed = np.frombuffer(data, "<u8", self.n * low // 64 + 2, at := at + 8 * (size + 1))
         self.end = at + 8 * len(self.packed)
+        self._zeros = None
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -100,31 +100,31 @@ class EliasFano:
         at = word * 64 + self._select_in_word(self.upper[word], i - self.before[word].astype(np.int64))
         return ((at - i).astype(np.uint64) << self.low) | self._lows(i)
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th (from 0) zero: zeros before a word are its bits less its ones."""
+        if self._zeros is None:
+            self._zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before.astype(np.int64)
+        word = np.searchsorted(self._zeros, k, side="right") - 1
+        return word * 64 + self._select_in_word(~self.upper[word], k - self._zeros[word])
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each value in ``x``, or -1; the last equal one counts for none."""
+        """The place of each value in ``x`` (of equal ones, the first), or -1."""
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
         high, low = x >> self.low, x & ((np.uint64(1) << self.low) - np.uint64(1))
-        ask = np.flatnonzero(high <= np.uint64(len(self.upper) * 64))
-        h = high[ask].astype(np.int64)
-        # The bucket begins behind the h-th zero: zeros before a word are its bits less its ones.
-        zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before.astype(np.int64) if not hasattr(self, "_zeros") else self._zeros
-        self._zeros = zeros
-        word = np.maximum(np.searchsorted(zeros, h - 1, side="right") - 1, 0)
-        inside = word < len(self.upper)
-        ask, h, word = ask[inside], h[inside], word[inside]
-        start = np.where(h > 0, word * 64 + self._select_in_word(~self.upper[word], np.maximum(h - 1 - zeros[word], 0)) + 1, 0)
-        place = start
-        while len(ask):
-            live = (place < len(self.upper) * 64) & ((self.upper[np.minimum(place >> 6, len(self.upper) - 1)] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1)
-            ask, h, place = ask[live], h[live], place[live]
-            i = place - h
-            got = self._lows(i)
-            same = got == low[ask]
-            out[ask[same]] = i[same]
-            on = got < low[ask]
-            ask, h, place = ask[on], h[on], place[on] + 1
+        ask = np.flatnonzero(high <= self.get(np.array([self.n - 1]))[0] >> self.low)
+        h, low = high[ask].astype(np.int64), low[ask]
+        # The values with high bits h lie between the zeros h - 1 and h: a binary search of their low bits.
+        first = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0) - h
+        end = stop = self._zero(h) - h
+        while (live := first < stop).any():
+            middle = (first + stop) >> 1
+            less = live & (self._lows(np.minimum(middle, self.n - 1)) < low)
+            first, stop = np.where(less, middle + 1, first), np.where(live & ~less, middle, stop)
+        same = first < end
+        same[same] = self._lows(first[same]) == low[same]
+        out[ask[same]] = first[same]
         return out
 
 
@@ -136,59 +136,44 @@ def quantise(p: np.ndarray) -> np.ndarray:
 _VALUES = 10.0 ** -(np.arange(256) * STEP)
 
 
-class Shard:
-    """The words and pairs whose first word's code leaves one remainder."""
+class Level:
+    """Contexts, pointers to their successors, and the quantised probabilities and back-off weights."""
 
-    HEAD = struct.Struct("<8s5Q")
+    HEAD = struct.Struct("<3Q")
 
     @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, successors: np.ndarray, pairs: np.ndarray) -> tuple[bytes, int, int]:
-        """From sorted words with counts and sorted, distinct pairs with counts: the file, its tokens and words."""
+    def build(contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray) -> bytes:
+        """From sorted, distinct pairs of context and successor with counts."""
         ctx, first, sizes = np.unique(contexts, return_index=True, return_counts=True)
-        totals = np.add.reduceat(pairs, first) if len(ctx) else np.zeros(0, np.int64)
-        kept = pairs >= LEAST_PAIRS
-        p = np.maximum(pairs - DISCOUNT, 0) / np.repeat(totals, sizes)
-        # What the quantised probabilities of the kept pairs leave is the back-off's.
-        codes = quantise(p)
-        mass = np.bincount(np.repeat(np.arange(len(ctx)), sizes)[kept], _VALUES[codes[kept]], len(ctx))
-        over = np.flatnonzero(mass >= 1)
-        if len(over):
-            worse = kept & np.isin(np.repeat(np.arange(len(ctx)), sizes), over) & (codes < 255)
+        totals = np.add.reduceat(counts, first) if len(ctx) else np.zeros(0, np.int64)
+        rank = np.repeat(np.arange(len(ctx)), sizes)
+        codes = quantise((counts - DISCOUNT) / totals[rank])
+        # What the quantised probabilities leave is the back-off's.
+        mass = np.bincount(rank, _VALUES[codes], len(ctx))
+        worse = (mass >= 1)[rank] & (codes < 255)
+        if worse.any():
             codes[worse] += 1
-            mass = np.bincount(np.repeat(np.arange(len(ctx)), sizes)[kept], _VALUES[codes[kept]], len(ctx))
-        n_kept = np.bincount(np.repeat(np.arange(len(ctx)), sizes)[kept], minlength=len(ctx))
-        some = n_kept > 0
-        rank = np.cumsum(some) - 1
-        successor = (np.repeat(rank, sizes)[kept].astype(np.uint64) << np.uint64(32)) | successors[kept].astype(np.uint64)
-        parts = [
-            EliasFano.build(keys), EliasFano.build(np.concatenate([[0], np.cumsum(counts)])),
-            EliasFano.build(ctx[some]), EliasFano.build(np.concatenate([[0], np.cumsum(n_kept[some])])), EliasFano.build(successor),
-        ]
-        at, places = Shard.HEAD.size, []
-        for x in parts:
-            places.append(at)
-            at += len(x)
-        back = quantise(np.maximum(1 - mass[some], 1e-7))
-        return Shard.HEAD.pack(b"CLTRIE01", *places) + b"".join(parts) + codes[kept].tobytes() + back.tobytes(), int(counts.sum()), len(keys)
-
-    def __init__(self, data):
-        _, *at = self.HEAD.unpack_from(data, 0)
-        self.words, self.sums, self.contexts, self.pointers, self.successors = (EliasFano(data, k) for k in at)
+            mass = np.bincount(rank, _VALUES[codes], len(ctx))
+        back = quantise(np.maximum(1 - mass, 1e-7))
+        parts = [EliasFano.build(ctx), EliasFano.build(np.concatenate([[0], np.cumsum(sizes)])), EliasFano.build((rank.astype(np.uint64) << np.uint64(32)) | successors.astype(np.uint64))]
+        places = np.cumsum([Level.HEAD.size, *map(len, parts[:2])]).tolist()
+        out = Level.HEAD.pack(*places) + b"".join(parts) + codes.tobytes() + back.tobytes()
+        return out + bytes(-len(out) % 8)
+
+    def __init__(self, data, at: int):
+        self.contexts, self.pointers, self.successors = (EliasFano(data, at + k) for k in self.HEAD.unpack_from(data, at))
         end = self.successors.end
         self.p = np.frombuffer(data, np.uint8, self.successors.n, end)
         self.back = np.frombuffer(data, np.uint8, self.contexts.n, end + self.successors.n)
 
-    def counts(self, words_: np.ndarray) -> np.ndarray:
-        """How often each word occurs in the training texts."""
-        at = self.words.find(words_)
-        safe = np.maximum(at, 0)
-        if not self.words.n:
-            return np.zeros(len(words_), np.int64)
-        return np.where(at >= 0, (self.sums.get(safe + 1) - self.sums.get(safe)).astype(np.int64), 0)
+    def ask(self, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair, the discounted probability (0 if not held) and the context's back-off weight (1 if not held).
 
-    def pairs(self, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each pair, the discounted probability (0 if not held) and the context's back-off weight (1 if not held)."""
-        rank = self.contexts.find(contexts)
+        Contexts that follow each other are looked up once.
+        """
+        new = np.ones(len(contexts), bool)
+        new[1:] = contexts[1:] != contexts[:-1]
+        rank = self.contexts.find(contexts[new])[np.cumsum(new) - 1]
         seen = rank >= 0
         p, back = np.zeros(len(rank)), np.ones(len(rank))
         back[seen] = _VALUES[self.back[rank[seen]]]
@@ -197,6 +182,32 @@ class Shard:
         return p, back
 
 
+class Shard:
+    """The words whose code leaves one remainder, and the pairs and triples whose context's code does."""
+
+    HEAD = struct.Struct("<8s4Q")
+
+    @staticmethod
+    def build(keys: np.ndarray, counts: np.ndarray, *levels: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[bytes, int, int]:
+        """From sorted words with counts and, for each level, sorted, distinct pairs with counts: the file, its tokens and words."""
+        parts = [EliasFano.build(keys), EliasFano.build(np.concatenate([[0], np.cumsum(counts)])), *(Level.build(*x) for x in levels)]
+        places = np.cumsum([Shard.HEAD.size, *map(len, parts[:-1])]).tolist()
+        return Shard.HEAD.pack(b"CLTRIE02", *places) + b"".join(parts), int(counts.sum()), len(keys)
+
+    def __init__(self, data):
+        _, *at = self.HEAD.unpack_from(data, 0)
+        self.words, self.sums = (EliasFano(data, k) for k in at[:2])
+        self.levels = [Level(data, k) for k in at[2:]]
+
+    def counts(self, words_: np.ndarray) -> np.ndarray:
+        """How often each word occurs in the training texts."""
+        at = self.words.find(words_)
+        safe = np.maximum(at, 0)
+        if not self.words.n:
+            return np.zeros(len(words_), np.int64)
+        return np.where(at >= 0, (self.sums.get(safe + 1) - self.sums.get(safe)).astype(np.int64), 0)
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts' words, each text closed by END, and the number of each text's tokens."""
     flat, counts = words.codes([words.space_words(x) for x in texts])
@@ -211,54 +222,86 @@ def pairs_of(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return contexts, (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+def triples_of(contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that two tokens or a text's beginning and a token precede, and the codes of those two."""
+    has = np.ones(len(contexts), bool)
+    has[np.cumsum(counts) - counts] = False
+    at = np.flatnonzero(has)
+    return at, words.mix(words.mix(contexts[at - 1]) + contexts[at])
+
+
+def _pack(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x)
 
 
-def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+def _unpack(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
+def _keys(contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by context, the sorted distinct contexts, and in that order the context's rank above the successor's 32 bits."""
+    order = np.argsort(contexts)
+    c = contexts[order]
+    new = np.ones(len(c), bool)
+    new[1:] = c[1:] != c[:-1]
+    rank = np.cumsum(new, dtype=np.uint64) - np.uint64(1)
+    return order, c[new], (rank << np.uint64(32)) | successors[order]
 
 
 def distinct_pairs(contexts: np.ndarray, successors: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs and the sums of their weights (1 each)."""
-    order = np.lexsort((successors, contexts))
-    c, s = contexts[order], successors[order]
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+    order, distinct, keys = _keys(contexts, successors)
+    if weights is None:
+        keys.sort()
+    else:
+        again = np.argsort(keys)
+        keys, order = keys[again], order[again]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
     starts = np.flatnonzero(new)
     if weights is None:
-        sums = np.diff(np.append(starts, len(c)))
+        sums = np.diff(np.append(starts, len(keys)))
     else:
         sums = np.add.reduceat(weights[order], starts) if len(starts) else np.zeros(0, np.int64)
-    return c[starts], s[starts], sums
+    keys = keys[starts]
+    return distinct[(keys >> np.uint64(32)).astype(np.int64)], keys.astype(np.uint32), sums
 
 
-COUNTS = "shard int, words binary, counts binary, contexts binary, sizes binary, successors binary, pairs binary"
+COUNTS = "shard int, words binary, counts binary, " + ", ".join(f"contexts{k} binary, sizes{k} binary, successors{k} binary, pairs{k} binary" for k in (2, 3))
 
 
 def _counter(shards: int):
     names = [x.split()[0] for x in COUNTS.split(", ")]
 
-    def packed(flats: list[np.ndarray], ctxs: list[np.ndarray], nexts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def packed(flats: list[np.ndarray], *levels: tuple[list[np.ndarray], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(flats), return_counts=True)
-        c, s, k = distinct_pairs(np.concatenate(ctxs), np.concatenate(nexts))
-        of_word, of_pair = keys % np.uint64(shards), c % np.uint64(shards)
+        of_word = keys % np.uint64(shards)
+        found = [distinct_pairs(np.concatenate(c), np.concatenate(s)) for c, s in levels]
+        of_pair = [c % np.uint64(shards) for c, _, _ in found]
         for shard in range(shards):
-            w, p = of_word == shard, of_pair == shard
-            ctx, sizes = np.unique(c[p], return_counts=True)
-            row = [_pack(keys[w]), _pack(n[w].astype("<u4")), _pack(ctx), _pack(sizes.astype("<u4")), _pack(s[p]), _pack(k[p].astype("<u4"))]
+            w = of_word == shard
+            row = [_pack(keys[w].tobytes()), _pack(n[w].astype("<u4").tobytes())]
+            for (c, s, k), of in zip(found, of_pair, strict=True):
+                p = np.flatnonzero(of == shard)
+                ctx, sizes = np.unique(c[p], return_counts=True)
+                row += [_pack(EliasFano.build(ctx)), _pack(sizes.astype("<u4").tobytes()), _pack(s[p].tobytes()), _pack(k[p].astype("<u4").tobytes())]
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = ([], [], []), 0
+        fresh = lambda: ([], ([], []), ([], []))
+        held, size = fresh(), 0
         for _, texts in words.blocks(batches):
             flat, counts = tokens(texts)
-            for one, new in zip(held, (flat, *pairs_of(flat, counts)), strict=True):
-                one.append(new)
+            ctxs, nexts = pairs_of(flat, counts)
+            at, twos = triples_of(ctxs, counts)
+            held[0].append(flat)
+            for level, new in zip(held[1:], ((ctxs, nexts), (twos, nexts[at])), strict=True):
+                for one, x in zip(level, new, strict=True):
+                    one.append(x)
             size += len(flat)
             if size >= COUNTED:
                 yield from packed(*held)
-                held, size = ([], [], []), 0
+                held, size = fresh(), 0
         if size:
             yield from packed(*held)
 
@@ -267,18 +310,21 @@ def _counter(shards: int):
 
 def _merger(folder: str):
     def run(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, pairs = [], [], ([], [], [])
+        keys, counts, levels = [], [], {k: ([], [], []) for k in (2, 3)}
         for batch in rows:
             for r in batch.to_pylist():
-                keys.append(_unpack(r["words"], np.uint64))
-                counts.append(_unpack(r["counts"], "<u4"))
-                pairs[0].append(np.repeat(_unpack(r["contexts"], np.uint64), _unpack(r["sizes"], "<u4")))
-                pairs[1].append(_unpack(r["successors"], np.uint32))
-                pairs[2].append(_unpack(r["pairs"], "<u4"))
+                keys.append(np.frombuffer(_unpack(r["words"]), np.uint64))
+                counts.append(np.frombuffer(_unpack(r["counts"]), "<u4"))
+                for k, (contexts, successors, pairs) in levels.items():
+                    ctx = EliasFano(_unpack(r[f"contexts{k}"]))
+                    contexts.append(np.repeat(ctx.get(np.arange(ctx.n)), np.frombuffer(_unpack(r[f"sizes{k}"]), "<u4")))
+                    successors.append(np.frombuffer(_unpack(r[f"successors{k}"]), np.uint32))
+                    pairs.append(np.frombuffer(_unpack(r[f"pairs{k}"]), "<u4"))
         shard = int(key[0].as_py())
         words_, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, np.concatenate(counts), len(words_)).astype(np.int64)
-        data, n, v = Shard.build(words_, sums, *distinct_pairs(np.concatenate(pairs[0]), np.concatenate(pairs[1]), np.concatenate(pairs[2]).astype(np.int64)))
+        merged = (distinct_pairs(np.concatenate(c), np.concatenate(s), np.concatenate(n).astype(np.int64)) for c, s, n in levels.values())
+        data, n, v = Shard.build(words_, sums, *merged)
         shared.write_file(uri := f"{folder}/shard-{shard:06d}.trie", data)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "n": [n], "v": [v]})
 
@@ -308,7 +354,7 @@ _mapped: dict[str, Shard] = {}
 
 
 def train(texts: DataFrame, *, text: str = "text") -> Model:
-    """Counts the words and pairs of all ``texts`` (null: empty) and builds the trie's files."""
+    """Counts the words, pairs and triples of all ``texts`` (null: empty) and builds the trie's files."""
     spark = texts.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = shared.new_dir(spark, "trie")
@@ -320,9 +366,9 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
 
 def _lookup(model: Model, keys: np.ndarray, ask) -> list[np.ndarray]:
     """Answers of ``ask(shard, places)`` for all keys, each asked of its own shard; arrays like ``keys``."""
-    of = keys % np.uint64(model.shards)
+    of = (keys % np.uint64(model.shards)).astype(np.uint16 if model.shards < 1 << 16 else np.uint64)
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(model.shards + 1, dtype=np.uint64))
+    cuts = np.searchsorted(of[order], np.arange(model.shards + 1))
     out = None
     for k in np.flatnonzero(np.diff(cuts)):
         places = order[cuts[k] : cuts[k + 1]]
@@ -333,6 +379,22 @@ def _lookup(model: Model, keys: np.ndarray, ask) -> list[np.ndarray]:
     return out or []
 
 
+def _ask(model: Model, level: int, contexts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair, what the level's ``ask`` says; each distinct pair is looked up once."""
+    order, distinct, keys = _keys(contexts, successors)
+    again = np.argsort(keys)
+    order, keys = order[again], keys[again]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    keys = keys[new]
+    c, s = distinct[(keys >> np.uint64(32)).astype(np.int64)], keys.astype(np.uint32)
+    none = lambda at: (np.zeros(len(at)), np.ones(len(at)))
+    p, back = _lookup(model, c, lambda shard, at: shard.levels[level].ask(c[at], s[at]) if shard else none(at)) or none(c)
+    return p[place], back[place]
+
+
 def score_block(model: Model, texts: list[bytes]) -> list[np.ndarray]:
     """Of each text: tokens, known tokens, base score and score."""
     flat, counts = tokens(texts)
@@ -340,23 +402,21 @@ def score_block(model: Model, texts: list[bytes]) -> list[np.ndarray]:
     (n,) = _lookup(model, keys, lambda shard, at: [shard.counts(keys[at]) if shard else np.zeros(len(at), np.int64)])
     base = model.base(n)[inverse]
     c, s = pairs_of(flat, counts)
-    order = np.lexsort((s, c))
-    new = np.ones(len(order), bool)
-    new[1:] = (c[order][1:] != c[order][:-1]) | (s[order][1:] != s[order][:-1])
-    dc, ds = c[order][new], s[order][new]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    p, back = _lookup(model, dc, lambda shard, at: shard.pairs(dc[at], ds[at]) if shard else (np.zeros(len(at)), np.ones(len(at))))
+    p, back = _ask(model, 0, c, s)
+    full = p + back * base
+    at, twos = triples_of(c, counts)
+    p, back = _ask(model, 1, twos, s[at])
+    full[at] = p + back * full[at]
     starts = np.cumsum(counts) - counts
     sums = lambda x: np.add.reduceat(x, starts)
-    return [counts, sums((n > 0)[inverse].astype(np.int64)), sums(np.log10(base)), sums(np.log10(p[place] + back[place] * base))]
+    return [counts, sums((n > 0)[inverse].astype(np.int64)), sums(np.log10(base)), sums(np.log10(full))]
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Scores all ``documents``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``score`` is the log10 probability of the text's words and end, each given the word
-    before it.  A null or empty text is its end alone.  Without training texts every token has
+    ``score`` is the log10 probability of the text's words and end, each given the two
+    words before it.  A null or empty text is its end alone.  Without training texts every token has
     the base probability 1 (no count, one unknown).  Repeated rows get equal scores.
     """
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -88,6 +88,29 @@ def test_language_model_counts_and_probabilities(spark, odd_rows):
     assert lm.score(odd_rows, lm.train(odd_rows.limit(0))).count() == len(rows)
 
 
+def test_language_model_keeps_pairs_and_triples_seen_once(spark):
+    seen = ["a b c d", "a b c e", "a x c d", "b c", "once only here"]
+    docs = spark.createDataFrame(list(enumerate([*seen, "a b", "x c e", "only here", "q r"])), "doc_id long, text string")
+    model = lm.train(docs.where(f"doc_id < {len(seen)}"))
+    counts = [Counter(), Counter(), Counter()]
+    for text in seen:
+        own = ["<", *text.split(), ">"]
+        for k, by in enumerate(counts):
+            by.update(tuple(own[max(0, i - k) : i + 1]) for i in range(1, len(own)) if i >= k)
+
+    def probability(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 0.5) / (sum(counts[0].values()) + 0.5 * (len(counts[0]) + 1))
+        after = [n for g, n in counts[len(gram) - 1].items() if g[:-1] == gram[:-1]]
+        less = probability(gram[1:])
+        return (max(counts[len(gram) - 1][gram] - lm.DISCOUNT, 0) + lm.DISCOUNT * len(after) * less) / sum(after) if after else less
+
+    for r in lm.score(docs, model).collect():
+        own = ["<", *docs.where(f"doc_id = {r['doc_id']}").first()["text"].split(), ">"]
+        exact = [math.log10(probability(tuple(own[max(0, i - 2) : i + 1]))) for i in range(1, len(own))]
+        assert abs(r["score"] - sum(exact)) <= 2 * lm.STEP * len(exact)
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark, sf_dir):
     rows = [r for r in queries.op5_language_model(spark, sf_dir).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
