@@ -22,7 +22,7 @@ their bucket in a join, which adaptive execution splits where a bucket is hot.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +103,7 @@ def most_flips(threshold: float) -> int:
     return math.ceil(n / 2 * (1 - math.exp(-4 * min(differing, k) / n)) + 3 * math.sqrt(n / 4))
 
 
-def _sketcher(size: int):
+def _sketcher(size: int, keep: Sequence[str] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in words.blocks(batches):
             sets = shingle_sets([words.space_words(x) for x in texts], size)
@@ -115,8 +115,8 @@ def _sketcher(size: int):
                     band[k], odd[k] = b, o
             digest = [xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands", "odd"],
+                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), *(batch.column(k) for k in keep)],
+                names=["doc_id", "n_shingles", "digest", "bands", "odd", *keep],
             )
 
     return run
@@ -234,20 +234,39 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = shared.save(docs.mapInArrow(_sketcher(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"), "sketches")
+    named = _named(docs, sketched, shingle, percent).drop("component")
+    full = sketched.where(F.col("digest").isNotNull())
+    out = full.select("doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
+    none = sketched.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _named(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows (digest, component, component_id) of all classes; a component is named by the digest of one of them."""
     full = sketched.where(F.col("digest").isNotNull())
     first = full.groupBy("digest").agg(F.min("doc_id").alias("first"))
     one = full.join(first, "digest").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first")
-    components = _links(docs, one, shingle, percent)
+    components = _links(docs, one, size, percent)
     named = first.join(components, first["digest"] == components["node"], "left").select("digest", F.coalesce("component", "digest").alias("component"), "first")
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = shared.save(named.join(smallest, "component").select("digest", "component_id"), "named")
-    out = full.select("doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
-    none = sketched.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return shared.save(named.join(smallest, "component").select("digest", "component", "component_id"), "named")
 
 
 def keep_first(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with its own columns: the row of the smallest doc_id (of repeated ids, one row)."""
-    gone = near_duplicates(documents, shingle=shingle, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    gone = shared.save(gone.distinct(), "gone")
-    return documents.join(_few(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each component, with its own columns: that of the smallest doc_id, nulls last.
+
+    Rows are chosen, not ids: of rows that repeat an id, each stays or goes with the component of its
+    own text.  Rows without words have no component and all stay.
+    """
+    # Saved with numbers, so that a row keeps its number in all reads.
+    rows = shared.save(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    docs = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__row")
+    kinds = "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>, __row long"
+    sketched = shared.save(docs.mapInArrow(_sketcher(shingle, ["__row"]), kinds), "sketches")
+    named = _named(docs, sketched, shingle, percent).select("digest", "component")
+    own = shared.save(sketched.select("digest", "doc_id", "__row").join(named, "digest"), "members")
+    # Nulls sort first in structs: whether the id is lacking comes before it.
+    stays = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__stays"))
+    gone = own.join(stays, "component").where("__row != __stays").select(F.col("__row").alias("__gone"))
+    gone = shared.save(gone, "gone")
+    return rows.join(_few(gone), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

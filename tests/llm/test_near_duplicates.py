@@ -82,6 +82,19 @@ def test_keep_first(spark):
     assert neardup.keep_first(df.limit(0)).count() == 0
 
 
+def test_keep_first_chooses_rows(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    other, third = (" ".join(f"{k}{i}" for i in range(50)) for k in "vu")
+    rows = [
+        (3, text, "stays"), (None, text + " more", "goes"), (None, other, "stays"), (None, None, "stays"), (None, "", "stays"),  # null ids
+        (9, text + " again", "goes"), (9, "a text of its own", "stays"),  # one id, two texts
+        (20, third, "one"), (20, third, "one"), (20, third.upper(), "one"), (21, third, "goes"),  # one id, one text
+        (None, "nobody has any id here", "lone"), (None, "nobody has any id here", "lone"),
+    ]
+    got = sorted(r["kept"] for r in neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect())
+    assert got == ["lone", "one", *["stays"] * 5]
+
+
 def test_odd_sketch_estimates():
     r = np.random.default_rng(0)
     for same in (0.8, 0.9):
