@@ -65,8 +65,21 @@ def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int
     Shard sizes differ by one row at most, and every arrangement is as likely as
     any other.  ``by`` names the columns that tell rows apart (nulls allowed): rows
     alike in all of them share a source part and take neighbouring ranks in
-    any order.  No row is dropped; an empty table stays empty.
+    any order.  No row is dropped; an empty table stays empty.  Places are drawn for
+    the columns in ``by`` alone; the others are moved once, to their places.
     """
+    places = _places(rows.select(*by), by, n_shards, seed)
+    if set(rows.columns) <= set(by):
+        return places
+    # A struct is equal to another with the same nulls, so that rows and places are dealt by one key.
+    own = places.groupBy(F.struct(*by).alias("__key")).agg(F.collect_list(F.struct("shard", "slot")).alias("__places"))
+    alike = Window.partitionBy("__key").orderBy(F.lit(0))
+    keyed = rows.withColumn("__key", F.struct(*by)).withColumn("__nth", F.row_number().over(alike))
+    placed = keyed.join(own.hint("merge"), "__key").withColumn("__place", F.element_at("__places", F.col("__nth")))
+    return placed.select(*rows.columns, "__place.shard", "__place.slot")
+
+
+def _places(rows: DataFrame, by: list[str], n_shards: int, seed: int) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = shared.save(rows.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(parts)).cast("int")), "shard-parts")
@@ -103,4 +116,4 @@ def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int
 
 def write_shards(assigned: DataFrame, path: str) -> None:
     """Writes assigned rows as one folder for each shard, in the order of their slots."""
-    assigned.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    assigned.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)

@@ -166,6 +166,24 @@ def test_shard_files(spark, tmp_path):
     assert {r["shard"]: r["count"] for r in spark.read.parquet(path).groupBy("shard").count().collect()} == dict.fromkeys(range(4), 25)
 
 
+def test_shards_carry_whole_rows(spark):
+    rows = [(i % 50 if i % 7 else None, f"text {i}") for i in range(300)]  # ids do not tell rows apart
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], 4).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(4) for k in range(75)]
+
+
+def test_sharding_query_writes_the_documents(spark, sf_dir, monkeypatch):
+    written, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path: (written.append(path), write(df, path)))
+    out = queries.op10_sharding(spark, sf_dir).collect()
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shards = spark.read.parquet(*written)
+    assert Counter(map(tuple, shards.select(documents.columns).collect())) == Counter(map(tuple, documents.collect()))
+    digest = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in out) == Counter((r["doc_id"], *digest(r["text"]), r["shard"], r["slot"]) for r in shards.collect())
+
+
 def brute_chat(rows):
     by = {}
     for conv, turn, role, text in rows:
