@@ -74,7 +74,8 @@ def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int
     # A struct is equal to another with the same nulls, so that rows and places are dealt by one key.
     own = places.groupBy(F.struct(*by).alias("__key")).agg(F.collect_list(F.struct("shard", "slot")).alias("__places"))
     alike = Window.partitionBy("__key").orderBy(F.lit(0))
-    keyed = rows.withColumn("__key", F.struct(*by)).withColumn("__nth", F.row_number().over(alike))
+    # Of one type, nullability included: a cast within the join would move the rows once more.
+    keyed = rows.withColumn("__key", F.struct(*by).cast(own.schema["__key"].dataType)).withColumn("__nth", F.row_number().over(alike))
     placed = keyed.join(own.hint("merge"), "__key").withColumn("__place", F.element_at("__places", F.col("__nth")))
     return placed.select(*rows.columns, "__place.shard", "__place.slot")
 
