@@ -68,8 +68,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(F.encode(text, "UTF-8"))
-    rows = table(spark, sf_dir, "documents").withColumns({"__crc": crc, "__size": size})
-    assigned = sharding.assign_shards(rows, ["doc_id", "__crc", "__size"]).drop("__crc", "__size")
+    assigned = sharding.assign_shards(table(spark, sf_dir, "documents"), ["doc_id"], stable=True)
     sharding.write_shards(assigned, path := shared.new_dir(spark, "shards"))
     out = spark.read.schema(assigned.schema).parquet(path)
     return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,10 +1,12 @@
 """Uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Rows lie in source parts.  How many rows go from each part to each shard is drawn
-exactly (multivariate hypergeometric), so that the counts are those of a uniform
-permutation of all rows; each part then permutes its rows locally and hands them
-out by those counts, and each shard permutes what it got.  The driver sees one
-number for each part and shard, never a row.
+Source parts are the partitions that Spark reads the rows in.  A shard is made of cells
+of exact sizes, small enough for a task.  How many rows go from each part to each cell is
+drawn exactly (multivariate hypergeometric), so that the counts are those of a uniform
+permutation of all rows; each part then permutes its rows locally (a sort within the
+partition, without a shuffle) and hands them out by those counts, and each cell permutes
+what it got.  So whole rows are moved once.  The driver sees one number for each part and
+cell, never a row.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import shared
 
+#: Source parts whose rows fill a cell, about.
+PARTS_PER_CELL = 2
+#: Bits that number the rows of a partition in ``monotonically_increasing_id``.
+ROW_BITS = 33
+
 
 def hypergeometric(draw: random.Random, good: int, bad: int, n: int) -> int:
     """How many of ``n`` items drawn from ``good + bad`` without replacement are good; any size."""
@@ -59,62 +66,48 @@ def _table(spark, rows: list[dict], kind: str) -> DataFrame:
     return spark.sql(f"SELECT inline(from_json(:rows, 'array<struct<{kind}>>'))", args={"rows": json.dumps(rows)})
 
 
-def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int = 20_011) -> DataFrame:
+def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int = 20_011, *, stable: bool = False) -> DataFrame:
     """Adds ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     Shard sizes differ by one row at most, and every arrangement is as likely as
-    any other.  ``by`` names the columns that tell rows apart (nulls allowed): rows
-    alike in all of them share a source part and take neighbouring ranks in
-    any order.  No row is dropped; an empty table stays empty.  Places are drawn for
-    the columns in ``by`` alone; the others are moved once, to their places.
+    any other.  ``by`` names the columns whose values the permutations are drawn from (nulls
+    allowed); rows alike in all of them take places in any order.  No row is dropped; an
+    empty table stays empty; all columns are carried, texts of any length included.  A
+    column named ``shard`` or ``slot`` is refused; other names never clash.
+
+    The rows are read twice, first to count them.  ``stable`` says that they come from files
+    alone and fall into the same partitions each time; otherwise they are saved first.
+    The driver draws one number for each partition and cell.
     """
-    places = _places(rows.select(*by), by, n_shards, seed)
-    if set(rows.columns) <= set(by):
-        return places
-    # A struct is equal to another with the same nulls, so that rows and places are dealt by one key.
-    own = places.groupBy(F.struct(*by).alias("__key")).agg(F.collect_list(F.struct("shard", "slot")).alias("__places"))
-    alike = Window.partitionBy("__key").orderBy(F.lit(0))
-    # Of one type, nullability included: a cast within the join would move the rows once more.
-    keyed = rows.withColumn("__key", F.struct(*by).cast(own.schema["__key"].dataType)).withColumn("__nth", F.row_number().over(alike))
-    placed = keyed.join(own.hint("merge"), "__key").withColumn("__place", F.element_at("__places", F.col("__nth")))
-    return placed.select(*rows.columns, "__place.shard", "__place.slot")
-
-
-def _places(rows: DataFrame, by: list[str], n_shards: int, seed: int) -> DataFrame:
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = shared.save(rows.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(parts)).cast("int")), "shard-parts")
-    counts = dict(held.groupBy("__part").count().collect())  # one row for each part
+    if clash := {"shard", "slot"} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"columns that the result adds exist already: {sorted(clash)}")
+    names = rows.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # one column, so that no name can clash
+    held = (rows if stable else shared.save(rows, "shard-rows")).select(row)
+    counts = dict(held.groupBy(F.spark_partition_id().alias("part")).count().collect())  # one row for each part
     order = sorted(counts)
-    matrix = communication_matrix([counts[p] for p in order], shard_sizes(sum(counts.values()), n_shards), seed)
-    ends = _table(spark, [{"p": p, "ends": np.cumsum(row).tolist()} for p, row in zip(order, matrix, strict=True)], "p:int,ends:array<bigint>")
-    local = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed + 1), *by), *by)
-    subs = max(1, parts // n_shards)
-    dealt = (
-        held.withColumn("__rank", F.row_number().over(local))
-        .join(F.broadcast(ends), F.col("__part") == F.col("p"))
-        .withColumn("shard", F.size(F.filter("ends", lambda end: end < F.col("__rank"))))
-        .withColumn("__sub", F.pmod(F.xxhash64(F.lit(seed + 2), *by), F.lit(subs)).cast("int"))
-        .drop("p", "ends", "__rank", "__part")
-    )
-    dealt = shared.save(dealt, "shard-dealt")
-    # A shard's rows fall into sub-shards at random; each is permuted alone and takes the slots after those before it.
-    filled = sorted((r["shard"], r["__sub"], r["count"]) for r in dealt.groupBy("shard", "__sub").count().collect())
-    offsets, at, last = [], 0, None
-    for s, sub, n in filled:
-        at = at if s == last else 0
-        offsets.append({"s": s, "sub": sub, "first": at})
-        at, last = at + n, s
-    again = Window.partitionBy("shard", "__sub").orderBy(F.xxhash64(F.lit(seed + 3), *by), *by)
-    starts = _table(spark, offsets, "s:int,sub:int,first:bigint")
-    return (
-        dealt.withColumn("__rank", F.row_number().over(again))
-        .join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("__sub") == F.col("sub")))
-        .withColumn("slot", F.col("first") + F.col("__rank") - 1)
-        .drop("s", "sub", "first", "__rank", "__sub")
-    )
+    per_shard = max(1, math.ceil(len(order) / PARTS_PER_CELL / n_shards))
+    sizes, cells = [], []
+    for shard, n in enumerate(shard_sizes(sum(counts.values()), n_shards)):
+        first = 0
+        for size in shard_sizes(n, per_shard):
+            cells.append({"cell": len(cells), "shard": shard, "first": first})
+            sizes.append(size)
+            first += size
+    matrix = communication_matrix([counts[p] for p in order], sizes, seed)
+    ends = [{"part": p, "ends": np.cumsum(m).tolist()} for p, m in zip(order, matrix, strict=True)]
+    spark = rows.sparkSession
+    ends, cells = F.broadcast(_table(spark, ends, "part:int,ends:array<bigint>")), F.broadcast(_table(spark, cells, "cell:int,shard:int,first:bigint"))
+    own = [F.col("row").getField(c) for c in by]
+    shuffled = lambda k: [F.xxhash64(F.lit(seed + k), *own), *own]
+    local = held.sortWithinPartitions(*shuffled(1)).select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    rank = F.col("id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    dealt = local.join(ends, "part").select("row", F.size(F.filter("ends", lambda end: end <= rank)).alias("cell")).join(cells, "cell")
+    # Each cell is permuted alone and takes the slots after those of the shard's earlier cells.
+    again = Window.partitionBy("shard", "first").orderBy(*shuffled(2))
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in names], "shard", (F.col("first") + F.row_number().over(again) - 1).alias("slot"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
-    """Writes assigned rows as one folder for each shard, in the order of their slots."""
-    assigned.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    """Writes assigned rows as one folder for each shard; the rows of a file stand in the order of their slots."""
+    assigned.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)

@@ -173,6 +173,21 @@ def test_shards_carry_whole_rows(spark):
     assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(4) for k in range(75)]
 
 
+def test_shards_of_odd_columns_and_long_texts(spark):
+    rows = [(i, i % 3, "p", "x" * (2_000_000 if i == 7 else i), None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, cell int, part string, text string, row string")
+    got = sharding.assign_shards(df, ["doc_id"], 3)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    assert Counter(tuple(r)[:5] for r in got.collect()) == Counter(rows)
+    with pytest.raises(ValueError, match="shard"):
+        sharding.assign_shards(df.withColumnRenamed("cell", "Shard"), ["doc_id"])
+
+
+def test_shards_move_rows_once(spark, sf_dir):
+    plan = sharding.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], stable=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_sharding_query_writes_the_documents(spark, sf_dir, monkeypatch):
     written, write = [], sharding.write_shards
     monkeypatch.setattr(sharding, "write_shards", lambda df, path: (written.append(path), write(df, path)))
