@@ -86,29 +86,95 @@ def test_language_model_counts_and_probabilities(spark, odd_rows):
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == expect
     assert all(r["score"] <= 0 for r in got)
     assert lm.score(odd_rows, lm.train(odd_rows.limit(0))).count() == len(rows)
+    assert lm.score(odd_rows.limit(0), model).count() == 0
 
 
-def test_language_model_keeps_pairs_and_triples_seen_once(spark):
-    seen = ["a b c d", "a b c e", "a x c d", "b c", "once only here"]
-    docs = spark.createDataFrame(list(enumerate([*seen, "a b", "x c e", "only here", "q r"])), "doc_id long, text string")
-    model = lm.train(docs.where(f"doc_id < {len(seen)}"))
+def gram_counts(seen):
     counts = [Counter(), Counter(), Counter()]
     for text in seen:
         own = ["<", *text.split(), ">"]
         for k, by in enumerate(counts):
             by.update(tuple(own[max(0, i - k) : i + 1]) for i in range(1, len(own)) if i >= k)
-
-    def probability(gram):
-        if len(gram) == 1:
-            return (counts[0][gram] + 0.5) / (sum(counts[0].values()) + 0.5 * (len(counts[0]) + 1))
-        after = [n for g, n in counts[len(gram) - 1].items() if g[:-1] == gram[:-1]]
-        less = probability(gram[1:])
-        return (max(counts[len(gram) - 1][gram] - lm.DISCOUNT, 0) + lm.DISCOUNT * len(after) * less) / sum(after) if after else less
-
-    for r in lm.score(docs, model).collect():
-        own = ["<", *docs.where(f"doc_id = {r['doc_id']}").first()["text"].split(), ">"]
-        exact = [math.log10(probability(tuple(own[max(0, i - 2) : i + 1]))) for i in range(1, len(own))]
-        assert abs(r["score"] - sum(exact)) <= 2 * lm.STEP * len(exact)
+    return counts
+
+
+def discounted(counts, gram):
+    if len(gram) == 1:
+        return (counts[0][gram] + 0.5) / (sum(counts[0].values()) + 0.5 * (len(counts[0]) + 1))
+    after = [n for g, n in counts[len(gram) - 1].items() if g[:-1] == gram[:-1]]
+    less = discounted(counts, gram[1:])
+    return (max(counts[len(gram) - 1][gram] - lm.DISCOUNT, 0) + lm.DISCOUNT * len(after) * less) / sum(after) if after else less
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model_equals_brute_force(spark, monkeypatch, small):
+    if small:  # many shards and slices
+        for name, size in (("SLICE", 7), ("SHARD_BYTES", 30), ("WORD_SHARD_BYTES", 90), ("MAPPED_BYTES", 500)):
+            monkeypatch.setattr(lm, name, size)
+    r = np.random.default_rng(8)
+    seen = ["a b c d", "a b c e", "a x c d", "b c", "once only here", "", *(" ".join(r.choice(list("abcdefgh"), n)) for n in (3, 9, 30, 200))]
+    docs = spark.createDataFrame(list(enumerate([*seen, "a b", "x c e", "only here", "q r", "a q c", None, *(" ".join(r.choice(list("abcdefghijk"), n)) for n in (5, 60))])), "doc_id long, text string")
+    model, counts = lm.train(docs.where(f"doc_id < {len(seen)}")), gram_counts(seen)
+    assert model.n == sum(counts[0].values()) and model.v == len(counts[0])
+    texts = dict(docs.collect())
+    for doc, blocked in [(k, lm.score_block(model, [(t or "").encode()])[3][0]) for k, t in texts.items()]:
+        own = ["<", *(texts[doc] or "").split(), ">"]
+        exact = sum(math.log10(discounted(counts, tuple(own[max(0, i - 2) : i + 1]))) for i in range(1, len(own)))
+        assert exact - 2 * model.step * (len(own) - 1) - 1e-9 <= blocked <= exact + 1e-9  # rounded down, once a level
+    if not small:
+        assert {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()} == pytest.approx({k: lm.score_block(model, [(t or "").encode()])[3][0] for k, t in texts.items()})
+
+
+def test_language_model_probabilities_of_every_context_sum_to_one_at_most(spark):
+    r = np.random.default_rng(9)
+    seen = [" ".join(r.choice(list("abcdefghij"), n)) for n in r.integers(1, 60, 40)]
+    model = lm.train(spark.createDataFrame([(t,) for t in seen], "text string"))
+    vocabulary = [*sorted({w for t in seen for w in t.split()}), "unknown"]
+    codes, _ = lm.words.codes([[w.encode() for w in vocabulary]])
+    ends = [lm.END, *codes]
+    contexts = [[lm.BEGIN], *([lm.BEGIN, c] for c in codes), *([a, b] for a in codes for b in codes)]
+    for context in contexts:
+        total = sum(lm._scored(model, np.array([*context, e], np.uint64), len(context) - (context[0] == lm.BEGIN and len(context) == 1))[2][-1] for e in ends)
+        assert 10 ** (-2 * model.step) - 1e-9 <= total <= 1 + 1e-9
+
+
+def test_language_model_counts_across_slices(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    seen = ["", "z", *(" ".join(r.choice(list("abcdef"), n)) for n in (1, 2, 30, 8, 70))]
+    model = lm.train(spark.createDataFrame([(t,) for t in seen], "text string"))
+    batch = lm.pa.RecordBatch.from_pydict({"text": seen})
+    totals = []
+    for size in (4, 5, 11, lm.SLICE):
+        monkeypatch.setattr(lm, "SLICE", size)
+        pairs, triples = Counter(), Counter()
+        for row in (x.to_pylist()[0] for x in lm._gram_counter(model)(iter([batch]))):
+            got = {x: lm.unpack(row[x], ascending=x == "contexts").tolist() for x in lm.GRAMS}
+            a = np.repeat(got["contexts"], got["sizes"]).tolist()
+            for x in zip(a, got["pairs"], got["pair_counts"], strict=True):
+                pairs[x[:2]] += x[2]
+            two = [x for x, n in zip(zip(a, got["pairs"], strict=True), got["triple_sizes"], strict=True) for _ in range(n)]
+            for x, c, n in zip(two, got["triples"], got["triple_counts"], strict=True):
+                triples[*x, c] += n
+        totals.append((+pairs, triples))
+    counts = gram_counts(seen)
+    assert all(x == totals[0] for x in totals)
+    assert sorted(totals[0][0].values()) == sorted(counts[1].values()) and sorted(totals[0][1].values()) == sorted(counts[2].values())
+
+
+def test_language_model_files_list_successors(spark):
+    model = lm.train(spark.createDataFrame([("a b c",), ("a b d",), ("a b c",)], "text string"))
+    numbers = dict(zip("abcd", model.ask(lm.words.codes([[b"a", b"b", b"c", b"d"]])[0])[0].tolist(), strict=True))
+    (k,) = model.shard_of(np.array([numbers["a"]]), np.array([numbers["b"]])).tolist()
+    pair = model.shard(k).find_pairs(np.array([numbers["a"]]), np.array([numbers["b"]]))
+    assert sorted(model.shard(k).successors(int(pair[0])).tolist()) == sorted([numbers["c"], numbers["d"]])
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=40))
+@settings(max_examples=40, deadline=None)
+def test_packed_numbers(numbers):
+    x = np.array(numbers, np.uint64)
+    assert lm.unpack(lm.pack(x)).tolist() == x.tolist()
+    assert lm.unpack(lm.pack(np.sort(x), ascending=True), ascending=True).tolist() == np.sort(x).tolist()
 
 
 def test_language_model_beats_the_base_on_held_out_texts(spark, sf_dir):
