@@ -2,13 +2,14 @@
 
 The rows are dealt into stripes and the queries into blocks; every stripe meets every block of
 queries in a task of its own, whose size is bounded.  In it each dimension is a list of the stripe's
-rows sorted by value.  A query reads the lists in step from their favourable ends, keeps for
-each row a lower and an upper bound of its score (what is read, and what the unread
-part can at least and at most add), and stops reading when rows outside of the
-remaining candidates cannot qualify.  The candidates' scores are then resolved exactly.
-
-The unread part is bounded twice: by the lists' frontiers, and by the norms of what is unread
-(each list entry carries its row's squared norm).
+rows sorted by value.  A query reads each list from its favourable end, in rounds, and deeper the more the
+list can still change a score.  For each row it keeps a lower and an upper bound of its score
+(what is read, and what the unread part can at least and at most add), and it stops reading
+when rows outside of a few candidates cannot qualify, however deep that is; at the
+lists' ends the bounds meet.  The candidates' scores are then resolved exactly.
+
+The unread part is bounded twice: by the lists' frontiers and far ends, and by the norms of what is
+unread (each list entry carries its row's squared norm).
 """
 
 from __future__ import annotations
@@ -23,86 +24,98 @@ K = 5
 EVERY = 50
 #: Rows of a stripe and queries of a block, on average.
 STRIPE, BLOCK = 4096, 1024
-#: Share of each list that is read before the bounds are first compared, and the factor from one comparison to the next.
-FIRST, NEXT = 1 / 32, 4
-#: Candidates are resolved once they are fewer than this share of the rows, or so deep in the lists that reading on costs more.
-RESOLVE, DEEPEST = 1 / 8, 1 / 8
+#: Share of the list of widest range that is read in the first round; it doubles from round to round.
+FIRST = 1 / 16
+#: Reading stops when the candidates are at most this share of the rows, or 4 k.
+FEW = 1 / 32
 
 FOUND = "query_id long, vec_id long, score long"
 
 
 class Lists:
-    """A stripe's vectors as one sorted list for each dimension.
-
-    Queries read in step, so what they have read at some depth is the same entries for all
-    that read a list from the same end: their bounds are products with those entries.
-    """
+    """A stripe's vectors as one sorted list for each dimension; counts the entries read and the rows resolved."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        places = np.argsort(self.vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.vectors, places, axis=0)
-        self.ranks = np.empty_like(places)
-        np.put_along_axis(self.ranks, places, np.arange(len(ids))[:, None], axis=0)
+        rows = np.argsort(self.vectors, axis=0, kind="stable").T
+        # Each list from its highest end, then each from its lowest.
+        self.rows = np.concatenate([rows[:, ::-1], rows])
+        self.values = np.take_along_axis(np.concatenate([self.vectors.T] * 2), self.rows, axis=1)
         self.norms = (self.vectors**2).sum(axis=1)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all rows' scores (rows by queries) after ``depth`` entries of each list."""
-        n, up = len(self.ids), queries > 0
-        ends = [(self.ranks >= n - depth, np.where(up, queries, 0)), (self.ranks < depth, np.where(up, 0, queries))]
-        edge = np.where(up, self.sorted[max(0, n - depth)], self.sorted[min(depth, n) - 1]) * queries
-        known = read_norm = read_query = read_edge = 0
-        for seen, q in ends:
-            x = np.where(seen, self.vectors, 0)
-            known = known + x @ q.T
-            read_norm = read_norm + (x * x) @ (q != 0).T.astype(float)
-            read_query = read_query + seen.astype(float) @ (q * q).T
-            read_edge = read_edge + seen.astype(float) @ np.where(q != 0, edge, 0).T
-        # A row's unread part is at most the frontiers of the lists that have not shown it, and its norm times the query's there.
-        rest = np.sqrt(np.maximum(0, self.norms[:, None] - read_norm) * np.maximum(0, (queries**2).sum(axis=1) - read_query))
-        rest = rest * (1 + 1e-9) + 1e-6
-        return known - rest, known + np.minimum(edge.sum(axis=1) - read_edge + 1e-6 * (1 + np.abs(edge).sum(axis=1)), rest)
-
-    def candidates(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """Which rows may be among the ``k`` best of each query (rows by queries), after reading only as deep as needed."""
-        n = len(self.ids)
-        live = np.ones((n, len(queries)), bool)
-        if n <= k:
-            return live
-        depth, open_ = max(1, int(n * FIRST)), np.arange(len(queries))
-        while len(open_) and depth <= max(1, n * DEEPEST):
-            low, high = self.bounds(queries[open_], depth)
-            live[:, open_] &= high >= np.partition(low, n - k, axis=0)[n - k]
-            open_ = open_[live[:, open_].sum(axis=0) > max(k, n * RESOLVE)]
-            depth *= NEXT
-        return live
+        self.largest = np.abs(self.vectors).max(axis=0, initial=0)
+        self.read = self.resolved = 0
+
+    def candidates(self, query: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Which of the rows ``others`` may be among the ``k`` best, and all rows' sums if the lists were read to their ends."""
+        n, used = len(self.ids), np.flatnonzero(query)
+        if others.sum() <= k:
+            return others, None
+        q = query[used]
+        lists = np.where(q > 0, used, used + len(query))
+        rows, values = [self.rows[x] for x in lists], [self.values[x] for x in lists]
+        far, norm = q * self.values[lists, -1], q @ q
+        depth, share = np.zeros(len(used), np.int64), FIRST
+        known, read_far, read_norm, read_query = (np.zeros(n) for _ in range(4))
+        slack = 1e-6 + 1e-12 * float(np.abs(query) @ self.largest)
+        while True:
+            edge = np.where(depth < n, q * self.values[lists, np.minimum(depth, n - 1)], far)
+            widest = (edge - far).max(initial=0)
+            goal = np.ceil(n * share * (edge - far) / widest) if widest > 0 and share < n else np.full(len(used), n)
+            goal = np.clip(goal, depth, n).astype(np.int64)
+            fresh = goal - depth
+            here, what = (np.concatenate([x[i:j] for x, i, j in zip(of, depth.tolist(), goal.tolist(), strict=True)] or [np.zeros(0, np.int64)]) for of in (rows, values))
+            known += np.bincount(here, what * np.repeat(q, fresh), n)
+            self.read += len(here)
+            if (goal == n).all():
+                return others, known
+            read_far += np.bincount(here, np.repeat(far, fresh), n)
+            read_norm += np.bincount(here, what * what, n)
+            read_query += np.bincount(here, np.repeat(q * q, fresh), n)
+            depth, share = goal, 2 * share
+            # What rounding may have taken from the norms of the rest is added.
+            rest = np.sqrt(np.maximum(0, self.norms * (1 + 1e-13) - read_norm) * np.maximum(0, norm * (1 + 1e-13) - read_query)) * (1 + 1e-9)
+            low = np.where(others, np.maximum(known - rest, known + far.sum() - read_far) - slack, -np.inf)
+            least = np.partition(low, n - k)[n - k]
+            edge = np.where(depth < n, q * self.values[lists, np.minimum(depth, n - 1)], 0)
+            if edge.sum() > least:
+                continue  # a row that no list has shown yet might still qualify
+            seen = np.concatenate([x[:j] for x, j in zip(rows, depth.tolist(), strict=True)])
+            frontier = edge.sum() - np.bincount(seen, np.repeat(edge, depth), n)
+            live = others & (known + np.minimum(rest, frontier) + slack >= least)
+            if live.sum() <= max(4 * k, n * FEW):
+                return live, None
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query ids, row ids and exact scores of the ``k`` best rows other than the query's own; ties to smaller ids."""
-        own = int((self.ids[:, None] == query_ids).sum(axis=0).max(initial=0))
-        live = self.candidates(queries, k + own) & (self.ids[:, None] != query_ids)
-        many = live.sum(axis=0) > len(self.ids) * RESOLVE
-        whole = iter(exact_products(self.vectors, queries[many].T).T)
         out = ([], [], [])
-        for j, query in enumerate(query_ids):
-            rows = np.flatnonzero(live[:, j])
-            scores = next(whole)[rows] if many[j] else exact_products(self.vectors[rows], queries[j])
-            if len(rows) > k:  # rows stand in the order of their ids
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                rows, scores = rows[scores >= least], scores[scores >= least]
-            order = np.argsort(-scores, kind="stable")[:k]
-            out[0].append(np.full(len(order), query))
+        for own, query in zip(query_ids, queries, strict=True):
+            live, sums = self.candidates(query, self.ids != own, k)
+            rows = np.flatnonzero(live)  # in the order of their ids
+            if sums is not None and np.abs(query) @ self.largest < 2**52:
+                scores = sums[rows].astype(np.int64)  # nothing was rounded
+            else:
+                scores = exact_products(self.vectors[rows], query)
+                self.resolved += len(rows)
+            order = np.lexsort((rows, -scores))[:k]
+            out[0].append(np.full(len(order), own))
             out[1].append(self.ids[rows[order]])
             out[2].append(scores[order])
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
 def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products: in floating point where no sum can be rounded, else in 64-bit integers."""
-    if np.abs(vectors).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query)) < 2**52:
+    """Integer inner products: in floating point where no sum can be rounded, else in whole numbers of any size.
+
+    Raises OverflowError if one does not fit into 64 bits.
+    """
+    if not len(vectors) or np.abs(vectors).max(axis=0, initial=0) @ np.abs(query) < 2**52:
         return (vectors @ query).astype(np.int64)
-    return vectors.astype(np.int64) @ query.astype(np.int64)
+    whole = [int(x) for x in query]
+    products = [sum(int(x) * y for x, y in zip(v, whole, strict=True)) for v in vectors]
+    if max(map(abs, products)) >= 2**63:
+        raise OverflowError("an inner product does not fit into 64 bits")
+    return np.array(products, np.int64)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -142,7 +155,8 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY) -> DataFrame:
     ``vectors`` has vec_id and ``v`` (see ``whole``).  Queries are the rows whose id is divisible by
     ``every``; all rows of other ids are candidates, ties go to smaller ids, and a query has
     fewer results if there are fewer candidates.  Rows repeated under a query's id count as the
-    query's own; shorter vectors are filled up with 0.  A query's repeated rows ask once.
+    query's own; shorter vectors are filled up with 0.  A query's repeated rows ask once.  Scores that do
+    not fit into 64 bits raise an error.
     """
     n = vectors.count()
     queries = vectors.where(F.col("vec_id") % every == 0)

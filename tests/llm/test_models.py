@@ -206,6 +206,39 @@ def test_top_k_equals_brute_force(spark, sf_dir, monkeypatch, stripe):
     assert topk.top_k(topk.whole(few)).count() == 2
 
 
+def lists_of(vectors):
+    return topk.Lists(np.arange(len(vectors)), np.floor(np.array(vectors, float)))
+
+
+def test_top_k_stops_reading_where_few_dimensions_decide():
+    r = np.random.default_rng(4)
+    vectors = r.normal(size=(3000, 32)) * 256 * np.array([20, *[0.3] * 31])
+    lists = lists_of(vectors)
+    got = lists.best(np.array([5]), lists.vectors[5:6], 5)
+    scores = lists.vectors @ lists.vectors[5]
+    best = [i for i in np.lexsort((np.arange(3000), -scores)) if i != 5][:5]
+    assert got[1].tolist() == best and got[2].tolist() == scores[best].astype(int).tolist()
+    assert 0 < lists.read < 3000 * 32 / 4 and 5 <= lists.resolved <= 3000 / 32
+    plain = lists_of(r.normal(size=(500, 24)) * 256)  # where no dimension decides, the lists are read to their ends
+    assert plain.best(np.array([7]), plain.vectors[7:8], 5)[1].tolist() == [i for i in np.argsort(-(plain.vectors @ plain.vectors[7]), kind="stable") if i != 7][:5]
+
+
+@given(st.lists(st.lists(st.sampled_from([0.0, 1.0, -1.0, 3.0, 2.0**30, -(2.0**30), 2.0**25 + 1]), min_size=3, max_size=3), min_size=1, max_size=40), st.integers(1, 6))
+@settings(max_examples=80, deadline=None)
+def test_top_k_of_ties_zeros_and_large_values(vectors, k):
+    lists = lists_of(vectors)
+    queries = np.arange(0, len(vectors), 3)
+    q, v, s = lists.best(queries, lists.vectors[queries], k)
+    exact = [[sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in vectors] for a in vectors]
+    expect = [(a, b, exact[a][b]) for a in queries.tolist() for b in sorted((i for i in range(len(vectors)) if i != a), key=lambda i: (-exact[a][i], i))[:k]]
+    assert list(zip(q.tolist(), v.tolist(), s.tolist(), strict=True)) == expect
+
+
+def test_top_k_refuses_scores_beyond_64_bits():
+    with pytest.raises(OverflowError):
+        lists_of([[1e15], [1e15], [2.0]]).best(np.array([0]), np.array([[1e15]]), 1)
+
+
 def test_toxicity_learns_sentences_from_document_labels(spark):
     r = np.random.default_rng(3)
     plain = [f"word{k}" for k in range(150)]
