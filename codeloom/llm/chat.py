@@ -1,16 +1,17 @@
 """Chat formatting into windows under a token budget, with DataFrame functions only.
 
-A turn costs its words and marks plus a fixed overhead.  Prefix sums of those
-costs along a conversation choose the spans: turns that lie wholly inside one
-stretch of NEW tokens form a span, and a turn that crosses from one stretch into the
-next is a span of its own.  So a window is aligned to turns, and its new turns
-stay within the budget unless a single turn alone exceeds it.  Every window holds
-the system turn, then the turns that lie wholly in the HISTORY tokens before its span,
-then the span; what is repeated carries no loss.
-
-The prefix sums are taken in two levels (stretches of turns, then the turns in
-each), windows are grouped by conversation and span, and history is found by an
-equality join on spans: no step gathers a whole conversation in one task.
+Prefix sums of the turns' tokens along a conversation choose the spans.  What the system turn and
+the history leave of the budget is a window's room; the stream of tokens is cut into stretches of half
+the room, and a window holds the turns that end in one stretch.  So a window is aligned to
+turns, and its new turns fit into the room: those that lie inside the stretch take half of it at
+most, and a turn that crosses into the stretch takes the other half, or else has a window of
+its own.  Every window holds the system turn, then the turns that lie wholly in the HISTORY tokens
+before its stretch, then its own; what is repeated carries no loss.
+
+Where a turn goes follows from its own place, so windows are made without a join: each turn names the
+windows that hold or repeat it.  The prefix sums are taken in two levels (stretches of
+turns, then the turns in each), and windows are grouped by conversation and number: no step
+gathers a whole conversation in one task, and texts are moved twice.
 """
 
 from __future__ import annotations
@@ -18,11 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of new turns and of repeated history in a window.
-NEW = 1024
-HISTORY = 256
-#: Tokens that the marks of a turn count for.
-OVERHEAD = 4
+#: Tokens of a window, and of the repeated history in it, at most.
+BUDGET = 4096
+HISTORY = 512
 #: Turns whose prefix sums are taken together.
 STRETCH = 256
 
@@ -48,59 +47,83 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
 
 
-def _placed(turns: DataFrame) -> DataFrame:
-    """Adds to each turn its position, the tokens before it (``lo``) and up to its end (``hi``)."""
+def bound(role: Column, text: Column) -> Column:
+    """A number of tokens that no tokenizer exceeds whose tokens each cover a byte: the bytes of the formatted turn."""
+    return F.octet_length(F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"), escape(text), F.lit(CLOSE))).cast("long")
+
+
+def _placed(turns: DataFrame, tokens: str | None, budget: int, history: int) -> DataFrame:
+    """Turns with key (a struct, so that nulls are equal), pos, n_turns, is_system, half (of the room), total, and the tokens before (``lo``) and up to the end (``hi``)."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumns({
-        "cost": F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long") + OVERHEAD,
-        "stretch": F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(2**62))),
-    })
-    before = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("conv_id", "stretch").agg(F.sum("cost").alias("c"), F.count("*").alias("n"))
+        F.struct("conv_id").alias("key"), "turn", role.alias("role"), text.alias("text"),
+        (bound(role, text) if tokens is None else F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))).alias("cost"),
+        F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(2**62))).alias("stretch"),
+    )
+    along = Window.partitionBy("key").orderBy("stretch")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("key", "stretch").agg(F.sum("cost").alias("c"), F.count("*").alias("n"), F.max(F.when(F.col("role") == "system", F.col("cost"))).alias("top"))
     sums = sums.select(
-        F.col("conv_id").alias("k"), F.col("stretch").alias("s"),
+        "key", "stretch",
         F.coalesce(F.sum("c").over(before), F.lit(0)).alias("cost0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pos0"),
-        F.sum("n").over(Window.partitionBy("conv_id")).alias("n_turns"),
+        F.sum("n").over(Window.partitionBy("key")).alias("n_turns"), F.sum("c").over(Window.partitionBy("key")).alias("total"),
+        # Of a conversation's first stretch: no less than its system turn, if it has one.
+        F.coalesce(F.first("top").over(along), F.lit(0)).alias("top"),
     )
-    inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumns({"hi0": F.sum("cost").over(inside), "pos1": F.count("*").over(inside)})
-        .join(sums, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("stretch") == F.col("s")))
-        .select("conv_id", "role", "text", "cost", "n_turns", (F.col("pos0") + F.col("pos1") - 1).alias("pos"), (F.col("cost0") + F.col("hi0")).alias("hi"))
-        .withColumn("lo", F.col("hi") - F.col("cost"))
-    )
+    inside = Window.partitionBy("key", "stretch").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    pos = F.col("pos0") + F.col("pos1") - 1
+    hi = F.col("cost0") + F.col("hi0")
+    placed = rows.withColumns({"hi0": F.sum("cost").over(inside), "pos1": F.count("*").over(inside)}).join(sums, ["key", "stretch"])
+    room = F.greatest(F.lit(budget - history) - F.col("top"), F.lit(budget // 4))
+    return placed.select(
+        "key", "role", "text", "cost", "total", pos.alias("pos"), (hi - F.col("cost")).alias("lo"), hi.alias("hi"),
+        ((pos == 0) & (F.col("role") == "system") & (F.col("n_turns") > 1)).alias("is_system"), F.greatest(F.floor(room / 2), F.lit(1)).cast("long").alias("half"),
+    )
+
+
+#: What a turn is in a window: its own, repeated from before, or a sign that the turns before it are not next to the window's own.
+OWN, REPEATED, GAP = 0, 1, 2
 
 
-def format_windows(turns: DataFrame, *, new: int = NEW, history: int = HISTORY) -> DataFrame:
+def format_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
     """Rows (conv_id, turn, role, text) as windows of formatted text with a loss mask.
 
     Returns conv_id, window (ascending along a conversation), n_repeated (turns at its
     beginning that an earlier window held), formatted, and loss, the (start, length)
     stretches of ``formatted``, in code points, that are assistant texts not held before.
-    Turns are ordered by turn, role and text, nulls first; null roles and texts are
+    ``tokens`` names a column with the tokens of each formatted turn (null or negative: none); without it
+    ``bound`` stands for them.  A window exceeds ``budget`` only if one turn, with system
+    turn and history, does.  Turns are ordered by turn, role and text, nulls first; null roles and texts are
     empty; a null conv_id is a conversation; rows that repeat are turns of their
-    own; a conversation's first turn is retained if its role is system.
+    own; a conversation's first turn is retained if its role is system.  Other columns are not carried.
     """
-    if history > new:
-        raise ValueError("history must not exceed new: a turn would recur in ever more windows")
-    placed = _placed(turns).withColumn("system", (F.col("pos") == 0) & (F.col("role") == "system") & (F.col("n_turns") > 1))
-    lo, hi = F.floor(F.col("lo") / new), F.floor((F.col("hi") - 1) / new)
-    streamed = placed.where(~F.col("system")).withColumn("window", 2 * lo + (lo != hi).cast("int"))
-    spans = streamed.groupBy("conv_id", "window").agg(F.min("lo").alias("at"), F.min("pos").alias("first"))
-    fields = ["pos", "role", "text"]
-    own = streamed.select("conv_id", "window", F.lit(False).alias("repeated"), *fields)
-    reach = F.col("lo") + history
-    near = streamed.where(reach >= F.col("hi")).withColumn("window", F.explode(F.sequence(2 * F.floor(F.col("hi") / new), 2 * F.floor(reach / new) + 1)))
-    a, b = near.alias("a"), spans.alias("b")
-    repeated = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.window") == F.col("b.window")) & F.col("at").between(F.col("hi"), reach)).select("a.conv_id", "a.window", F.lit(True).alias("repeated"), *fields)
-    s = placed.where("system").select(F.col("conv_id").alias("k"), *fields)
-    system = spans.join(s, F.col("conv_id").eqNullSafe(F.col("k"))).select("conv_id", "window", (F.col("first") > 1).alias("repeated"), *fields)
+    if not 0 <= history < budget:
+        raise ValueError("history must be less than the budget")
+    placed = _placed(turns, tokens, budget, history)
+    half, k = F.col("half"), F.floor((F.greatest(F.col("hi"), F.lit(1)) - 1) / F.col("half"))
+    crossing = F.floor(F.col("lo") / half) < k
+    alone = crossing & (F.col("cost") > half)
+    place = lambda window, kind: F.struct(window.cast("long").alias("window"), F.lit(kind).alias("kind"))
+    # The stretches that begin after the turn and within the history's reach of it.
+    first, last = F.ceil(F.greatest(F.col("hi"), F.lit(1)) / half), F.floor((F.col("lo") + history) / half)
+    later = F.when(last >= first, F.flatten(F.transform(F.sequence(first, last), lambda x: F.array(place(2 * x, REPEATED), place(2 * x + 1, REPEATED)))))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), (2 * F.floor(F.col("total") / half) + 1).cast("long")), lambda x: place(x, REPEATED))
+    own = F.array(place(2 * k + F.when(alone, 0).otherwise(1), OWN))
+    gap = F.when(alone, F.array(place(2 * k + 1, GAP)))
+    none = F.array().cast("array<struct<window:bigint,kind:int>>")
+    places = F.when(F.col("is_system"), every).otherwise(F.concat(own, F.coalesce(gap, none), F.coalesce(later, none)))
+    text = lambda x: F.when(F.col("p.kind") != GAP, x)
     piece = F.struct(
-        F.col("pos"), F.col("repeated"), (~F.col("repeated") & (F.col("role") == "assistant")).alias("loss"),
-        F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"),
+        F.col("pos"), F.col("p.kind").alias("kind"), F.col("is_system"), (F.col("role") == "assistant").alias("assistant"),
+        text(F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))).alias("head"), text(escape(F.col("text"))).alias("body"),
     )
-    windows = own.unionByName(repeated).unionByName(system).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    exploded = placed.withColumn("p", F.explode(places)).select("key", F.col("p.window").alias("window"), piece.alias("piece"))
+    grouped = exploded.groupBy("key", "window").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.max(F.when(F.col("piece.kind") == GAP, F.col("piece.pos"))).alias("gap"))
+    grouped = grouped.where(F.exists("pieces", lambda x: x["kind"] == OWN))
+    opening = F.exists("pieces", lambda x: (x["kind"] == OWN) & (x["pos"] == 1))  # only the first window's system turn is new
+    held = F.filter("pieces", lambda x: (x["kind"] != GAP) & ((x["kind"] == OWN) | x["is_system"] | F.col("gap").isNull() | (x["pos"] > F.col("gap"))))
+    held = F.transform(held, lambda x: F.struct(((x["kind"] == REPEATED) & ~(x["is_system"] & opening)).alias("repeated"), ((x["kind"] == OWN) & x["assistant"]).alias("loss"), x["head"].alias("head"), x["body"].alias("body")))
+    windows = grouped.select("key.conv_id", "window", held.alias("pieces"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss"))
 
     def step(state: Column, x: Column) -> Column:

@@ -228,26 +228,69 @@ def random_conversations(seed):
 def test_chat_digests_equal_brute_force(spark, seed):
     rows = random_conversations(seed)
     turns = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, window int")
-    windows = chat.format_windows(turns, new=200, history=100)
+    windows = chat.format_windows(turns, budget=600, history=100)
     got = {r[0]: tuple(r[1:5]) for r in chat.conversation_digests(windows).collect()}
     assert got == brute_chat(rows)
     assert chat.conversation_digests(chat.format_windows(turns.limit(0))).count() == 0
 
 
+def chat_windows(spark, rows, **options):
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long" if len(rows[0]) == 5 else "conv_id long, turn long, role string, text string")
+    return sorted(chat.parse_windows(chat.format_windows(turns, **options)).collect(), key=lambda r: (r["conv_id"], r["window"]))
+
+
 def test_chat_windows_keep_budget_history_and_system(spark):
-    rows = [(1, 0, "system", "be kind")] + [(1, i, ["assistant", "user"][i % 2], f"turn{i} " + "w " * 20) for i in range(1, 60)]
-    windows = sorted(chat.parse_windows(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), new=100, history=60)).collect(), key=lambda r: r["window"])
+    rows = [(1, 0, "system", "be kind")] + [(1, i, ["assistant", "user"][i % 2], f"turn{i} " + "w " * (i % 7)) for i in range(1, 90)]
+    windows = chat_windows(spark, rows, budget=400, history=120)
     assert len(windows) > 10
-    for i, w in enumerate(windows):
-        texts = w["formatted"].split("</turn>\n")[:-1]
-        assert texts[0] == "<turn>system\nbe kind"
-        assert (w["n_repeated"] > 0) == (i > 0)
-        assert sum(len(re.findall(r"\w+", x.split("\n", 1)[1])) + 4 for x in texts) <= 100 + 60 + 6
+    texts = [[x.split("\n", 1)[1] for x in w["formatted"].split("</turn>\n")[:-1]] for w in windows]
+    at = {x[3]: x[1] for x in rows}
+    for i, (w, own) in enumerate(zip(windows, texts, strict=True)):
+        assert own[0] == "be kind" and (w["n_repeated"] > 0) == (i > 0)
+        assert len(w["formatted"].encode()) <= 400
+        places = [at[x] for x in own[1:]]
+        assert places == list(range(places[0], places[0] + len(places)))  # history and new turns are next to each other
         assert sum(w["formatted"][s["start"] : s["start"] + s["length"]] in w["targets"] for s in w["loss"]) == len(w["targets"])
     assert any(w["n_repeated"] > 2 for w in windows)
+    assert sum(len(w["formatted"].encode()) for w in windows) / len(windows) > 400 / 2
+    assert [t for w in windows for t in w["targets"]] == [x[3] for x in rows if x[2] == "assistant"]
+
+
+def test_chat_long_turns_stand_alone_and_hide_older_history(spark):
+    rows = [(1, i, ["user", "assistant"][i % 2], f"t{i} " + "x" * (700 if i % 9 == 4 else 5)) for i in range(40)]
+    windows = chat_windows(spark, rows, budget=400, history=150)
+    for w in windows:
+        own = [int(x.split("\nt", 1)[1].split(" ")[0]) for x in w["formatted"].split("</turn>\n")[:-1]]
+        assert own == list(range(own[0], own[0] + len(own)))
+        fresh = own[w["n_repeated"] :]
+        assert len(w["formatted"]) <= 400 or len(fresh) == 1 and fresh[0] % 9 == 4
     assert [t for w in windows for t in w["targets"]] == [x[3] for x in rows if x[2] == "assistant"]
 
 
+def test_chat_takes_given_token_counts(spark):
+    rows = [(1, i, "assistant", f"t{i}", n) for i, n in enumerate([10, 10, 10, 10, None, -3, 0, 90, 10])]
+    windows = chat_windows(spark, rows, budget=60, history=0, tokens="n")
+    assert [[x for x in w["targets"]] for w in windows] == [["t0", "t1", "t2"], ["t3", "t4", "t5", "t6"], ["t7"], ["t8"]]
+    free = chat_windows(spark, [(1, i, "assistant", f"t{i}", 0) for i in range(4)], budget=60, history=20, tokens="n")
+    assert [w["targets"] for w in free] == [["t0", "t1", "t2", "t3"]]
+    with pytest.raises(ValueError, match="history"):
+        chat_windows(spark, rows, budget=60, history=60)
+
+
+def test_chat_cost_bounds_real_tokenizers(spark, sf_dir):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["", "日本語の文章です。" * 500, "漢" * 8000, "qxzj" * 25_000, "a" * 100_000, "🙂" * 300, "a\\b <turn> </turn>", "  \n\t ", "1234567890 !?"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL").limit(200).collect()]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", chat.bound(chat.F.lit("assistant"), chat.F.col("text")).alias("n")).collect()
+    pieces_ = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    words_ = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for text, n in rows:
+        turn = "<turn>assistant\n" + text.replace("\\", "\\b").replace("<", "\\l") + "</turn>\n"
+        assert n >= len(pieces_.encode(turn)) and n >= len(words_.encode(turn, add_special_tokens=False).ids)
+
+
 def test_registered_queries_on_the_small_tables(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
