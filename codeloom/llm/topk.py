@@ -2,11 +2,11 @@
 
 The rows are dealt into stripes and the queries into blocks; every stripe meets every block of
 queries in a task of its own, whose size is bounded.  In it each dimension is a list of the stripe's
-rows sorted by value.  A query reads each list from its favourable end, in rounds, and deeper the more the
-list can still change a score.  For each row it keeps a lower and an upper bound of its score
-(what is read, and what the unread part can at least and at most add), and it stops reading
-when rows outside of a few candidates cannot qualify, however deep that is; at the
-lists' ends the bounds meet.  The candidates' scores are then resolved exactly.
+rows sorted by value.  A query reads the lists in step, each from its favourable end, block by block.  For
+each row it keeps a lower and an upper bound of its score (what is read, and what the
+unread part can at least and at most add), and it stops reading when rows outside of a few
+candidates cannot qualify, however deep that is; at the lists' ends the bounds meet.  The
+candidates' scores are then resolved exactly.
 
 The unread part is bounded twice: by the lists' frontiers and far ends, and by the norms of what is
 unread (each list entry carries its row's squared norm).
@@ -14,6 +14,8 @@ unread (each list entry carries its row's squared norm).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,8 +26,10 @@ K = 5
 EVERY = 50
 #: Rows of a stripe and queries of a block, on average.
 STRIPE, BLOCK = 4096, 1024
-#: Share of the list of widest range that is read in the first round; it doubles from round to round.
-FIRST = 1 / 16
+#: Shares of each list at which the bounds are compared.
+DEPTHS = (1 / 16, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1)
+#: Queries that read in step.
+TOGETHER = 32
 #: Reading stops when the candidates are at most this share of the rows, or 4 k.
 FEW = 1 / 32
 
@@ -33,74 +37,85 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 class Lists:
-    """A stripe's vectors as one sorted list for each dimension; counts the entries read and the rows resolved."""
+    """A stripe's vectors as one sorted list for each dimension; counts the entries read and the rows resolved.
+
+    Queries read in step, so what they have read at some depth of a list is the same entries for all
+    that read it from the same end: the sums over a block of entries are taken for many queries at once.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        rows = np.argsort(self.vectors, axis=0, kind="stable").T
-        # Each list from its highest end, then each from its lowest.
-        self.rows = np.concatenate([rows[:, ::-1], rows])
-        self.values = np.take_along_axis(np.concatenate([self.vectors.T] * 2), self.rows, axis=1)
+        places = np.argsort(self.vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.vectors, places, axis=0)
+        self.ranks = np.empty(places.shape, np.int32)
+        np.put_along_axis(self.ranks, places, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
         self.norms = (self.vectors**2).sum(axis=1)
         self.largest = np.abs(self.vectors).max(axis=0, initial=0)
+        self.depths = sorted({max(1, math.ceil(len(ids) * x)) for x in DEPTHS})
+        self.blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.read = self.resolved = 0
 
-    def candidates(self, query: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None]:
-        """Which of the rows ``others`` may be among the ``k`` best, and all rows' sums if the lists were read to their ends."""
-        n, used = len(self.ids), np.flatnonzero(query)
-        if others.sum() <= k:
-            return others, None
-        q = query[used]
-        lists = np.where(q > 0, used, used + len(query))
-        rows, values = [self.rows[x] for x in lists], [self.values[x] for x in lists]
-        far, norm = q * self.values[lists, -1], q @ q
-        depth, share = np.zeros(len(used), np.int64), FIRST
-        known, read_far, read_norm, read_query = (np.zeros(n) for _ in range(4))
-        slack = 1e-6 + 1e-12 * float(np.abs(query) @ self.largest)
-        while True:
-            edge = np.where(depth < n, q * self.values[lists, np.minimum(depth, n - 1)], far)
-            widest = (edge - far).max(initial=0)
-            goal = np.ceil(n * share * (edge - far) / widest) if widest > 0 and share < n else np.full(len(used), n)
-            goal = np.clip(goal, depth, n).astype(np.int64)
-            fresh = goal - depth
-            here, what = (np.concatenate([x[i:j] for x, i, j in zip(of, depth.tolist(), goal.tolist(), strict=True)] or [np.zeros(0, np.int64)]) for of in (rows, values))
-            known += np.bincount(here, what * np.repeat(q, fresh), n)
-            self.read += len(here)
-            if (goal == n).all():
-                return others, known
-            read_far += np.bincount(here, np.repeat(far, fresh), n)
-            read_norm += np.bincount(here, what * what, n)
-            read_query += np.bincount(here, np.repeat(q * q, fresh), n)
-            depth, share = goal, 2 * share
+    def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the entries that round ``k`` reads, from the lists' highest ends and from their lowest, and which rows are read by then."""
+        if k not in self.blocks:
+            from_top, end = len(self.ids) - 1 - self.ranks.T, self.depths[k]
+            shown = np.concatenate([from_top < end, self.ranks.T < end])
+            fresh = shown & ~self.block(k - 1)[1].astype(bool) if k else shown
+            self.blocks[k] = np.concatenate([self.vectors.T] * 2) * fresh, shown.astype(np.float64)
+        return self.blocks[k]
+
+    def candidates(self, queries: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries by rows: which of ``others`` may be among a query's ``k`` best; which queries read the lists to their ends; all sums of what was read."""
+        n = len(self.ids)
+        live, sums, read_norm = others.copy(), np.zeros(others.shape), np.zeros(others.shape)
+        ended = np.zeros(len(queries), bool)
+        open_ = np.flatnonzero(others.sum(axis=1) > k)
+        sides = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)  # read from the highest end, from the lowest
+        slack = 1e-6 + 1e-12 * (np.abs(queries) @ self.largest)[:, None]
+        for r, depth in enumerate(self.depths):
+            if not len(open_):
+                break
+            values, shown = self.block(r)
+            q = sides[open_]
+            sums[open_] += q @ values
+            self.read += int((q != 0).sum()) * (depth - (self.depths[r - 1] if r else 0))
+            if depth == n:
+                ended[open_] = True
+                break
+            read_norm[open_] += (q != 0).astype(np.float64) @ (values * values)
+            edge = np.concatenate([self.sorted[n - 1 - depth], self.sorted[depth]]) * q
+            far = np.concatenate([self.sorted[0], self.sorted[-1]]) * q
+            read_far, read_edge, read_query = np.split(np.concatenate([far, edge, q * q]) @ shown, 3)
             # What rounding may have taken from the norms of the rest is added.
-            rest = np.sqrt(np.maximum(0, self.norms * (1 + 1e-13) - read_norm) * np.maximum(0, norm * (1 + 1e-13) - read_query)) * (1 + 1e-9)
-            low = np.where(others, np.maximum(known - rest, known + far.sum() - read_far) - slack, -np.inf)
-            least = np.partition(low, n - k)[n - k]
-            edge = np.where(depth < n, q * self.values[lists, np.minimum(depth, n - 1)], 0)
-            if edge.sum() > least:
-                continue  # a row that no list has shown yet might still qualify
-            seen = np.concatenate([x[:j] for x, j in zip(rows, depth.tolist(), strict=True)])
-            frontier = edge.sum() - np.bincount(seen, np.repeat(edge, depth), n)
-            live = others & (known + np.minimum(rest, frontier) + slack >= least)
-            if live.sum() <= max(4 * k, n * FEW):
-                return live, None
+            rest = np.maximum(0, self.norms * (1 + 1e-13) - read_norm[open_]) * np.maximum(0, (q * q).sum(axis=1, keepdims=True) * (1 + 1e-13) - read_query)
+            rest, known, own = np.sqrt(rest) * (1 + 1e-9) + slack[open_], sums[open_], others[open_]
+            low = np.where(own, known + np.maximum(-rest, far.sum(axis=1, keepdims=True) - read_far - slack[open_]), -np.inf)
+            low.partition(n - k, axis=1)
+            high = known + np.minimum(rest, edge.sum(axis=1, keepdims=True) - read_edge + slack[open_])
+            own &= high >= low[:, n - k, None]
+            live[open_] = own
+            open_ = open_[own.sum(axis=1) > max(4 * k, n * FEW)]
+        live[ended] = others[ended]
+        return live, ended, sums
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query ids, row ids and exact scores of the ``k`` best rows other than the query's own; ties to smaller ids."""
         out = ([], [], [])
-        for own, query in zip(query_ids, queries, strict=True):
-            live, sums = self.candidates(query, self.ids != own, k)
-            rows = np.flatnonzero(live)  # in the order of their ids
-            if sums is not None and np.abs(query) @ self.largest < 2**52:
-                scores = sums[rows].astype(np.int64)  # nothing was rounded
-            else:
-                scores = exact_products(self.vectors[rows], query)
-                self.resolved += len(rows)
-            order = np.lexsort((rows, -scores))[:k]
-            out[0].append(np.full(len(order), own))
-            out[1].append(self.ids[rows[order]])
-            out[2].append(scores[order])
+        for at in range(0, len(queries), TOGETHER):
+            ids, some = query_ids[at : at + TOGETHER], queries[at : at + TOGETHER]
+            live, ended, sums = self.candidates(some, self.ids != ids[:, None], k)
+            for j, (own, query) in enumerate(zip(ids, some, strict=True)):
+                rows = np.flatnonzero(live[j])  # in the order of their ids
+                if ended[j] and np.abs(query) @ self.largest < 2**52:
+                    scores = sums[j, rows].astype(np.int64)  # nothing was rounded
+                else:
+                    scores = exact_products(self.vectors[rows], query)
+                    self.resolved += len(rows)
+                order = np.lexsort((rows, -scores))[:k]
+                out[0].append(np.full(len(order), own))
+                out[1].append(self.ids[rows[order]])
+                out[2].append(scores[order])
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
