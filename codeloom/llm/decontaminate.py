@@ -6,15 +6,19 @@ first two words stand side by side in some item) are sorted.  Every suffix of
 every test item is then binary-searched in the shard; the range that it finds
 gives the verbatim matches and their places, which are extended to full length.
 
-The test side is cut into chunks of bounded size that lie as files in the shared
-folder; a task holds one chunk at a time, so nothing here grows with the test
-set but the number of passes over a shard in memory.  No row is shuffled.
+The longest match at a place is found in the test side's own suffix array: the suffixes that
+begin with a window are one range of it, and each further word narrows the range.
+
+The test side is cut into chunks of bounded size, built by a task each, that lie as files in the
+shared folder; a worker holds a few chunks at a time, so nothing here grows with the test
+set but the number of passes over a shard in memory.  No document is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +32,10 @@ from codeloom.llm import shared, words
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of test text in one chunk at most (an item alone may be longer).
-CHUNK_BYTES = 16 << 20
+#: Bytes of test text in one chunk, about (an item alone may be longer).
+CHUNK_BYTES = 4 << 20
+#: Chunks that a worker holds.
+HELD_CHUNKS = 2
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType(), False),
@@ -48,30 +54,71 @@ class TestSide:
     """Test items as word numbers: what a task needs to search for them."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.window, self.ids = window, {}
-        tokens, owner, keys = [], [], {}
-        for item, text in items:
-            own = [self.ids.setdefault(w, len(self.ids) + 1) for w in words.alnum_words(text)]
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                keys.setdefault(tuple(own[i : i + size]), ([], len(tokens) + i))[0].append(item)
-            tokens += [*own, 0]
-            owner += [item] * (len(own) + 1)
-        self.tokens, self.owner = np.array([*tokens, *[0] * window], np.int64), owner
-        self.items = [sorted(set(own)) for own, _ in keys.values()]
-        self.starts = np.array([at for _, at in keys.values()], np.int64)
-        self.sizes = np.array([len(k) for k in keys], np.int64)
+        self.window, self.ids, self.names = window, {}, [item for item, _ in items]
+        own = [words.alnum_words(text) for _, text in items]
+        lengths = np.fromiter(map(len, own), np.int64, len(own))
+        # Each item is closed by a 0, and so is the whole, for reads beyond its end.
+        tokens = [k for x in own for k in (*(self.ids.setdefault(w, len(self.ids) + 1) for w in x), 0)]
+        self.tokens = np.array([*tokens, *[0] * (window + 1)], np.int64)
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        self.owner = np.repeat(np.arange(len(own)), lengths + 1)
+        left = np.repeat(begins + lengths, lengths + 1) - np.arange(len(tokens))  # words from each place to its item's end
+        at = np.flatnonzero((left >= window) | (np.isin(np.arange(len(tokens)), begins) & (left > 0)))
+        sizes = np.minimum(left[at], window)
+        # Windows of one size by their suffixes: equal windows are side by side.
+        order = np.lexsort((self._suffix_ranks(int(lengths.max(initial=0)))[at], sizes))
+        self.places, sizes = at[order], sizes[order]
+        table = self._table(self.places, sizes, 0)
+        new = np.ones(len(at), bool)
+        new[1:] = (sizes[1:] != sizes[:-1]) | (table[1:] != table[:-1]).any(axis=1)
+        self.first = np.flatnonzero(new)
+        self.end = np.append(self.first[1:], len(at))
+        self.starts, self.sizes = self.places[self.first], sizes[self.first]
         pairs = self.tokens[:-1] * (len(self.ids) + 1) + self.tokens[1:]
         self.pairs = np.unique(pairs[(self.tokens[:-1] > 0) & (self.tokens[1:] > 0)])
         self.singles = np.unique(self.tokens[self.starts[self.sizes == 1]])
-        self.low = self._keys(0)
-        self.high = self._keys(0xFFFFFFFF)
+        self.low, self.high = (as_keys(self._table(self.starts, self.sizes, fill)) for fill in (0, 0xFFFFFFFF))
+
+    def _suffix_ranks(self, longest: int) -> np.ndarray:
+        """The rank of each place among the suffixes, compared over ``longest`` words: twice as many words in each round."""
+        rank, k = self.tokens, 1
+        while k < longest:
+            after = np.concatenate([rank[k:], np.zeros(min(k, len(rank)), np.int64)])
+            rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1]
+            k *= 2
+        return rank
 
-    def _keys(self, fill: int) -> np.ndarray:
-        """The windows as sortable strings, filled up to full length."""
+    def _table(self, places: np.ndarray, sizes: np.ndarray, fill: int) -> np.ndarray:
+        """The words of windows, filled up to full length."""
         at = np.arange(self.window)
-        table = self.tokens[np.minimum(self.starts[:, None] + at, len(self.tokens) - 1)]
-        return as_keys(np.where(at < self.sizes[:, None], table, fill))
+        return np.where(at < sizes[:, None], self.tokens[np.minimum(places[:, None] + at, len(self.tokens) - 1)], fill)
+
+    def items(self, window: int) -> list[str]:
+        """The items that hold a window."""
+        return [self.names[k] for k in np.unique(self.owner[self.places[self.first[window] : self.end[window]]])]
+
+    def extend(self, ids: np.ndarray, where: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of matches of window ``which`` at place ``where`` of ``ids``: the words of the longest match with any item, and the range of its suffixes."""
+        length, lo, hi = self.sizes[which].copy(), self.first[which].copy(), self.end[which].copy()
+        alive = np.arange(len(which))
+        while len(alive):
+            word = ids[where[alive] + length[alive]]
+            alive, word = alive[word > 0], word[word > 0]
+            a = self._bound(lo[alive], hi[alive], length[alive], word)
+            b = self._bound(a, hi[alive], length[alive], word + 1)
+            alive, a, b = alive[a < b], a[a < b], b[a < b]
+            length[alive] += 1
+            lo[alive], hi[alive] = a, b
+        return length, lo, hi
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The first suffix in each range, all alike in ``length`` words, whose next word is ``word`` or more."""
+        lo, hi = lo.copy(), hi.copy()
+        while (live := np.flatnonzero(lo < hi)).size:
+            middle = (lo[live] + hi[live]) >> 1
+            less = self.tokens[self.places[middle] + length[live]] < word[live]
+            lo[live[less]], hi[live[~less]] = middle[less] + 1, middle[~less]
+        return lo
 
 
 def as_keys(table: np.ndarray) -> np.ndarray:
@@ -89,6 +136,7 @@ def suffix_array(ids: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarra
 def search(test: TestSide, docs: list[list[bytes]]) -> tuple[np.ndarray, list[set[str]], list[tuple[int, int, str | None]]]:
     """Of each document in the shard: which words are hit, the items found, and the longest match (words, place, item).
 
+    Of longest matches the first counts, and of its items the one of the smallest name.
     The hit marks stand end to end, each document followed by ``window`` unused places.
     """
     w, found, best = test.window, [set() for _ in docs], [(0, -1, None)] * len(docs)
@@ -108,31 +156,42 @@ def search(test: TestSide, docs: list[list[bytes]]) -> tuple[np.ndarray, list[se
         which = np.repeat(np.arange(len(left)), right - left)
         where = places[np.arange(len(which)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + np.repeat(left, right - left)]
         change += np.bincount(where, minlength=len(change)) - np.bincount(where + test.sizes[which], minlength=len(change))
-        length, tokens = test.sizes[which].copy(), test.tokens
-        alive = np.arange(len(which))
-        while len(alive):
-            a, b = ids[where[alive] + length[alive]], tokens[np.minimum(test.starts[which[alive]] + length[alive], len(tokens) - 1)]
-            alive = alive[(a == b) & (a > 0)]
-            length[alive] += 1
+        length, lo, hi = test.extend(ids, where, which)
         of = np.searchsorted(first, where, side="right") - 1
         for d, k in np.unique(np.stack([of, which], 1), axis=0):
-            found[d].update(test.items[k])
-        for j in np.lexsort((-where, length)):
-            best[of[j]] = (int(length[j]), int(where[j] - first[of[j]]), test.owner[int(test.starts[which[j]])])
+            found[d].update(test.items(k))
+        at = where - first[of]
+        order = np.lexsort((at, -length, of))
+        for j in order[np.append(True, of[order][1:] != of[order][:-1])] if len(order) else order:
+            owners = np.unique(test.owner[test.places[lo[j] : hi[j]]])
+            best[of[j]] = (int(length[j]), int(at[j]), min(test.names[x] for x in owners))
     return np.cumsum(change[:-1]) > 0, found, best
 
 
+_held: OrderedDict[str, TestSide] = OrderedDict()
+
+
+def _chunk(uri: str) -> TestSide:
+    """A chunk of the test side; a worker keeps the HELD_CHUNKS that it used last."""
+    if uri not in _held:
+        _held[uri] = pickle.loads(shared.read_file(uri))
+        if len(_held) > HELD_CHUNKS:
+            _held.popitem(last=False)
+    _held.move_to_end(uri)
+    return _held[uri]
+
+
 def _scan(chunks: list[str], document_columns: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = pickle.loads(shared.read_file(chunks[0])) if len(chunks) == 1 else None
-        for batch, texts in words.blocks(batches):
+        # Larger shards where chunks must be read again for each.
+        for batch, texts in words.blocks(batches, size=words.BLOCK_BYTES * (1 if len(chunks) <= HELD_CHUNKS else 4)):
             docs = [words.alnum_words(x) for x in texts]
             hits, items, best = None, [set() for _ in docs], [(0, -1, None)] * len(docs)
             for uri in chunks:
-                hit, found, longest = search(only or pickle.loads(shared.read_file(uri)), docs)
+                hit, found, longest = search(_chunk(uri), docs)
                 hits = hit if hits is None else hits | hit
                 items = [a | b for a, b in zip(items, found, strict=True)]
-                best = [max(a, b, key=lambda x: x[0]) for a, b in zip(best, longest, strict=True)]
+                best = [min(a, b, key=lambda x: (-x[0], x[1], x[2] or "")) for a, b in zip(best, longest, strict=True)]
             n_words = [len(x) for x in docs]
             firsts = np.cumsum([0, *(n + WINDOW for n in n_words)])
             n_hit = [int(hits[a : a + n].sum()) if hits is not None else 0 for a, n in zip(firsts, n_words, strict=False)]
@@ -150,24 +209,20 @@ def _scan(chunks: list[str], document_columns: list[str], schema: pa.Schema):
 
 
 def chunked(benchmark: DataFrame, item: str, text: str, window: int) -> list[str]:
-    """Test items as files of bounded size in the shared folder."""
+    """Test items as files of bounded size in the shared folder, built by a task each; items are dealt by their hash."""
     spark = benchmark.sparkSession
-    folder, uris, held, size = shared.new_dir(spark, "testside"), [], [], 0
+    folder = shared.new_dir(spark, "testside")
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = 1 + size // CHUNK_BYTES
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("item", "text"), F.lit(chunks)).cast("int"))
 
-    def put():
-        nonlocal held, size
-        uris.append(f"{folder}/{len(uris):06d}")
-        shared.write_file(uris[-1], pickle.dumps(TestSide(held, window)))
-        held, size = [], 0
+    def build(key: tuple, own: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = sorted((r["item"], r["text"].encode()) for batch in own for r in batch.to_pylist())
+        shared.write_file(uri := f"{folder}/{key[0].as_py():06d}", pickle.dumps(TestSide(items, window)))
+        yield pa.RecordBatch.from_pydict({"uri": [uri]})
 
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
-    for row in rows.toLocalIterator():
-        if held and size + len(row["text"]) > CHUNK_BYTES:
-            put()
-        held.append((row["item"], bytes(row["text"])))
-        size += len(row["text"])
-    put()
-    return uris
+    return sorted(r["uri"] for r in rows.repartition(chunks, "chunk").groupBy("chunk").applyInArrow(build, "uri string").collect())  # one row a chunk
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -178,7 +233,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, keep: list
     ``items`` the items with windows that occur, ``longest`` the words of the
     longest match with its place and item.  Null and empty texts have no words;
     null item ids count as the empty name; rows that repeat are each judged; an
-    empty test set hits nothing.  ``keep`` names the columns to carry along (all);
+    empty test set hits nothing, and an empty table stays empty.  ``keep`` names the columns to carry along (all);
     of names that both inputs have, only the documents' own are meant.
     """
     keep = documents.columns if keep is None else keep
@@ -192,7 +247,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, keep: list
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
+    """The documents that are not contaminated, with their own columns, whatever their names.
+
+    Null and empty texts stay; rows that repeat share one fate; an empty table stays empty; an empty
+    test set removes nothing.
+    """
     clash = {c: f"__{c}" for c in documents.columns if c in FOUND.names}
     found = find_contamination(documents.withColumnsRenamed(clash), benchmark)
     return found.where(~F.col("contaminated")).drop(*FOUND.names).withColumnsRenamed({v: k for k, v in clash.items()})

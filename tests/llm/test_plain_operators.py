@@ -74,6 +74,44 @@ def test_contamination_extends_to_the_longest_match(spark):
     assert decontaminate.remove_contaminated(docs, items).columns == docs.columns
 
 
+def test_contamination_finds_the_longest_of_shared_windows(spark, monkeypatch):
+    shared_ = " ".join(f"w{i}" for i in range(15))
+    items = [(1, f"{shared_} x1 x2"), (2, f"q {shared_} y1 y2 y3 y4"), (3, f"{shared_} y1 z"), (4, f"{shared_} x1 x2"), (5, "w3 w4")]
+    docs = [(1, f"{shared_} y1 y2 y3 n"), (2, f"a {shared_} x1 x2 {shared_}"), (3, f"{shared_} y1"), (4, "w3 w4"), (5, f"{shared_} q"), (6, "none here")]
+    expect = {1: (18, 0, "2"), 2: (17, 1, "1"), 3: (16, 0, "2"), 4: (2, 0, "5"), 5: (15, 0, "1"), 6: (0, None, None)}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontaminate.CHUNK_BYTES, 60):  # what chunk an item falls into decides nothing
+        monkeypatch.setattr(decontaminate, "CHUNK_BYTES", size)
+        rows = decontaminate.find_contamination(d, b).collect()
+        assert {r["doc_id"]: (r["longest"], r["longest_at"], r["longest_item"]) for r in rows} == expect
+
+
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), max_size=6), st.lists(st.sampled_from("abcd"), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_longest_match_equals_brute_force(items, doc):
+    test = decontaminate.TestSide([(f"i{k}", " ".join(x).encode()) for k, x in enumerate(items)], 4)
+    _, found, best = decontaminate.search(test, [[w.encode() for w in doc]])
+    longest, owners = (0, -1, None), set()
+    for k, own in enumerate(items):
+        size = min(4, len(own))
+        for i in range(len(own) - size + 1 if own else 0):
+            for p in range(len(doc) - size + 1):
+                if doc[p : p + size] == own[i : i + size]:
+                    owners.add(f"i{k}")
+                    n = size
+                    while p + n < len(doc) and i + n < len(own) and doc[p + n] == own[i + n]:
+                        n += 1
+                    longest = min(longest, (n, p, f"i{k}"), key=lambda x: (-x[0], x[1], x[2] or ""))
+    assert found[0] == owners and best[0] == longest
+
+
+def test_contamination_of_a_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "word " * 400_000 + passage + " word" * 1000)], "doc_id long, text string")
+    row = decontaminate.find_contamination(docs, spark.createDataFrame([(3, passage)], "item_id long, text string")).first()
+    assert (row["n_words"], row["n_hit"], row["longest"], row["longest_at"], row["contaminated"]) == (401_040, 40, 40, 400_000, False)
+
+
 def test_contamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, items).count() == 0
