@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -22,9 +22,9 @@ from xxhash import xxh3_64_intdigest
 
 from codeloom.llm import words
 
-#: Labelled documents to learn from at most, and the longest of them (characters).  All are scored whole.
+#: Labelled documents to learn from at most, and their characters in all.
 TRAIN_DOCUMENTS = 16_000
-TRAIN_CHARS = 200_000
+TRAIN_CHARS = 64_000_000
 #: Bits of the feature table; bytes of the word beginnings that are features beside the word.
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -146,21 +146,31 @@ def train(rows: Iterator[tuple[int, bytes]]) -> Model:
     return Model(whole, bias, math.exp(leak))
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, chars: int) -> DataFrame:
+def sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, chars: int | None = None) -> DataFrame:
     """At most ``limit`` labelled documents as (label, text), chosen by a hash of their ids.
 
     Of several labels of one document the largest counts; rows without a label, id or
-    text are left out, and so are texts of over ``chars`` characters.
+    text are left out.  ``chars`` bounds the characters in all: the documents are taken in the order of their hashes
+    until the next one would exceed it, whatever their lengths.
     """
     chosen = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(limit)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("label", "text")  # at most ``limit`` rows are broadcast
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id").limit(limit))  # at most ``limit`` rows
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    own = F.col("doc_id") == F.col("id")
+    if chars is None:
+        return rows.join(chosen, own).select("label", "text")
+    sizes = rows.join(chosen, own).groupBy("id").agg(F.sum(F.length("text")).alias("size"), F.max("label").alias("label"))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id"))  # over at most ``limit`` rows
+    within = F.broadcast(sizes.withColumn("upto", upto).where(F.col("upto") <= chars).select("id", "label"))
+    return rows.join(within, own).select("label", "text")
 
 
-def learn(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", limit: int = TRAIN_DOCUMENTS) -> Model:
-    """Learns from a bounded sample of labelled documents."""
-    rows = sample(documents, labels, label, limit, TRAIN_CHARS)
+def learn(documents: DataFrame, labels: DataFrame, *, label: str = "toxic", limit: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS) -> Model:
+    """Learns from a bounded sample of labelled documents: ``limit`` of them and ``chars`` characters in all at most.
+
+    Without labels, or with texts that hold no word, the rate of toxic ones alone is learnt.
+    """
+    rows = sample(documents, labels, label, limit, chars)
     return train((r["label"], r["text"].encode()) for r in rows.toLocalIterator())
 
 
@@ -199,7 +209,11 @@ def score(documents: DataFrame, model: Model, *, keep: list[str] | None = None)
 
 
 def remove_toxic(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
+    """The documents that are not predicted toxic, with their own columns, whatever their names.
+
+    Null and empty texts have the leak as their score and stay unless the leak is 0.5 or more; rows that
+    repeat share one fate; an empty table stays empty.
+    """
     names = ["score", "predicted", "offending"]
     clash = {c: f"__{c}" for c in documents.columns if c in names}
     scored = score(documents.withColumnsRenamed(clash), model)

@@ -280,16 +280,132 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc([r["score"] for r in rows], [labels[r["doc_id"]] for r in rows]) > 0.85
 
 
-def test_quality_posteriors_shrink_sparse_sites(spark):
-    docs = [(i, "t", f"https://{'good' if i % 2 else 'bad'}.org/{i % 3}/x", "en") for i in range(300)] + [(900, "t", "https://good.org/new/x", "en"), (901, None, None, None)]
-    labels = [(i, int(i % 2 and i % 10 > 0)) for i in range(300)] + [(900, 0)]
-    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
-    sites = {(r["host"], r["path"]): r for r in quality.site_posteriors(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
-    assert sites["bad.org", "0"]["path_rate"] < 0.2 < 0.8 < sites["good.org", "1"]["path_rate"]
-    assert sites["good.org", "new"]["path_rate"] > 0.7  # one label says little against its host
+def brute_noisy_or(model, text):
+    """1 less the leak's and all sentences' chances to be clean, each word's weight being its features'."""
+    clean = 1 - model.leak
+    for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+        own = {w for w in "".join(c if c.isalnum() or ord(c) >= 128 else " " for c in sentence).split()}
+        if own:
+            z = model.bias + sum(float(model.weights[toxicity.features(w.encode())].sum()) for w in own)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_toxicity_scores_are_the_noisy_or_of_their_sentences(spark):
+    r = np.random.default_rng(11)
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    weights[[k for w in ("vile", "bad") for k in toxicity.features(w.encode())]] = 1.5
+    model = toxicity.Model(weights, -3.0, 0.01)
+    texts = ["", None, "vile", "Good. bad! vile?\nbad vile", "bad " * 3000, "no words: ...", *(". ".join(" ".join(r.choice(["a", "vile", "bad", "c"], 3)) for _ in range(5)) for _ in range(10)), "fine. " * 100_000 + "bad vile."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in toxicity.score(docs, model).collect():
+        assert row["score"] == pytest.approx(brute_noisy_or(model, row["text"]), abs=1e-6)
+        assert row["predicted"] == int(row["score"] >= 0.5)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.remove_toxic(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_training_descends(spark):
+    r = np.random.default_rng(12)
+    rows = [(int(i % 4 == 0), (". ".join(" ".join(r.choice(list("abcdefgh"), 4)) + (" vilest" if i % 4 == 0 and k == 2 else "") for k in range(5))).encode()) for i in range(300)]
+    model = toxicity.train(iter(rows))
+    loss = lambda m: -np.mean([math.log(max(1e-12, p if y else 1 - p)) for y, p in ((y, brute_noisy_or(m, t.decode())) for y, t in rows)])
+    start = toxicity.Model(np.zeros_like(model.weights), -5.0, 1e-4)
+    assert loss(model) < 0.2 and loss(start) > 0.56  # of the labels' rate alone: 0.56
+
+
+def test_training_sample_is_bounded_and_takes_long_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (300_000 if i == 3 else 10)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels, "toxic", 1000).count() == 50
+    assert toxicity.sample(docs, labels, "toxic", 7).count() == 7
+    assert 300_000 in {len(r["text"]) for r in toxicity.sample(docs, labels, "toxic", 1000, 400_000).collect()}
+    assert sum(len(r["text"]) for r in toxicity.sample(docs, labels, "toxic", 1000, 95).collect()) <= 95
+
+
+def site_names(source):
+    bare = re.sub(r"[?#].*", "", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", source or ""))
+    host, *path = bare.split("/")
+    named = [host.lower(), *(x for x in path[: quality.LEVELS - 1] if x)]
+    return ["/".join(named[: n + 1]) for n in range(len(named))]
+
+
+def brute_posteriors(rows):
+    """Of (source, label) rows: counts and rate by site, strength by level, and the global rate."""
+    counts = {}
+    for source, y in rows:
+        for level, site in enumerate(site_names(source)):
+            n, good = counts.get((level, site), (0, 0))
+            counts[level, site] = n + 1, good + y
+    prior = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
+    rates, strengths = {}, []
+    for level in range(quality.LEVELS):
+        own = {s: (n, g, prior if not level else rates[level - 1, s.rsplit("/", 1)[0]]) for (k, s), (n, g) in counts.items() if k == level}
+        chi = sum((g - n * p) ** 2 / n for n, g, p in own.values())
+        noise, scale = sum(p * (1 - p) for _, _, p in own.values()), sum(n * p * (1 - p) for n, _, p in own.values())
+        between = (chi - noise) / scale if own and chi > noise else 0
+        k = quality.STRONGEST if not between else quality.WEAKEST if between >= 1 else min(quality.STRONGEST, max(quality.WEAKEST, 1 / between - 1))
+        strengths.append(k)
+        rates |= {(level, s): (g + k * p) / (n + k) for s, (n, g, p) in own.items()}
+    return counts, rates, strengths, prior
+
+
+def made_sites():
+    r = np.random.default_rng(13)
+    rates = {f"https://H{h}.org/{p}/{q}/x?y/z#w": r.beta(2, 2) for h in range(6) for p in "ab" for q in "cde"} | {"bare": 0.9, "h1.org//deep": 0.2}
+    rows = [(i, s, int(r.random() < rates[s])) for i, s in enumerate(r.choice(list(rates), 3000))]
+    return [(i, None if i == 5 else s, y) for i, s, y in rows]
+
+
+def test_quality_posteriors_equal_brute_force(spark):
+    rows = made_sites()
+    d = spark.createDataFrame([(i, "t", s) for i, s, _ in rows] + [(None, "t", "bare"), (9999, "t", "h2.org/a")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(7, None), (None, 1)], "doc_id long, quality int")
+    got = quality.site_posteriors(d, labels)
+    counts, rates, strengths, _ = brute_posteriors([(s, y) for _, s, y in rows])
+    assert got.strengths == pytest.approx(strengths) and strengths[0] < quality.STRONGEST
+    table = {(r["level"], r["site"]): r for r in got.table.collect()}
+    assert {k: (r["n"], r["good"]) for k, r in table.items()} == counts
+    assert {k: r["rate"] for k, r in table.items()} == pytest.approx(rates)
+
+
+def test_quality_leaves_a_documents_own_label_out(spark):
+    rows = made_sites()
+    names = "doc_id long, text string, source string, label string, id int, n0 int, p string, h string, o string"
+    d = spark.createDataFrame([(i, "some text", s, "l", 1, 2, "p", "h", "o") for i, s, _ in rows] + [(99_999, None, "h2.org/new", "l", 1, 2, "p", "h", "o"), (99_998, "", "never.seen/x", "l", 1, 2, "p", "h", "o")], names)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.learn(d, labels)
+    got = quality.score(d, labels, model)
+    assert got.columns == [*d.columns, *quality.ADDED]
+    counts, _, strengths, _ = brute_posteriors([(s, y) for _, s, y in rows])
+    known = {i: y for i, _, y in rows}
+    n, good = len(rows), sum(known.values())
+    logit = lambda p: math.log(p / (1 - p))
+    out = got.collect()
+    assert len(out) == len(rows) + 2
+    for r in out[::7] + [x for x in out if x["doc_id"] > 99_000]:
+        has, y = int(r["doc_id"] in known), known.get(r["doc_id"], 0)
+        prior = rate = (good - y + 0.5) / (n - has + 1)
+        for level, site in enumerate(site_names(r["source"])):
+            if (level, site) in counts:
+                a, b = counts[level, site]
+                rate = (b - y + strengths[level] * rate) / (a - has + strengths[level])
+        assert r["site_odds"] == pytest.approx(logit(rate) - logit(prior), abs=1e-9)
+        assert r["quality_score"] == pytest.approx(1 / (1 + math.exp(-r["document_odds"] - r["site_odds"]))) and r["accepted"] == (r["quality_score"] >= 0.5)
+    kept = quality.keep_good(d.withColumnRenamed("o", "accepted"), labels, model)
+    assert kept.columns == [*d.columns[:-1], "accepted"] and kept.count() == sum(r["accepted"] for r in out)
+    with pytest.raises(ValueError, match="accepted"):
+        quality.score(d.withColumnRenamed("o", "accepted"), labels, model)
+
+
+def test_quality_of_empty_tables_and_long_texts(spark):
+    d = spark.createDataFrame([(i, "Good words here. " * (100_000 if i == 3 else 5), None) for i in range(6)], "doc_id long, text string, source string")
     empty = spark.createDataFrame([], "doc_id long, quality int")
-    rows = quality.score(d, empty, quality.learn(d, empty)).collect()
-    assert len(rows) == 302 and {r["quality_score"] for r in rows} == {0.5}
+    model = quality.learn(d, empty)
+    rows = quality.score(d, empty, model).collect()
+    assert len(rows) == 6 and {r["quality_score"] for r in rows} == {0.5}
+    assert quality.score(d.limit(0), empty, model).count() == 0 and quality.keep_good(d.limit(0), empty, model).columns == d.columns
+    own = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert len(quality.score(d, own, quality.learn(d, own)).collect()) == 6
 
 
 def test_quality_on_labels(spark):
