@@ -27,8 +27,13 @@ def find_one(table: DataFrame, filters: dict | None = None, order: str = "id") -
 
 
 def get(table: DataFrame, key: str) -> DataFrame:
-    """The row of an id, or of the part of an id behind its type; no row if there is none."""
-    return table.where((F.col("id") == key) | F.col("id").endswith(f"/{key}") if "/" not in key else F.col("id") == key).limit(1)
+    """The row of an id; no row if there is none.
+
+    A key without a type is the part of an id behind its type; of several types that have it, the first in order counts.
+    """
+    if "/" in key:
+        return table.where(F.col("id") == key).limit(1)
+    return find_one(table.where((F.col("id") == key) | F.col("id").endswith(f"/{key}")))
 
 
 def of_type(nodes: DataFrame, node_type: str) -> DataFrame:

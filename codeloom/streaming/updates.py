@@ -1,4 +1,8 @@
-"""Keeps extracted rows and import counts up to date as source files arrive."""
+"""Extracts rows from source files as they arrive.
+
+Spark's file stream passes over names that begin with ``_`` or ``.``; files such as ``__init__.py`` need a batch
+scan (``plans.scan``).
+"""
 
 from __future__ import annotations
 

@@ -53,7 +53,8 @@ def test_descendants_paths_cycles_and_depth(spark):
 
 def test_nested_tree_rejects_cycles():
     tree = graph.nested_tree({"id": "r"}, [{"id": "a", "parent_id": "r"}, {"id": "b", "parent_id": "a"}, {"id": "a", "parent_id": "r"}])
-    assert tree == {"id": "r", "children": [{"id": "a", "children": [{"id": "b", "children": []}]}]}
+    below = {"id": "a", "children": [{"id": "b", "children": []}]}
+    assert tree == {"id": "r", "children": [below, below]}  # a child stands there once a row, as parallel edges give it
     with pytest.raises(ValueError, match="cycle"):
         graph.nested_tree({"id": "r"}, [{"id": "a", "parent_id": "r"}, {"id": "r", "parent_id": "a"}])
 
@@ -208,7 +209,7 @@ def test_handles(spark, tmp_path):
     project = manager.create_project("one", "/one/")
     src = project.add_folder("src", "/one/src/")
     main = src.add_file("main.py", "/one/src/main.py")
-    assert (main.qname, main.absolute_path) == ("main", "/one/src/main.pymain.py")
+    assert (src.qname, main.qname, main.absolute_path) == ("src", "src.main", "/one/src/main.pymain.py")
     f, c = main.add_function("go", (1, 0, 2, 5)), main.add_class("K", (3, 0, 9, 1))
     method = c.add_method("new", (4, 4, 5, 8))
     assert method.qname.endswith("K::new") and [m.name for m in c.methods()] == ["new"]
@@ -224,6 +225,8 @@ def test_handles(spark, tmp_path):
     c.add_field(name="x")
     assert c.fields == [{"name": "x"}]
     package = manager.get_or_create_package("numpy")
+    with pytest.raises(TypeError):
+        f.uses_import(src, target_symbol="s", import_position=(0, 0, 0, 0), usage_positions=[])
     f.uses_import(package, target_symbol="np", import_position=(1, 0, 1, 5), usage_positions=[(2, 0, 2, 2)], alias="np")
     assert manager.get_or_create_package("numpy", "2.0").version == "2.0"
     assert manager.store.edges.find({"edge_type": "contains"}).count() == 4
@@ -248,8 +251,14 @@ def test_store_writes(spark, tmp_path):
     assert store.nodes.get("class/1")["position"] is None and store.nodes.find({"position": None}).count() == 2
     store.nodes.delete(spark.createDataFrame([("class/1",)], "id string"))
     assert ids(store.nodes.read()) == ["class/2"] and store.nodes.find({}, limit=1).count() == 1
+    again = spark.createDataFrame([("class/3", "class", "x"), ("class/3", "class", "y"), ("class/3", "class", None)], "id string, node_type string, name string")
+    GraphStore(spark, str(tmp_path / "g")).nodes.insert(again)  # another writer
+    assert store.nodes.get("class/3")["name"] == "y"
+    assert ids(store.nodes.compacted(str(tmp_path / "h")).read()) == ["class/2", "class/3"]
     store.truncate()
     assert store.nodes.find_one() is None
+    store.nodes.insert(again)
+    assert ids(store.nodes.read()) == ["class/3"]
     with pytest.raises(PySparkException):
         store.sql("SELECT nothing FROM {nodes}")
 
