@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import schema
+from codeloom.api import Manager
 from codeloom.functions import names
 from codeloom.operators import filters, graph, joins, rollups, trees
 from codeloom.plans import sample, scan, testbed
 from codeloom.plans.testbed import EDGES, NODES, table
+from codeloom.sources import files as source_files
+from codeloom.sources import store, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -58,7 +62,7 @@ def s8_full_scan(spark, d):
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey = 3 GROUP BY c_mktsegment")
 def s9_sql_passthrough(spark, d):
-    return spark.sql("SELECT c_mktsegment, count(*) AS n FROM {c} WHERE c_nationkey = :key GROUP BY c_mktsegment", args={"key": 3}, c=table(spark, d, "customer"))
+    return store.sql(spark, "SELECT c_mktsegment, count(*) AS n FROM {c} WHERE c_nationkey = :key GROUP BY c_mktsegment", {"key": 3}, c=table(spark, d, "customer"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -194,10 +198,12 @@ def j13_external_anti(spark, d):
     return joins.external(*_targets(spark, d), "q")
 
 
-@query(f"WITH {_NAMES} SELECT page_id, q FROM inside WHERE q NOT IN (SELECT q FROM known)")
+@query(f"WITH {_NAMES} SELECT page_id, q || '.lost' AS q FROM targets WHERE page_id % 3 = 0 UNION ALL SELECT page_id, string_split(q, '.')[1] FROM targets WHERE page_id % 3 = 0")
 def j14_dropped(spark, d):
     targets, known = _targets(spark, d)
-    return joins.unresolved(joins.local(targets, known, "q"), known, "q")
+    own = targets.where("page_id % 3 = 0")
+    below, above = own.withColumn("q", F.concat("q", F.lit(".lost"))), own.withColumn("q", names.first_part(F.col("q")))
+    return joins.unresolved(joins.local(targets.unionByName(below).unionByName(above), known, "q").where("page_id % 3 = 0"), known, "q")
 
 
 @query(f"WITH {_NAMES} SELECT page_id, 'package_' || string_split(q, '.')[1] AS package_id FROM targets")
@@ -261,7 +267,7 @@ def g7_tree_lines(spark, d):
 
 @query(f"WITH {_TREE.replace('GROUP BY ALL', 'GROUP BY path, parent_path, name, depth')} SELECT CASE WHEN parent_path = '' THEN '/' ELSE parent_path END AS from_path, path AS to_path FROM tree")
 def g8_tree_edges(spark, d):
-    return _tree(spark, d).select(F.when(F.col("parent_path") == "", "/").otherwise(F.col("parent_path")).alias("from_path"), F.col("path").alias("to_path"))
+    return trees.edges(_tree(spark, d))
 
 
 # Aggregations
@@ -277,7 +283,7 @@ def ga1_package_rollup(spark, d):
 @query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id")
 def ga2_conditional_counts(spark, d):
     kind = F.col("event_type")
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(kind == "view").alias("views"), F.count_if(kind == "click").alias("clicks"))
+    return rollups.conditional_counts(table(spark, d, "events"), "user_id", {"views": kind == "view", "clicks": kind == "click"})
 
 
 @query(f"WITH {NODES}, {EDGES} SELECT 'node' AS what, node_type AS type, count(*) AS n FROM nodes GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM edges GROUP BY edge_type")
@@ -306,22 +312,106 @@ def ga6_last_write_wins(spark, d):
 def s12_upsert(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     new = old.where("id % 4 = 0").select("id", F.concat(F.lit("new "), "name").alias("name"))
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    return store.inserted(old, new)
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_name END AS name, c_nationkey AS nation FROM customer")
 def s13_partial_update(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
-    new = old.where("id % 4 = 0").select("id", F.lit("new").alias("n"), F.lit(None).cast("int").alias("k"))
-    return old.join(new, "id", "left").select("id", F.coalesce("n", "name").alias("name"), F.coalesce("k", "nation").alias("nation"))
+    new = old.where("id % 4 = 0").select("id", F.lit("new").alias("name"), F.lit(None).cast("long").alias("nation"))
+    return store.updated(old, new)
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0")
 def s15_delete(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return old.join(old.where("id % 4 = 0"), "id", "left_anti")
+    return store.deleted(old, old.where("id % 4 = 0"))
 
 
+def _stored(spark) -> store.GraphStore:
+    return store.GraphStore(spark, f"{work.root(spark)}/graph-{uuid.uuid4().hex}")
+
+
+@query(f"""WITH {NODES} SELECT id, node_type, CASE WHEN id = 'nation/4' THEN 'renamed' ELSE name END AS name FROM nodes WHERE node_type IN ('project', 'folder') AND id <> 'nation/5'
+    UNION ALL SELECT 'nation/99', 'folder', 'late'""")
+def s11_stored_table(spark, d):
+    nodes = _stored(spark).nodes
+    nodes.insert(testbed.nodes(spark, d).where("node_type IN ('project', 'folder')"))
+    nodes.insert(spark.createDataFrame([("nation/99", "folder", "late"), ("nation/4", "folder", "replaced")], "id string, node_type string, name string"))
+    nodes.update(spark.createDataFrame([("nation/4", "renamed"), ("nation/77", "nobody")], "id string, name string"))
+    nodes.delete(spark.createDataFrame([("nation/5",)], "id string"))
+    return nodes.find().select("id", "node_type", "name")
+
+
+@query(f"WITH {NODES} SELECT id, name FROM nodes WHERE node_type = 'project'")
+def s14_truncate(spark, d):
+    kept = _stored(spark)
+    kept.nodes.insert(testbed.nodes(spark, d).where("node_type = 'package'"))
+    kept.truncate()
+    kept.nodes.insert(testbed.nodes(spark, d).where("node_type = 'project'"))
+    return kept.nodes.read().select("id", "name")
+
+
+def _handled(spark) -> Manager:
+    """A graph made through handles alone."""
+    manager = Manager(spark, f"{work.root(spark)}/graph-{uuid.uuid4().hex}")
+    project = manager.create_project("one", "/one/")
+    folder = project.add_folder("src", "/one/src/")
+    file = folder.add_file("main.py", "/one/src/main.py")
+    function, cls = file.add_function("go", (1, 0, 2, 5)), file.add_class("K", (3, 0, 9, 1))
+    cls.add_method("new", (4, 4, 5, 8))
+    function.add_call(cls, (2, 4, 2, 7))
+    package = manager.get_or_create_package("numpy")
+    manager.get_or_create_package("numpy", "2.0")
+    function.uses_import(package, target_symbol="np", import_position=(1, 0, 1, 5), usage_positions=[(2, 0, 2, 2)], alias="np")
+    function.add_input(name="a", type="int")
+    function.add_input(name="b")
+    function.add_output(type="str")
+    cls.add_field(name="x")
+    return manager
+
+
+@query("""SELECT * FROM (VALUES ('project', 'one', 'one', '/one/', -1, '', '', '', NULL), ('folder', 'src', 'src', '/one/src/', -1, '', '', '', NULL), ('file', 'main.py', 'src.main', '/one/src/main.py', -1, '', '', '', NULL),
+    ('function', 'go', 'src.main.go', NULL, 1, '{"name":"a","type":"int"} {"name":"b"}', '{"type":"str"}', '', NULL), ('class', 'K', 'src.main.K', NULL, 3, '', '', '{"name":"x"}', NULL),
+    ('function', 'new', 'src.main.K::new', NULL, 4, '', '', '', NULL), ('package', 'numpy', 'numpy', NULL, -1, '', '', '', '2.0')) AS t(node_type, name, qname, path, line_no, inputs, outputs, fields, version)""")
+def w1_handle_nodes(spark, d):
+    texts = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.to_json(x)), " "), F.lit("")).alias(c)
+    return _handled(spark).store.nodes.read().select("node_type", "name", "qname", "path", F.coalesce("position.line_no", F.lit(-1)).alias("line_no"), *map(texts, ("inputs", "outputs", "fields")), "version")
+
+
+@query("""SELECT * FROM (VALUES ('contains', 'one', 'src', 0, NULL, -1), ('contains', 'src', 'main.py', 0, NULL, -1), ('contains', 'main.py', 'go', 1, NULL, -1), ('contains', 'main.py', 'K', 3, NULL, -1),
+    ('implements', 'K', 'new', -1, NULL, -1), ('calls', 'go', 'K', 2, NULL, -1), ('uses_import', 'go', 'numpy', -1, 'np', 2)) AS t(edge_type, from_name, to_name, line_no, alias, usage_line)""")
+def w3_handle_edges(spark, d):
+    kept = _handled(spark).store
+    ends = lambda side: kept.nodes.read().select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
+    line = lambda c, name: F.coalesce(c, F.lit(-1)).alias(name)
+    rows = kept.edges.read().join(ends("from"), "from_id").join(ends("to"), "to_id")
+    return rows.select("edge_type", "from_name", "to_name", line(F.col("position.line_no"), "line_no"), "alias", line(F.get("usage_positions", F.lit(0))["line_no"], "usage_line"))
+
+
+@query("SELECT * FROM (VALUES ('one', 'project'), ('src', 'folder'), ('main.py', 'file'), ('K', 'class'), ('new', 'function')) AS t(name, found)")
+def f6_loaded_handles(spark, d):
+    manager = _handled(spark)
+    project = manager.load_project(manager.projects()[0].id)
+    (folder,) = project.folders()
+    (file,) = folder.files()
+    (cls,) = file.classes()
+    return spark.createDataFrame([(x.name, x.node_type) for x in (project, folder, file, cls, *cls.methods())], "name string, found string")
+
+
+@query("SELECT 'orders/' || l_orderkey AS from_id, count(*) AS n FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY l_orderkey")
+def f7_resolved_uses(spark, d):
+    edges = testbed.edges(spark, d, "uses_import", "calls")
+    key = F.substring_index("to_id", "/", -1).cast("long")
+    named = edges.withColumn("target_qname", F.when(key % 3 == 0, F.when(key % 2 == 0, "")).otherwise(F.col("to_id")))
+    return filters.resolved_uses(named).groupBy("from_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'customer/' || c_custkey AS id, c_name AS name, 'nation/' || c_nationkey AS parent_id FROM customer WHERE c_nationkey = 3")
+def f10_vertex_and_parent(spark, d):
+    below = graph.descendant_nodes(testbed.edges(spark, d, "contains"), testbed.nodes(spark, d), "nation/3", max_depth=1)
+    return filters.with_parent(below).select("vertex.id", "vertex.name", "parent_id")
+
 # Scalar functions
 
 
@@ -342,11 +432,11 @@ def x8_array_append(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(names.append(F.split("p_type", " "), F.col("p_brand")), ",").alias("parts"))
 
 
-@query("SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'view'), -1) AS last_view FROM events GROUP BY user_id")
+@query("SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'view'), -1) AS last_view FROM events WHERE user_id % 5 <> 0 GROUP BY user_id")
 def x9_map_lookup(spark, d):
-    last = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last"))
-    maps = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "last"))).alias("m"))
-    return maps.select("user_id", F.coalesce(F.try_element_at("m", F.lit("view")), F.lit(-1).cast("long")).alias("last_view"))
+    bound = table(spark, d, "events").select("user_id", F.col("event_type").alias("alias"), F.col("event_id").alias("qname"), F.col("event_id").alias("seq"))
+    left = joins.clear_imports(bound, bound.where("user_id % 5 = 0"), "user_id")
+    return joins.file_imports(left, "user_id").select("user_id", F.coalesce(F.try_element_at("imports", F.lit("view")), F.lit(-1).cast("long")).alias("last_view"))
 
 
 @query(f"WITH {_NAMES} SELECT DISTINCT q AS qname FROM known")
@@ -359,12 +449,35 @@ def a6_relative_base(spark, d):
     return _targets(spark, d)[0].select("page_id", names.relative_base(F.col("q"), F.lit(2)).alias("base"))
 
 
+@query("""SELECT 'orders/' || o_orderkey AS use_id, CASE WHEN c_custkey % 3 = 0 THEN 'customer/' || c_custkey WHEN n_nationkey % 2 = 0 THEN 'nation/' || n_nationkey ELSE 'region/' || n_regionkey END AS definition_id,
+    CASE WHEN c_custkey % 3 = 0 THEN 0 WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END AS hops FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def g10_nearest_definition(spark, d):
+    contains = testbed.edges(spark, d, "contains")
+    uses = contains.where("to_id LIKE 'orders/%'").select(F.col("to_id").alias("use_id"), F.col("from_id").alias("scope_id"), F.lit("x").alias("name"))
+    key = F.substring_index("id", "/", -1).cast("long")
+    defines = testbed.nodes(spark, d).where((F.col("node_type") == "project") | (F.col("node_type") == "file") & (key % 3 == 0) | (F.col("node_type") == "folder") & (key % 2 == 0))
+    definitions = defines.select(F.col("id").alias("scope_id"), F.lit("x").alias("name"), F.col("id").alias("definition_id"))
+    return graph.nearest_definition(uses, contains.select(F.col("to_id").alias("scope_id"), F.col("from_id").alias("parent_id")), definitions)
+
+
+@query("SELECT 'region/2' AS parent_id, 'nation/' || n_nationkey AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'nation/' || c_nationkey, 'customer/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+def g3_nested_tree(spark, d):
+    below = graph.descendants(testbed.edges(spark, d, "contains"), "region/2", max_depth=2)
+    tree, out = graph.nested_tree({"id": "region/2"}, [r.asDict() for r in below.orderBy("depth", "id").toLocalIterator()]), []
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        out += [(node["id"], c["id"]) for c in node["children"]]
+        todo += node["children"]
+    return spark.createDataFrame(out, "parent_id string, id string")
+
+
 # Scans of the sample project, against golden rows
 
 
-def _scanned(spark):
+def _scanned(spark, **options):
     rows = [(p, p.replace(".py", "").replace("/", "."), t) for p, t in sample.SOURCES.items()]
-    return scan.scan_sources(spark, sample.PROJECT, spark.createDataFrame(rows, "path string, module string, content string"))
+    return scan.scan_sources(spark, sample.PROJECT, spark.createDataFrame(rows, "path string, module string, content string"), **options)
 
 
 @query(f"SELECT node_type, qname, path, coalesce(line_no, -1) AS line_no, coalesce(col_offset, -1) AS col_offset, coalesce(end_line_no, -1) AS end_line_no, coalesce(end_col_offset, -1) AS end_col_offset, imported_paths FROM (VALUES {sample.NODES}) AS t(node_type, qname, path, line_no, col_offset, end_line_no, end_col_offset, imported_paths)")
@@ -385,3 +498,25 @@ def w10_scan_golden_uses(spark, d):
 def w10_scan_golden_counts(spark, d):
     g = _scanned(spark)
     return rollups.scan_summary(g.nodes, g.edges).withColumn("n", F.col("n").cast("int"))
+
+
+@query(f"SELECT * FROM (VALUES {sample.CALLS}) AS t(consumer, target, line_no, col_offset)")
+def a15_call_edges(spark, d):
+    g = _scanned(spark, with_calls=True)
+    ends = lambda side, name: g.nodes.select(F.col("id").alias(side), F.col("qname").alias(name))
+    rows = g.edges.where("edge_type = 'calls'").join(ends("from_id", "consumer"), "from_id").join(ends("to_id", "target"), "to_id")
+    return rows.select("consumer", "target", "position.line_no", "position.col_offset")
+
+
+@query("SELECT * FROM (VALUES ('broken.py', 'unparsed', 'SyntaxError'), ('user.py', 'dropped', 'pkg.missing')) AS t(path, kind, detail)")
+def a18_issues(spark, d):
+    texts = {"broken.py": "def (", "pkg.py": "x = 1\n", "user.py": "from pkg import missing\ndef f():\n    missing\n"}
+    rows = [(p, p.removesuffix(".py"), t) for p, t in texts.items()]
+    issues = scan.scan_sources(spark, "p", spark.createDataFrame(rows, "path string, module string, content string")).issues
+    return issues.withColumn("detail", F.substring_index("detail", ":", 1))
+
+
+@query("SELECT * FROM (VALUES ('nation.parquet'), ('region.parquet')) AS t(path)")
+def s1_find_files(spark, d):
+    found = source_files.find_files(spark, d, suffixes=["on.parquet", "documents.parquet"], patterns=["*.parquet", "!nation.parquet", "!region.parquet"])
+    return found.where("length > 0").select("path")

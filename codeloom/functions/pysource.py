@@ -122,7 +122,7 @@ def source_rows(text: str | None) -> list[dict]:
     try:
         walk.visit(ast.parse(text or ""))
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [{"kind": "error", "seq": 0, "name": type(e).__name__, "alias": str(e)[:500], "level": None, "chain": None, "position": None, "scopes": []}]
+        return [{"kind": "error", "seq": 0, "name": type(e).__name__, "alias": str(e), "level": None, "chain": None, "position": None, "scopes": []}]
     return walk.rows
 
 

@@ -32,6 +32,17 @@ def latest(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("qname").agg(F.max_by("id", F.struct("seq", "id")).alias("id"))
 
 
+def file_imports(bindings: DataFrame, by: str = "path", alias: str = "alias", value: str = "qname") -> DataFrame:
+    """Of each file, its imports as one map from alias to the name bound last (by ``seq``): columns ``by`` and imports."""
+    last = bindings.groupBy(by, alias).agg(F.max_by(value, "seq").alias("value"))
+    return last.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct(alias, "value"))).alias("imports"))
+
+
+def clear_imports(bindings: DataFrame, files: DataFrame, by: str = "path") -> DataFrame:
+    """The bindings without those of the given files."""
+    return bindings.join(files.select(by).distinct(), by, "left_anti")
+
+
 def look_up(rows: DataFrame, symbols: DataFrame, qname: str, id: str = "id") -> DataFrame:
     """Adds the id of each row's name, null if the name is unknown."""
     return rows.join(latest(symbols).select(F.col("qname").alias(qname), F.col("id").alias(id)), qname, "left")

@@ -76,3 +76,13 @@ USES = """
     ('store.item.Item', 'numpy', 'numpy.float64', 'float64', 'np', 5, 12, 22, 1),
     ('store.item.Item', 'numpy', 'numpy', 'np', 'np', 5, 12, 14, 1)
 """
+
+#: consumer, target, line_no, col_offset of the calls of what the project declares
+CALLS = """
+    ('app.App.__init__', 'store.item.Item', 10, 20),
+    ('app.App.run', 'helpers.total', 13, 15),
+    ('app.start', 'app.App', 17, 10),
+    ('app.start', 'helpers.total', 18, 11),
+    ('app.start', 'app.App.run', 18, 19),
+    ('helpers.Tool.use', 'helpers.total', 7, 15)
+"""
