@@ -199,6 +199,8 @@ def _links(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> Dat
         heads = first.select("bucket", F.col("l.digest").alias("leader"), F.col("l.component").alias("leads"), *[F.col(f"l.{o}").alias(f"l{o[1:]}") for o in odd])
         heads = shared.save(heads, "leaders", rows=n)
         if not n:
+            if links is not None:  # without links the result reads ``involved``
+                shared.forget(involved, sets)
             return components
         met = placed.join(heads, "bucket").where((F.col("component") != F.col("leads")) & _possible("o", "l", percent))
         pairs = shared.save(met.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct(), "pairs")
@@ -253,10 +255,11 @@ def _named(docs: DataFrame, sketched: DataFrame, size: int, percent: int) -> Dat
 
 
 def keep_first(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, with its own columns: that of the smallest doc_id, nulls last.
+    """One row of each component, with its own columns, whatever their names: that of the smallest doc_id, nulls last.
 
     Rows are chosen, not ids: of rows that repeat an id, each stays or goes with the component of its
-    own text.  Rows without words have no component and all stay.
+    own text.  Rows without words (null, empty or blank texts) have no component and all stay; an empty table
+    stays empty; texts of any length count whole.
     """
     # Saved with numbers, so that a row keeps its number in all reads.
     rows = shared.save(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")

@@ -260,8 +260,10 @@ def encode(documents: DataFrame, path: str, *, keep: list[str] | None = None) ->
 
 
 def decode(encoded: DataFrame, path: str, *, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``decoded``, the text of each row's ``ids`` (null: empty)."""
+    """Adds ``decoded``, the text of each row's ``ids`` (null: empty); a column of that name is refused."""
     keep = encoded.columns if keep is None else keep
+    if "decoded" in keep:
+        raise ValueError("columns that the result adds exist already: ['decoded']")
     out = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("decoded", T.StringType(), False)])
     schema = to_arrow_schema(out)
 

@@ -1,33 +1,18 @@
 """Work files in the one folder that the driver and all executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; a
-temporary folder is set only where that setting is missing (tests, local runs).
+The folder is the one the session names in ``spark.checkpoint.dir`` (see ``sources.work``).
 """
 
 from __future__ import annotations
 
 import mmap
 import posixpath
-import tempfile
 import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = sc.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="codeloom-")
-        sc.setCheckpointDir(_own[app])
-    return _own[app]
+from codeloom.sources.work import root
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

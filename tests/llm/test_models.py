@@ -44,6 +44,8 @@ def test_pieces_keep_columns_and_decode(spark, odd_rows):
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") and r["decoded_too"] == "x" for r in rows)
     with pytest.raises(ValueError, match="ids"):
         pieces.encode(odd_rows.selectExpr("doc_id", "text", "1 AS ids"), MODEL)
+    with pytest.raises(ValueError, match="decoded"):
+        pieces.decode(encoded.selectExpr("doc_id", "ids", "1 AS decoded"), MODEL)
 
 
 @given(st.text("abc", max_size=25), st.integers(1, 4))
@@ -430,3 +432,27 @@ def test_pipeline(spark, sf_dir):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["n_ids"] == len(library.encode(texts[r["doc_id"]] or "")) for r in rows)
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, sf_dir):
+    documents = queries.table(spark, sf_dir, "documents")
+    text = " ".join(f"word{i}" for i in range(60))
+    odd = [(None, text), (None, "a text without an id, and of its own"), (None, None), (None, ""), (5_000_001, text), (5_000_001, "one id, another text that is its own"), (5_000_001, text), (5_000_002, "long " * 200_000)]
+    extra = spark.createDataFrame([(i, t, None, None, None, "p", "h") for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long, p string, h string")
+    docs = documents.limit(20).withColumns({"p": documents["lang"], "h": documents["lang"]}).unionByName(extra.select(*[extra[f.name].cast(f.dataType) for f in documents.schema], "p", "h"))
+    for name, stage in corpus_pipeline.STAGES:
+        before = Counter((r["doc_id"], r["text"]) for r in docs.collect()) if "text" in docs.columns else None
+        out = corpus_pipeline.shared.save(stage(spark, docs, sf_dir), name)
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.columns == out.columns and empty.count() == 0
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert out.count() == sum(before.values())
+            break
+        assert out.columns == docs.columns
+        after = Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert not after - before, name
+        if name == "near_duplicates":
+            held = [t for (i, t), n in before.items() for _ in range(n) if t == text]
+            assert [n for (i, t), n in after.items() if t == text] == ([1] if held else [])
+            assert after == before - Counter({(i, t): n - after[i, t] for (i, t), n in before.items() if t == text}), name
+        docs = out
