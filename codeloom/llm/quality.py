@@ -201,7 +201,10 @@ def score(documents: DataFrame, labels: DataFrame, model: Model, *, keep: list[s
             x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "sites")), pa.array(model.log_odds(x))], names=out.names)
 
-    scored = rows.mapInArrow(run, out).join(_labels(labels, label), "id", "left")
+    # Dealt by id at every size, since labels may grow with the documents; rows without an id, which has no label, are spread.
+    spread = F.when(F.col("id").isNull(), F.xxhash64("row")).otherwise(F.lit(0).cast("long"))
+    own = _labels(labels, label).select(F.struct("id", F.lit(0).cast("long").alias("spread")).alias("key"), "label").hint("shuffle_hash")
+    scored = rows.mapInArrow(run, out).withColumn("key", F.struct("id", spread.alias("spread"))).join(own, "key", "left")
     own_n, own = F.when(F.col("label").isNull(), 0).otherwise(1), F.coalesce(F.col("label"), F.lit(0))
     prior = rate = (F.lit(known.good + 0.5) - own) / (F.lit(known.n + 1) - own_n)
     for level in range(LEVELS):
