@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from xxhash import xxh3_64_intdigest
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -28,17 +29,19 @@ def alnum_words(text: bytes) -> list[bytes]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as UTF-8 (null: empty)."""
+    """Slices of the batches with their texts as UTF-8 (null: empty), made one slice at a time."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
-        start = held = 0
-        for i, x in enumerate(texts):
-            if held and held + len(x) > size:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(x)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        column = batch.column(text).cast(pa.binary())
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        cuts, held = [0], 0
+        for i, n in enumerate(lengths):
+            if held and held + n > size:
+                cuts.append(i)
+                held = 0
+            held += n
+        for start, end in zip(cuts, [*cuts[1:], len(lengths)], strict=True):
+            if start < end:
+                yield batch.slice(start, end - start), [x or b"" for x in column.slice(start, end - start).to_pylist()]
 
 
 def codes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
