@@ -145,13 +145,13 @@ def _clicks_and_views(spark, d):
 @query(_AS_OF.format("max"))
 def j7_asof_binding(spark, d):
     clicks, views = _clicks_and_views(spark, d)
-    return joins.as_of(clicks, views, ["user_id"], F.col("event_id")).select("event_id", F.col("bound").alias("view_id"))
+    return joins.as_of(clicks, views, ["user_id"], F.col("event_id"), bucket=F.date_trunc("day", "seq.ts")).select("event_id", F.col("bound").alias("view_id"))
 
 
 @query(_AS_OF.format("min"))
 def j8_first_import_pos(spark, d):
     clicks, views = _clicks_and_views(spark, d)
-    return joins.as_of(clicks, views, ["user_id"], F.col("event_id"), F.col("event_id")).select("event_id", F.col("first").alias("view_id"))
+    return joins.as_of(clicks, views, ["user_id"], F.col("event_id"), F.col("event_id"), bucket=F.date_trunc("day", "seq.ts")).select("event_id", F.col("first").alias("view_id"))
 
 
 _RANGES = "ranges AS (SELECT p_brand, p_partkey, p_size AS lo, p_size + p_partkey % 3 AS hi FROM part)"

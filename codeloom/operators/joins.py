@@ -48,16 +48,28 @@ def look_up(rows: DataFrame, symbols: DataFrame, qname: str, id: str = "id") ->
     return rows.join(latest(symbols).select(F.col("qname").alias(qname), F.col("id").alias(id)), qname, "left")
 
 
-def as_of(usages: DataFrame, bindings: DataFrame, by: list[str], value: Column, first: Column | None = None) -> DataFrame:
+def as_of(usages: DataFrame, bindings: DataFrame, by: list[str], value: Column, first: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """Adds to each usage the ``value`` of the last binding before it (``bound``) and, if asked, of ``first`` of the earliest (``first``).
 
     Both sides have the columns ``by`` and an order ``seq``; of equal ``seq``, a binding comes after.  Usages
     without a binding are dropped.  Both sides are laid into one order for each key and read once, so that the
     work does not grow with the product of a key's usages and bindings.
+
+    ``bucket``, an expression that never falls as ``seq`` grows (the day of a time), splits keys of many rows: each bucket
+    is ordered by itself, and what earlier ones bound comes in as one more binding, from an aggregate of a row a bucket.
     """
     own = bindings.select(*by, "seq", F.struct(value.alias("v")).alias("__value"), F.struct((value if first is None else first).alias("v")).alias("__first"), F.lit(True).alias("__binding"))
     rows = usages.withColumn("__binding", F.lit(False)).unionByName(own, allowMissingColumns=True)
-    before = Window.partitionBy(*by).orderBy("seq", "__binding").rowsBetween(Window.unboundedPreceding, 0)
+    keys, order = by, ["seq", "__binding"]
+    if bucket is not None:
+        keys, order = [*by, "__bucket"], ["__here", *order]
+        rows = rows.withColumns({"__bucket": bucket, "__here": F.lit(True)})
+        at = F.when(F.col("__binding"), F.struct("seq"))  # a struct, so that a null seq counts as the least
+        held = rows.groupBy(*keys).agg(F.max_by("__value", at).alias("__value"), F.min_by("__first", at).alias("__first"))
+        earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = held.select(*keys, F.last("__value", ignorenulls=True).over(earlier).alias("__value"), F.first("__first", ignorenulls=True).over(earlier).alias("__first"), F.lit(True).alias("__binding"), F.lit(False).alias("__here"))
+        rows = rows.unionByName(carried.where(F.col("__value").isNotNull()), allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"bound": F.last("__value", ignorenulls=True).over(before), "first": F.first("__first", ignorenulls=True).over(before)})
     rows = rows.where(~F.col("__binding") & F.col("bound").isNotNull())
     return rows.select(*usages.columns, F.col("bound.v").alias("bound"), *([F.col("first.v").alias("first")] if first is not None else []))

@@ -1,5 +1,7 @@
 """Operators, scans, stores and handles on small inputs."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -81,6 +83,19 @@ def test_as_of_takes_the_last_before_and_the_first(spark):
     assert got == [(3, "a", "a"), (5, "b", "a")]
 
 
+def test_as_of_in_buckets_equals_one_order(spark):
+    rng = random.Random(3)
+    key = lambda: rng.choice(["hot", "hot", "hot", "g", None])
+    seqs = rng.sample(range(300), 120)
+    uses = spark.createDataFrame([(key(), rng.choice([None, rng.randrange(300)]) if i % 20 == 0 else rng.randrange(300), i) for i in range(150)], "k string, seq long, n long")
+    binds = spark.createDataFrame([(key(), None if i == 0 else s, None if i % 7 == 0 else f"v{i}") for i, s in enumerate(seqs)], "k string, seq long, v string")
+    rows = lambda **more: sorted(map(repr, joins.as_of(uses, binds, ["k"], F.col("v"), F.col("v"), **more).collect()))
+    whole = rows()
+    assert whole
+    for width in (1, 7, 100, 1000):
+        assert rows(bucket=F.floor(F.col("seq") / width)) == whole
+
+
 def test_names(spark):
     df = spark.createDataFrame([("models/user.py", "models"), ("a/b.pyc.py", ""), ("models/models.py", "models"), ("a/data.py", "a")], "p string, c string")
     assert [r[0] for r in df.select(names.module_name(F.col("p"))).collect()] == ["models.user", "a.bc", "models.models", "a.data"]
