@@ -252,6 +252,6 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
     Null and empty texts stay; rows that repeat share one fate; an empty table stays empty; an empty
     test set removes nothing.
     """
-    clash = {c: f"__{c}" for c in documents.columns if c in FOUND.names}
-    found = find_contamination(documents.withColumnsRenamed(clash), benchmark)
-    return found.where(~F.col("contaminated")).drop(*FOUND.names).withColumnsRenamed({v: k for k, v in clash.items()})
+    renamed, back = shared.aside(documents, FOUND.names)
+    found = find_contamination(renamed, benchmark)
+    return found.where(~F.col("contaminated")).drop(*FOUND.names).withColumnsRenamed(back)

@@ -262,14 +262,16 @@ def keep_first(documents: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     stays empty; texts of any length count whole.
     """
     # Saved with numbers, so that a row keeps its number in all reads.
-    rows = shared.save(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    docs = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__row")
-    kinds = "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>, __row long"
-    sketched = shared.save(docs.mapInArrow(_sketcher(shingle, ["__row"]), kinds), "sketches")
+    number = shared.unused("row", documents.columns)
+    rows = shared.save(documents.withColumn(number, F.monotonically_increasing_id()), "rows")
+    docs = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(number).alias("row"))
+    kinds = "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>, row long"
+    sketched = shared.save(docs.mapInArrow(_sketcher(shingle, ["row"]), kinds), "sketches")
     named = _named(docs, sketched, shingle, percent).select("digest", "component")
-    own = shared.save(sketched.select("digest", "doc_id", "__row").join(named, "digest"), "members")
+    own = shared.save(sketched.select("digest", "doc_id", "row").join(named, "digest"), "members")
     # Nulls sort first in structs: whether the id is lacking comes before it.
-    stays = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__stays"))
-    gone = own.join(stays, "component").where("__row != __stays").select(F.col("__row").alias("__gone"))
+    stays = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
+    gone = own.join(stays, "component").where("row != stays").select(F.col("row").alias(number))
     gone = shared.save(gone, "gone")
-    return rows.join(_few(gone), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    shared.forget(sketched, named, own)
+    return rows.join(_few(gone), number, "left_anti").drop(number)

@@ -226,6 +226,5 @@ def keep_good(documents: DataFrame, labels: DataFrame, model: Model) -> DataFram
     Null and empty texts stay or go by their scores (see ``score``); rows that repeat
     share one fate; an empty table stays empty.
     """
-    clash = {c: f"__own_{c}" for c in documents.columns if c in ADDED}
-    scored = score(documents.withColumnsRenamed(clash), labels, model)
-    return scored.where("accepted").drop(*ADDED).withColumnsRenamed({v: k for k, v in clash.items()})
+    renamed, back = shared.aside(documents, ADDED)
+    return score(renamed, labels, model).where("accepted").drop(*ADDED).withColumnsRenamed(back)

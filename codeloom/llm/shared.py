@@ -8,6 +8,7 @@ from __future__ import annotations
 import mmap
 import posixpath
 import uuid
+from collections.abc import Sequence
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,23 @@ def forget(*saved: DataFrame) -> None:
             files.delete_dir(path)
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, lengthened until none of ``columns`` bears it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these names renamed, and what each of those was called, to name them back."""
+    back: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            back[unused(f"own_{c}", [*df.columns, *names, *back])] = c
+    return df.withColumnsRenamed({c: new for new, c in back.items()}), back
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")

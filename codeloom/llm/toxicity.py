@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from codeloom.llm import words
+from codeloom.llm import shared, words
 
 #: Labelled documents to learn from at most, and their characters in all.
 TRAIN_DOCUMENTS = 16_000
@@ -215,6 +215,5 @@ def remove_toxic(documents: DataFrame, model: Model) -> DataFrame:
     repeat share one fate; an empty table stays empty.
     """
     names = ["score", "predicted", "offending"]
-    clash = {c: f"__{c}" for c in documents.columns if c in names}
-    scored = score(documents.withColumnsRenamed(clash), model)
-    return scored.where(F.col("predicted") == 0).drop(*names).withColumnsRenamed({v: k for k, v in clash.items()})
+    renamed, back = shared.aside(documents, names)
+    return score(renamed, model).where(F.col("predicted") == 0).drop(*names).withColumnsRenamed(back)

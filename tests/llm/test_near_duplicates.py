@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from codeloom.llm import neardup
+from codeloom.llm import decontaminate, neardup, quality, toxicity
 
 
 def shingles(text, size):
@@ -95,6 +95,23 @@ def test_keep_first_chooses_rows(spark):
     assert got == ["lone", "one", *["stays"] * 5]
 
 
+def test_filtering_stages_keep_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    names = ["row", "row_", "gone", "stays", "component", "digest", "Score", "own_Score", "predicted", "accepted", "own_accepted", "n_hit", "__n_hit", "id", "label"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in [(1, text), (2, text), (3, None), (4, "other words here")]]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    tests = spark.createDataFrame([("x", "never seen anywhere")], "item_id string, text string")
+    got = neardup.keep_first(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[k] for k in (0, 2, 3)]
+    for got in (
+        quality.keep_good(df, labels, quality.learn(df, labels)),
+        toxicity.remove_toxic(df, toxicity.learn(df, labels)),
+        decontaminate.remove_contaminated(df, tests),
+    ):
+        assert got.columns == df.columns and sorted(map(tuple, got.collect())) == rows
+
+
 def test_odd_sketch_estimates():
     r = np.random.default_rng(0)
     for same in (0.8, 0.9):
