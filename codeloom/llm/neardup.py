@@ -270,8 +270,9 @@ def keep_first(documents: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     named = _named(docs, sketched, shingle, percent).select("digest", "component")
     own = shared.save(sketched.select("digest", "doc_id", "row").join(named, "digest"), "members")
     # Nulls sort first in structs: whether the id is lacking comes before it.
-    stays = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
-    gone = own.join(stays, "component").where("row != stays").select(F.col("row").alias(number))
+    stays = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    # Met by number, not by component, so that no task gets all rows of a large group.
+    gone = own.join(stays, "row", "left_anti").select(F.col("row").alias(number))
     gone = shared.save(gone, "gone")
     shared.forget(sketched, named, own)
     return rows.join(_few(gone), number, "left_anti").drop(number)
