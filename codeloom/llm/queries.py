@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, decontaminate, lm, neardup, pieces, planes, quality, shared, sharding, topk, toxicity
+from codeloom.llm import chat, decontaminate, lm, neardup, negatives, pieces, planes, quality, repeats, runs, shared, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def with_periods(documents: DataFrame) -> DataFrame:
+    """doc_id and text; the texts of about one id in ten go on from some word with a stretch before it, again and again."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    part = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, part).alias("w"))
+    rows = rows.withColumns({"n": F.size("w").cast("long"), "g": F.floor(F.col("h") / 10)})
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    length = -F.col("best.less")
+    return rows.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole(table(spark, sf_dir, "embeddings").where("label IS NOT NULL"), keep=("label",))
+    label = F.col("label").cast("long")
+    return negatives.hard_negatives(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_bit_planes": op2_bit_planes,
@@ -85,6 +117,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sharding": op10_sharding,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +149,36 @@ ORACLES: dict[str, str] = {
         ), c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT n.doc_id, n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON n.doc_id = c.doc_id
     """,
+    "op11_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), g AS (
+            SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w WHERE len(w) >= 13
+        ), k AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM g
+        ), f AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k
+        ), hit AS (SELECT k.doc_id, unnest(range(k.i, k.i + 13)) AS i FROM k JOIN f ON k.k = f.k AND f.first < k.doc_id
+        ), gone AS (SELECT doc_id, list_sort(list_distinct(list(i))) AS gone FROM hit GROUP BY doc_id
+        ), kept AS (
+            SELECT w.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                CASE WHEN gone IS NULL THEN w ELSE (SELECT coalesce(list(w.w[j] ORDER BY j), []) FROM range(1, len(w.w) + 1) r(j) WHERE NOT list_contains(gone, j)) END AS kept
+            FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+        )
+        SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS anchor_id, c.vec_id AS id, q.label = c.label AS same, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE same AND id <> anchor_id
+        ), n AS (
+            SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score WHERE p.r <= 5
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
 }

@@ -155,13 +155,13 @@ def _searcher(k: int):
     return run
 
 
-def whole(vectors: DataFrame, column: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """vec_id and ``v``, the components times ``scale`` rounded down; rows without id or vector, and those with a null or non-finite component, are left out."""
+def whole(vectors: DataFrame, column: str = "embedding", scale: float = 256.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, the columns of ``keep`` and ``v``, the components times ``scale`` rounded down; rows without id or vector, and those with a null or non-finite component, are left out."""
     x = F.transform(F.col(column), lambda c: c.cast("double"))
     infinite = float("inf")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == infinite))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull()).where(~F.coalesce(bad, F.lit(False)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), *keep, F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"))
 
 
 def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY) -> DataFrame:
