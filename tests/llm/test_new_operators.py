@@ -230,7 +230,7 @@ def test_trees_leave_rows_unread():
 
 def test_negatives_take_odd_rows_of_the_table(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, 0, [1.0, 0.5]), (1, 0, [1.0, 0.4]), (2, 1, [0.5, 0.2]), (None, 1, [0.5, 0.2]), (3, None, [0.5, 0.2]), (4, 1, None), (5, 1, [nan, 0.1]), (6, 1, [0.1, None]), (7, 1, [0.5, 0.2]), (8, 1, [inf, 0.0])]
+    rows = [(0, 0, [1.0, 0.5]), (1, 1, [1.0, 0.4]), (2, 0, [0.5, 0.2]), (None, 1, [0.5, 0.2]), (3, None, [0.5, 0.2]), (4, 1, None), (5, 1, [nan, 0.1]), (6, 1, [0.1, None]), (7, 1, [0.5, 0.2]), (8, 1, [inf, 0.0])]
     spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = [tuple(x) for x in queries.op13_hard_negatives(spark, str(tmp_path)).select("anchor_id", "positive_id", "rank", "negative_id").collect()]
     assert got == [(0, 1, 1, 2), (0, 1, 2, 7)]
