@@ -31,7 +31,7 @@ from xxhash import xxh3_64_intdigest
 from codeloom.llm import shared, words
 
 #: Words of a window and of the runs that its minimiser is chosen from.
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 3
 #: Bytes of packed strings in a bucket, on average.
 BUCKET_BYTES = 32 << 20
 #: A run of words is frequent if it makes up this share of all, and is counted in blocks where it comes this often.
@@ -47,11 +47,11 @@ _SPANS = T.StructType([T.StructField("id", T.LongType()), T.StructField("hash",
 def folded(codes: np.ndarray, n: int) -> np.ndarray:
     """Of each place, one number of the ``n`` codes that start there, as far as so many are left."""
     m = max(0, len(codes) - n + 1)
-    out = np.zeros(m, np.uint64)
+    out, product = np.zeros(m, np.uint64), np.empty(m, np.uint64)
     for k in range(n):
-        out += codes[k : k + m] * _MULTIPLIERS[k % 64]
-        out = words.mix(out)
-    return out
+        np.multiply(codes[k : k + m], _MULTIPLIERS[k % 64], out=product)
+        out += product
+    return words.mix(out)
 
 
 def least_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -225,7 +225,7 @@ def _settler(window: int):
     """Spans of words (id, hash, start, end) to remove, of one bucket."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, set[tuple[int, int]]]] = {}  # of each string: its smallest id, and there the texts' hashes and first words
+        held: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}  # of each string: its smallest id, and there the texts' hashes and first words
         out: list[tuple[int, int, int, int]] = []
 
         def drain() -> pa.RecordBatch:
@@ -234,9 +234,9 @@ def _settler(window: int):
             out.clear()
             return batch
 
-        def settle(string: bytes, owner: int, places: set[tuple[int, int]]) -> None:
+        def settle(string: bytes, owner: int, places: list[tuple[int, int]]) -> None:
             n = string.count(b" ") + 1
-            out.extend((owner, h, start, start + n) for h, start in places)
+            out.extend([(owner, h, start, start + n) for h, start in set(places)])
 
         for batch in batches:
             for blob in batch.column("blob"):
@@ -245,14 +245,14 @@ def _settler(window: int):
                 owners, at = ids[doc].tolist(), 0
                 places = list(zip(hashes[doc].tolist(), start.tolist(), strict=True))
                 for s, n in zip(strings, per.tolist(), strict=True):
-                    own, mine = owners[at], set(places[at : at + n])
+                    own, mine = owners[at], places[at : at + n]
                     at += n
                     if (old := held.get(s)) is None or own < old[0]:
                         held[s] = own, mine
                         if old:
                             settle(s, *old)
                     elif own == old[0]:
-                        old[1].update(mine)
+                        held[s] = own, list({*old[1], *mine})
                     else:
                         settle(s, own, mine)
                 if len(out) > 100_000:
