@@ -82,6 +82,13 @@ def test_repeats_of_nothing_and_refused_names(spark):
     assert [tuple(x) for x in out.collect()] == [(1, "a b", "s", 2, 2, 0, "a b")]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 12, 13, 14, 16])
+def test_repeats_of_few_words(spark, n):
+    docs = [(k, " ".join("abcdefghijklmnop"[:n])) for k in range(2)]
+    got = sorted((r["n_words"], r["n_removed"]) for r in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(n, 0), (n, n if n >= 13 else 0)]
+
+
 def test_windows_of_equal_numbers_are_told_apart(monkeypatch):
     monkeypatch.setattr(repeats, "folded", lambda codes, n: np.zeros(max(0, len(codes) - n + 1), np.uint64))
     strings = [b"a b c d", b"b c d e", b"a b c e"]
