@@ -33,7 +33,7 @@ from codeloom.llm import shared, words
 #: Words of a window and of the runs that its minimiser is chosen from.
 WINDOW, GRAM = 13, 3
 #: Bytes of packed strings in a bucket, on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 24 << 20
 #: A run of words is frequent if it makes up this share of all, and is counted in blocks where it comes this often.
 #: So at most 1 / FREQUENT runs are known as frequent, whatever the corpus; which are decides how even buckets are, not results.
 FREQUENT, IN_BLOCK = 1e-5, 3
