@@ -25,7 +25,7 @@ from codeloom.llm import shared, topk
 #: Rows of a stripe and anchors of a block, on average.
 STRIPE, BLOCK = 4096, 2048
 #: Rows of a leaf at most.
-LEAF = 128
+LEAF = 256
 
 _PAIRS = "anchor_id long, positive_id long, id long, score long, positive_score long"
 
@@ -42,7 +42,7 @@ class Tree:
         self.extra = np.sqrt(np.maximum(0, self.m - norms))
         self.largest = np.abs(self.vectors).max(axis=0, initial=0)
         self.read = 0
-        #: Nodes: (rows, None) of a leaf, else (vantage row, ((child, least, greatest distance to it), ...)).
+        #: Nodes: (rows, None, their vectors) of a leaf, else (vantage row, ((child, least, greatest distance to it), ...)).
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(ids)))
 
@@ -56,7 +56,8 @@ class Tree:
         while todo:  # no recursion, so that no input is too deep
             rows, place = todo.pop()
             if len(rows) <= LEAF:
-                self.nodes[place] = (np.sort(rows), None)
+                rows = np.sort(rows)
+                self.nodes[place] = (rows, None, self.vectors[rows])
                 continue
             # Of the row farthest from the first one, others lie far and near; halves are cut by rank, so equal rows are parted too.
             vantage = int(rows[np.argmax(self._distances(int(rows[0]), rows))])
@@ -82,6 +83,7 @@ class Search:
         self.square = float(anchor @ anchor)
         # Floating-point sums up to this size err by less than this.
         self.slack = 1e-9 * (tree.m + self.square) + 1e-6
+        self.small = float(tree.largest @ np.abs(anchor)) < 2**52  # nothing is rounded
         self.scores: dict[int, np.ndarray] = {}
         self.away: dict[int, float] = {}
 
@@ -90,10 +92,10 @@ class Search:
             self.away[row] = math.sqrt(max(0.0, self.tree.m + self.square - 2 * float(self.tree.vectors[row] @ self.anchor)))
         return self.away[row]
 
-    def _leaf(self, node: int, rows: np.ndarray) -> np.ndarray:
+    def _leaf(self, node: int, vectors: np.ndarray) -> np.ndarray:
         if node not in self.scores:
-            self.scores[node] = topk.exact_products(self.tree.vectors[rows], self.anchor)
-            self.tree.read += len(rows)
+            self.scores[node] = (vectors @ self.anchor).astype(np.int64) if self.small else topk.exact_products(vectors, self.anchor)
+            self.tree.read += len(vectors)
         return self.scores[node]
 
     def nearest(self, take: np.ndarray, k: int, low: int | None = None, high: int | None = None) -> list[tuple[int, int]]:
@@ -112,6 +114,7 @@ class Search:
         out: list[tuple[int, int]] = []
         #: (squared distance at least, row or -1, score, id of the row or the node)
         queue: list[tuple[float, int, int, int]] = [(inner, -1, 0, tree.root)]
+        best: list[int] = []  # the k highest scores that were queued
         while queue and len(out) < k:
             _, row, score, at = heapq.heappop(queue)
             if row >= 0:
@@ -119,10 +122,10 @@ class Search:
                 continue
             node = tree.nodes[at]
             if node[1] is None:
-                scores = self._leaf(at, node[0])
+                scores = self._leaf(at, node[2])
                 good = take[node[0]]
-                if low is not None:
-                    good = good & (scores >= low)
+                if (least := best[0] if len(best) == k else low) is not None:  # no less than ``low``
+                    good = good & (scores >= least)
                 if high is not None:
                     good = good & (scores <= high)
                 found = np.flatnonzero(good)
@@ -130,6 +133,7 @@ class Search:
                     found = found[np.argsort(-scores[found], kind="stable")[:k]]
                 for row, s in zip(node[0][found].tolist(), scores[found].tolist(), strict=True):
                     heapq.heappush(queue, (total - 2 * s + self.slack, row, s, int(tree.ids[row])))
+                    (heapq.heappush if len(best) < k else heapq.heappushpop)(best, s)
                 continue
             away = self._to_vantage(node[0])
             for child, least, greatest in node[1]:
