@@ -12,7 +12,7 @@ from codeloom import schema
 from codeloom.api import Manager
 from codeloom.functions import names
 from codeloom.operators import filters, graph, joins, rollups, trees
-from codeloom.plans import sample, scan, testbed
+from codeloom.plans import flow, sample, scan, sources, testbed
 from codeloom.plans.testbed import EDGES, NODES, table
 from codeloom.sources import files as source_files
 from codeloom.sources import store, work
@@ -520,3 +520,74 @@ def a18_issues(spark, d):
 def s1_find_files(spark, d):
     found = source_files.find_files(spark, d, suffixes=["on.parquet", "documents.parquet"], patterns=["*.parquet", "!nation.parquet", "!region.parquet"])
     return found.where("length > 0").select("path")
+
+
+# Execution graphs, variables and members, over sources made from the tables (``plans.sources``)
+
+_FUNCTION = F.regexp_extract("scope", "^f([0-9]+)$", 1).cast("long")
+
+
+@query(f"""WITH {sources.BLOCKS} SELECT o AS function, pos + a AS from_n, pos + b AS to_n, branch FROM block JOIN inside ON block.k = inside.k
+    UNION ALL SELECT x.o, x.pos + a, y.pos, branch FROM block x JOIN opens ON x.k = opens.k JOIN block y ON x.o = y.o AND y.i = x.i + 1
+    UNION ALL SELECT o_orderkey, 0, 1, '' FROM orders""")
+def g9_execution_graph(spark, d):
+    edges = flow.executes(flow.extract(_as_sources(sources.customer_files(spark, d)))).where("scope_kind = 'function'")
+    return edges.select(_FUNCTION.alias("function"), "from_n", "to_n", F.coalesce("branch", F.lit("")).alias("branch"))
+
+
+@query(f"""WITH {sources.BLOCKS} SELECT o AS function, pos + dead AS n FROM block WHERE runs AND dead >= 0
+    UNION ALL SELECT o, unnest(range(pos, pos + size)) FROM block WHERE NOT runs""")
+def g9_unreachable(spark, d):
+    return flow.unreachable(flow.extract(_as_sources(sources.customer_files(spark, d)))).select(_FUNCTION.alias("function"), "n")
+
+
+_MODULES = """modules AS (SELECT o_orderkey AS o, 'n' || c_nationkey || '.c' || c_custkey || '.f' || o_orderkey AS f FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query(f"""WITH {sources.BLOCKS}, {_MODULES} SELECT f AS scope, v AS name, 'variable' AS type FROM block JOIN binds ON block.k = binds.k JOIN modules ON block.o = modules.o GROUP BY ALL
+    UNION ALL SELECT f, unnest(['a', 'b']), 'variable' FROM modules UNION ALL SELECT 's.s' || s_suppkey, 'value', 'global_variable' FROM supplier
+    UNION ALL SELECT 'lib.m' || p_partkey % {sources.LIBRARIES} || '.P' || p_partkey || '.go', 'self', 'variable' FROM part WHERE p_partkey % 5 = 0
+    UNION ALL SELECT 'lib.mix.X' || i || '.' || m, 'self', 'variable' FROM range({sources.MIXINS}) x(i), (SELECT unnest(['go', 'only']) AS m0) y, LATERAL (SELECT CASE m0 WHEN 'go' THEN m0 ELSE m0 || i END AS m) z""")
+def a17_variables(spark, d):
+    rows = flow.extract(sources.all_files(spark, d))
+    kinds = flow.variables(rows).select(F.col("id").alias("to_id"), F.col("node_type").alias("type"))
+    return flow.defines(rows).join(kinds, "to_id").select(F.col("scope_qname").alias("scope"), F.col("variable_name").alias("name"), "type")
+
+
+@query(f"""WITH {sources.BLOCKS}, definition AS (SELECT o, i, v, pos + a AS n, cuts FROM block JOIN binds ON block.k = binds.k WHERE runs),
+    uses AS (SELECT o, i, block.k, v, pos + a AS n, given FROM block JOIN takes ON block.k = takes.k WHERE runs),
+    last AS (SELECT u.o, u.i, u.v, max(d.i) AS cut FROM uses u JOIN definition d ON d.o = u.o AND d.v = u.v AND d.i < u.i AND d.cuts GROUP BY u.o, u.i, u.v)
+    SELECT u.o AS function, u.v AS name, d.n AS from_n, u.n AS to_n FROM uses u LEFT JOIN last ON last.o = u.o AND last.i = u.i AND last.v = u.v
+        JOIN definition d ON d.o = u.o AND d.v = u.v AND CASE WHEN u.given THEN d.i < u.i AND d.i >= coalesce(last.cut, 0) ELSE d.i = u.i END
+    UNION ALL SELECT o, name, 0, pos + a FROM block JOIN takes_parameter t ON block.k = t.k WHERE runs""")
+def a17_definition_uses(spark, d):
+    found = flow.definition_uses(flow.extract(_as_sources(sources.customer_files(spark, d)))).where("scope_kind = 'function'")
+    return found.select(_FUNCTION.alias("function"), "name", "from_n", "to_n")
+
+
+_CLASS = f"'lib.m' || ({{0}}) % {sources.LIBRARIES} || '.P' || ({{0}})"
+
+
+@query(f"""WITH RECURSIVE {sources.BLOCKS}, {_MODULES}, value(s, p) AS (SELECT s_suppkey, s_suppkey % 7 + 1 FROM supplier WHERE s_suppkey % {sources.CHAIN + 1} = 0
+        UNION ALL SELECT s_suppkey, p FROM value JOIN supplier ON s_suppkey = s + 1 WHERE s_suppkey % {sources.CHAIN + 1} <> 0)
+    SELECT f || '.' || v AS variable, {_CLASS.format('p')} AS class FROM block JOIN binds ON block.k = binds.k JOIN modules ON block.o = modules.o WHERE block.k <> 4 GROUP BY ALL
+    UNION ALL SELECT 's.s' || s || '.value', {_CLASS.format('p')} FROM value
+    UNION ALL SELECT {_CLASS.format('p_partkey')} || '.go.self', {_CLASS.format('p_partkey')} FROM part WHERE p_partkey % 5 = 0
+    UNION ALL SELECT 'lib.mix.X' || i || '.' || CASE m WHEN 'go' THEN m ELSE m || i END || '.self', 'lib.mix.X' || i FROM range({sources.MIXINS}) x(i), (SELECT unnest(['go', 'only']) AS m) y""")
+def a14_instance_of(spark, d):
+    rows = flow.extract(sources.all_files(spark, d))
+    return flow.instance_of(rows, flow.resolve(rows)).select(F.col("qname").alias("variable"), F.col("class_qname").alias("class"))
+
+
+@query(f"""WITH RECURSIVE {sources.BLOCKS}, up(p, anc, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT p, anc // 8, hops + 1 FROM up WHERE anc // 8 > 0),
+    go AS (SELECT p, min(hops) FILTER (anc % 5 = 0) AS own, max(hops) AS top FROM up GROUP BY p),
+    member AS (SELECT go.p, CASE WHEN own IS NOT NULL THEN {_CLASS.format('up.anc')} ELSE 'lib.mix.X' || up.anc % {sources.MIXINS} END || '.go' AS member, coalesce(own, top + 1) AS hops FROM go JOIN up ON up.p = go.p AND up.hops = coalesce(own, top)),
+    held AS (SELECT DISTINCT o, v, p FROM block JOIN binds ON block.k = binds.k WHERE block.k <> 4)
+    SELECT block.o AS function, pos + 2 AS n, block.v || '.go' AS chain, {_CLASS.format('held.p')} AS class, member, hops FROM block JOIN held ON held.o = block.o AND held.v = block.v JOIN member ON member.p = held.p WHERE block.k = 6""")
+def g10_member_uses(spark, d):
+    found = flow.member_uses(flow.resolve(flow.extract(sources.all_files(spark, d))))
+    return found.select(_FUNCTION.alias("function"), "n", F.array_join("chain", ".").alias("chain"), "class", "member", "hops")
+
+
+def _as_sources(files):
+    return files.withColumn("module", names.module_name(F.col("path")))
