@@ -170,7 +170,7 @@ def j9_interval_contain(spark, d):
 @query(f"WITH {_RANGES} SELECT p_partkey FROM ranges i WHERE lo = hi AND NOT EXISTS (SELECT 1 FROM ranges o WHERE i.p_brand = o.p_brand AND i.lo >= o.lo AND i.hi <= o.hi AND o.hi > o.lo)")
 def j10_anti(spark, d):
     r = _ranges(spark, d)
-    return joins.contained(r.where("lo = hi"), r.where("hi > lo"), ["p_brand"], "lo", "hi", "left_anti").select("p_partkey")
+    return joins.contained(r.where("lo = hi"), r.where("hi > lo"), ["p_brand"], "lo", "hi", "left_anti", bucket=F.floor(F.col("lo") / 8)).select("p_partkey")
 
 
 # Dotted names: the reversed host and path of pages are targets, those of every third page are known.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +77,61 @@ def as_of(usages: DataFrame, bindings: DataFrame, by: list[str], value: Column,
     return rows.select(*usages.columns, F.col("bound.v").alias("bound"), *([F.col("first.v").alias("first")] if first is not None else []))
 
 
-def contained(inner: DataFrame, outer: DataFrame, by: list[str], lo: str, hi: str, how: str = "inner") -> DataFrame:
-    """Interval join: inner rows whose [lo, hi] lies in an outer row's, in the same ``by``; outer columns get the prefix ``outer_``."""
-    o = outer.select(*[F.col(c).alias(f"outer_{c}") for c in outer.columns])
-    on = (F.col(lo) >= F.col(f"outer_{lo}")) & (F.col(hi) <= F.col(f"outer_{hi}"))
+def _whole(df: DataFrame, c: str) -> Column:
+    """The column as whole numbers that keep its order."""
+    kind = dict(df.dtypes)[c]
+    return F.unix_micros(c) if kind == "timestamp" else F.unix_date(c).cast("long") if kind == "date" else F.floor(c).cast("long")
+
+
+def contained(inner: DataFrame, outer: DataFrame, by: list[str], lo: str, hi: str, how: str = "inner", bucket: Column | None = None) -> DataFrame:
+    """Interval join: inner rows whose [lo, hi] lies in an outer row's, in the same ``by``; outer columns get the prefix ``outer_``.
+
+    ``how`` is inner, left_semi or left_anti.  No work grows with the product of a key's rows.  Pairs: an outer
+    interval lies in one or two bins of the power of two next to its length, an inner one begins in one bin of each size that its
+    key has outer ones of; so only intervals of one bin meet.  Semi and anti join: in the order of ``lo``, an inner row is contained if the
+    largest ``hi`` of the outer rows up to it is no less than its own; each side is read once.  There ``bucket``,
+    an expression that never falls as ``lo`` grows, splits keys of many rows; what earlier buckets hold comes in as one row a bucket.
+
+    Null bounds, null keys and intervals with hi below lo are contained in nothing and contain nothing.
+    """
+    if how not in ("inner", "left_semi", "left_anti"):
+        raise ValueError("how must be one of inner, left_semi, left_anti")
+    outer = outer.where(F.col(lo) <= F.col(hi))
     for c in by:
-        on = on & (F.col(c) == F.col(f"outer_{c}"))
-    return inner.join(o, on, how)
+        outer = outer.where(F.col(c).isNotNull())
+    return _containing_pairs(inner, outer, by, lo, hi) if how == "inner" else _swept(inner, outer, by, lo, hi, how == "left_semi", bucket)
+
+
+def _containing_pairs(inner: DataFrame, outer: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
+    first, last = _whole(outer, lo), _whole(outer, hi)
+    level = F.length(F.bin(last - first))  # a bin of 2 ** level holds the interval, or two do
+    o = outer.withColumns({"__level": level, "__first": first, "__last": last})
+    o = o.withColumn("__bin", F.explode(F.array_distinct(F.array(F.expr("shiftright(__first, __level)"), F.expr("shiftright(__last, __level)")))))
+    o = o.select("__level", "__bin", *[F.col(c).alias(f"outer_{c}") for c in outer.columns])
+    levels = outer.select(*[F.col(c).alias(f"outer_{c}") for c in by], level.alias("__level")).distinct()
+    same = lambda left, right: reduce(lambda x, y: x & y, [left[c] == right[f"outer_{c}"] for c in by], F.lit(True))
+    i = inner.where(F.col(lo) <= F.col(hi))
+    i = i.join(levels, same(i, levels)).select(*inner.columns, F.col("__level").alias("__of"), _whole(inner, lo).alias("__lo"))
+    i = i.withColumn("__at", F.expr("shiftright(__lo, __of)"))
+    on = same(i, o) & (i["__of"] == o["__level"]) & (i["__at"] == o["__bin"]) & (i[lo] >= o[f"outer_{lo}"]) & (i[hi] <= o[f"outer_{hi}"])
+    return i.join(o, on).select(*[i[c] for c in inner.columns], *[o[f"outer_{c}"] for c in outer.columns])
+
+
+def _swept(inner: DataFrame, outer: DataFrame, by: list[str], lo: str, hi: str, semi: bool, bucket: Column | None) -> DataFrame:
+    rows = inner.withColumn("__most", F.lit(None).cast(dict(outer.dtypes)[hi])).withColumn("__inner", F.lit(True))
+    own = outer.select(*by, lo, F.col(hi).alias("__most"), F.lit(False).alias("__inner"))
+    rows = rows.unionByName(own, allowMissingColumns=True)
+    keys, order = by, [lo, "__inner"]
+    if bucket is not None:
+        keys, order = [*by, "__bucket"], ["__here", *order]
+        rows = rows.withColumns({"__bucket": bucket, "__here": F.lit(True)})
+        held = rows.groupBy(*keys).agg(F.max("__most").alias("__most"))
+        before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = held.select(*keys, F.max("__most").over(before).alias("__most"), F.lit(False).alias("__inner"), F.lit(False).alias("__here"))
+        rows = rows.unionByName(carried.where(F.col("__most").isNotNull()), allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.coalesce(F.max("__most").over(upto) >= F.col(hi), F.lit(False)) & F.coalesce(F.col(lo) <= F.col(hi), F.lit(False))
+    return rows.withColumn("__in", inside).where(F.col("__inner") & (F.col("__in") == semi)).select(*inner.columns)
 
 
 def _known_names(known: DataFrame) -> DataFrame:
