@@ -12,7 +12,7 @@ from codeloom import schema
 from codeloom.api import Manager
 from codeloom.functions import names
 from codeloom.operators import filters, graph, joins, rollups, trees
-from codeloom.plans import flow, sample, scan, sources, testbed
+from codeloom.plans import flow, scan, sources, testbed
 from codeloom.plans.testbed import EDGES, NODES, table
 from codeloom.sources import files as source_files
 from codeloom.sources import store, work
@@ -85,9 +85,14 @@ def f5_all_projects(spark, d):
     return filters.of_type(testbed.nodes(spark, d), "project").select("id", "name")
 
 
-@query("SELECT count(*) AS n FROM (SELECT 1 FROM lineitem LIMIT 100)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100")
 def o1_limit(spark, d):
-    return filters.find(table(spark, d, "lineitem"), limit=100).agg(F.count("*").alias("n"))
+    return filters.find(table(spark, d, "orders"), {"o_orderstatus": "F"}, limit=100, order="o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH {NODES} SELECT id, name, row_number() OVER (ORDER BY name, id) AS place FROM nodes WHERE node_type = 'file'")
+def o2_sorted_nodes(spark, d):
+    return filters.ranked(filters.of_type(testbed.nodes(spark, d), "file"), ["name", "id"]).select("id", "name", "place")
 
 
 @query("SELECT 'customer/' || c_custkey AS id, 'nation/' || c_nationkey || '/' AS path, c_name AS name, 'nation/' || c_nationkey || '/' || c_name AS absolute_path FROM customer")
@@ -441,7 +446,7 @@ def x9_map_lookup(spark, d):
 
 @query(f"WITH {_NAMES} SELECT DISTINCT q AS qname FROM known")
 def x10_known_symbols(spark, d):
-    return _targets(spark, d)[1].distinct()
+    return joins.known_symbols(_targets(spark, d)[1])
 
 
 @query(f"""WITH {_NAMES} SELECT page_id, CASE WHEN 2 >= len(string_split(q, '.')) THEN '' ELSE array_to_string(list_slice(string_split(q, '.'), 1, len(string_split(q, '.')) - 2), '.') END AS base FROM targets""")
@@ -472,48 +477,75 @@ def g3_nested_tree(spark, d):
     return spark.createDataFrame(out, "parent_id string, id string")
 
 
-# Scans of the sample project, against golden rows
-
-
-def _scanned(spark, **options):
-    rows = [(p, p.replace(".py", "").replace("/", "."), t) for p, t in sample.SOURCES.items()]
-    return scan.scan_sources(spark, sample.PROJECT, spark.createDataFrame(rows, "path string, module string, content string"), **options)
+_CLASS = f"'lib.m' || ({{0}}) % {sources.LIBRARIES} || '.P' || ({{0}})"
 
 
-@query(f"SELECT node_type, qname, path, coalesce(line_no, -1) AS line_no, coalesce(col_offset, -1) AS col_offset, coalesce(end_line_no, -1) AS end_line_no, coalesce(end_col_offset, -1) AS end_col_offset, imported_paths FROM (VALUES {sample.NODES}) AS t(node_type, qname, path, line_no, col_offset, end_line_no, end_col_offset, imported_paths)")
+# Scans of sources made from the tables (``plans.sources``), against what SQL says stands in them
+
+
+def _scanned(spark, d, **options):
+    return scan.scan_sources(spark, "shop", sources.all_files(spark, d), **options)
+
+
+_PLACES = f"{sources.BLOCKS}, {sources.PLACES}"
+_SCANNED = f"""decl AS (
+    SELECT 'function' AS node_type, module || '.f' || o AS qname, path, top AS line_no, 0 AS col_offset, top + lines AS end_line_no, wide AS end_col_offset FROM function JOIN module ON function.c = module.c
+    UNION ALL SELECT 'class', 'lib.m' || m || '.P' || k, 'lib/m' || m || '.py', top, 0, top + CASE WHEN go THEN 2 ELSE 1 END, CASE WHEN go THEN 19 ELSE 8 END FROM class
+    UNION ALL SELECT 'function', 'lib.m' || m || '.P' || k || '.go', 'lib/m' || m || '.py', top + 1, 4, top + 2, 19 FROM class WHERE go
+    UNION ALL SELECT 'class', 'lib.mix.X' || i, 'lib/mix.py', 1 + 8 * i, 0, 6 + 8 * i, 19 FROM range({sources.MIXINS}) x(i)
+    UNION ALL SELECT 'function', 'lib.mix.X' || i || '.go', 'lib/mix.py', 2 + 8 * i, 4, 3 + 8 * i, 19 FROM range({sources.MIXINS}) x(i)
+    UNION ALL SELECT 'function', 'lib.mix.X' || i || '.only' || i, 'lib/mix.py', 5 + 8 * i, 4, 6 + 8 * i, 19 FROM range({sources.MIXINS}) x(i)
+    UNION ALL SELECT 'function', 's.s' || s_suppkey || '.make', 's/s' || s_suppkey || '.py', 4, 0, 5, 15 FROM supplier WHERE s_suppkey % {sources.CHAIN + 1} = 0
+    UNION ALL SELECT 'function', 'n' || n_nationkey || '.extra.f', 'n' || n_nationkey || '/extra.py', 4, 0, 5, 11 FROM nation WHERE n_nationkey % 3 = 1
+    UNION ALL SELECT t, 'n' || n_nationkey || '.extra.' || q, 'n' || n_nationkey || '/extra.py', l, c, el, ec FROM nation, (VALUES ('class', 'Outer', 5, 0, 8, 21), ('class', 'Inner', 6, 4, 8, 21), ('function', 'Outer.deep', 7, 8, 8, 21), ('function', 'Inner.deep', 7, 8, 8, 21), ('function', 'g', 11, 0, 12, 21)) x(t, q, l, c, el, ec) WHERE n_nationkey % 3 = 2
+), file AS (SELECT path FROM module UNION ALL SELECT DISTINCT 'lib/m' || m || '.py' FROM class UNION ALL SELECT 'lib/mix.py' UNION ALL SELECT 's/s' || s_suppkey || '.py' FROM supplier UNION ALL SELECT 'n' || n_nationkey || '/extra.py' FROM nation
+), scanned AS (
+    SELECT *, NULL AS imported_paths FROM decl UNION ALL SELECT 'project', 'shop', '', -1, -1, -1, -1, NULL
+    UNION ALL SELECT 'file', replace(replace(path, '.py', ''), '/', '.'), path, -1, -1, -1, -1, NULL FROM file
+    UNION ALL SELECT DISTINCT 'folder', string_split(path, '/')[1], string_split(path, '/')[1], -1, -1, -1, -1, NULL FROM file
+    UNION ALL SELECT 'package', 'numpy', NULL, -1, -1, -1, -1, 'numpy.linalg.norm,numpy.linalg')"""
+_USED = f"""used AS (
+    SELECT consumer, 'lib.m' || placed.p % {sources.LIBRARIES} || '.P' || placed.p AS target, 'P' || placed.p AS target_symbol, 'P' || placed.p AS alias, placed.line + down AS line_no, col AS col_offset, col + 1 + length(placed.p::VARCHAR) AS end_col_offset, import.line AS import_line, NULL AS exact
+        FROM placed JOIN makes ON placed.k = makes.k JOIN import ON import.c = placed.c AND import.p = placed.p
+    UNION ALL SELECT 'lib.m' || class.m || '.P' || k, 'lib.m' || (k // 8) % {sources.LIBRARIES} || '.P' || k // 8, i.p, i.p, top, 8 + length(k::VARCHAR), 8 + length(k::VARCHAR) + length(i.p), i.line, NULL FROM class JOIN part_import i ON i.m = class.m AND i.p = 'P' || k // 8
+    UNION ALL SELECT 'lib.m' || class.m || '.P' || k, 'lib.mix.' || i.p, i.p, i.p, top, w, w + 2, i.line, NULL FROM (SELECT *, 8 + length(k::VARCHAR) + CASE WHEN k // 8 > 0 THEN 3 + length((k // 8)::VARCHAR) ELSE 0 END AS w FROM class) class JOIN part_import i ON i.m = class.m AND i.p = 'X' || k % {sources.MIXINS}
+    UNION ALL SELECT 's.s' || s_suppkey || '.make', {_CLASS.format('s_suppkey % 7 + 1')}, 'P' || s_suppkey % 7 + 1, 'P' || s_suppkey % 7 + 1, 5, 11, 13, 1, NULL FROM supplier WHERE s_suppkey % {sources.CHAIN + 1} = 0
+    UNION ALL SELECT 'n' || n_nationkey || '.extra.' || q, t, y, a, l, c, e, i, x FROM nation, (VALUES ('Outer', 'lib.mix.X0', 'Base', 'Base', 5, 12, 16, 2, NULL), ('g', 'numpy', 'norm', 'la', 12, 11, 18, 1, 'numpy.linalg.norm'), ('g', 'numpy', 'la', 'la', 12, 11, 13, 1, 'numpy.linalg')) v(q, t, y, a, l, c, e, i, x) WHERE n_nationkey % 3 = 2)"""
+
+
+@query(f"WITH {_PLACES}, {_SCANNED} SELECT * FROM scanned")
 def w10_scan_golden_nodes(spark, d):
-    return _scanned(spark).nodes.select("node_type", "qname", "path", *[F.coalesce(f"position.{c}", F.lit(-1)).alias(c) for c in schema.POSITION.names], F.array_join("imported_paths", ",").alias("imported_paths"))
+    return _scanned(spark, d).nodes.select("node_type", "qname", "path", *[F.coalesce(f"position.{c}", F.lit(-1)).alias(c) for c in schema.POSITION.names], F.array_join("imported_paths", ",").alias("imported_paths"))
 
 
-@query(f"SELECT * FROM (VALUES {sample.USES}) AS t(consumer, target, target_qname, target_symbol, alias, line_no, col_offset, end_col_offset, import_line)")
+@query(f"WITH {_PLACES}, {_USED} SELECT consumer, target, coalesce(exact, target) AS target_qname, target_symbol, alias, line_no, col_offset, end_col_offset, import_line FROM used")
 def w10_scan_golden_uses(spark, d):
-    g = _scanned(spark)
+    g = _scanned(spark, d)
     n = g.nodes.select("id", "qname")
     e = g.edges.where("edge_type = 'uses_import'").join(n.select(F.col("id").alias("from_id"), F.col("qname").alias("consumer")), "from_id").join(n.select(F.col("id").alias("to_id"), F.col("qname").alias("target")), "to_id")
     p = F.col("usage_positions")[0]
     return e.select("consumer", "target", "target_qname", "target_symbol", "alias", p["line_no"].alias("line_no"), p["col_offset"].alias("col_offset"), p["end_col_offset"].alias("end_col_offset"), F.col("import_position.line_no").alias("import_line"))
 
 
-@query("SELECT * FROM (VALUES ('node', 'project', 1), ('node', 'folder', 1), ('node', 'file', 4), ('node', 'class', 3), ('node', 'function', 5), ('node', 'package', 2), ('edge', 'contains', 13), ('edge', 'belongs_to', 15), ('edge', 'uses_import', 9)) AS t(what, type, n)")
+@query(f"""WITH {_PLACES}, {_SCANNED}, {_USED} SELECT 'node' AS what, node_type AS type, count(*) AS n FROM scanned GROUP BY node_type
+    UNION ALL SELECT 'edge', 'contains', count(*) FROM scanned WHERE node_type NOT IN ('project', 'package') UNION ALL SELECT 'edge', 'belongs_to', count(*) FROM scanned WHERE node_type <> 'project' UNION ALL SELECT 'edge', 'uses_import', count(*) FROM used""")
 def w10_scan_golden_counts(spark, d):
-    g = _scanned(spark)
-    return rollups.scan_summary(g.nodes, g.edges).withColumn("n", F.col("n").cast("int"))
+    g = _scanned(spark, d)
+    return rollups.scan_summary(g.nodes, g.edges)
 
 
-@query(f"SELECT * FROM (VALUES {sample.CALLS}) AS t(consumer, target, line_no, col_offset)")
+@query(f"""WITH {_PLACES}, {_USED} SELECT consumer, target, line_no, col_offset FROM used WHERE exact IS NULL AND consumer NOT LIKE 'lib.%' AND target_symbol <> 'Base'
+    UNION ALL SELECT consumer, {_CLASS.format('p')} || '.go', line + 2, 4 FROM placed WHERE k = 6 AND p % 5 = 0""")
 def a15_call_edges(spark, d):
-    g = _scanned(spark, with_calls=True)
+    g = _scanned(spark, d, with_calls=True)
     ends = lambda side, name: g.nodes.select(F.col("id").alias(side), F.col("qname").alias(name))
     rows = g.edges.where("edge_type = 'calls'").join(ends("from_id", "consumer"), "from_id").join(ends("to_id", "target"), "to_id")
     return rows.select("consumer", "target", "position.line_no", "position.col_offset")
 
 
-@query("SELECT * FROM (VALUES ('broken.py', 'unparsed', 'SyntaxError'), ('user.py', 'dropped', 'pkg.missing')) AS t(path, kind, detail)")
+@query("SELECT 'n' || n_nationkey || '/extra.py' AS path, CASE n_nationkey % 3 WHEN 0 THEN 'unparsed' ELSE 'dropped' END AS kind, CASE n_nationkey % 3 WHEN 0 THEN 'SyntaxError' ELSE 'lib.mix.missing' END AS detail FROM nation WHERE n_nationkey % 3 < 2")
 def a18_issues(spark, d):
-    texts = {"broken.py": "def (", "pkg.py": "x = 1\n", "user.py": "from pkg import missing\ndef f():\n    missing\n"}
-    rows = [(p, p.removesuffix(".py"), t) for p, t in texts.items()]
-    issues = scan.scan_sources(spark, "p", spark.createDataFrame(rows, "path string, module string, content string")).issues
-    return issues.withColumn("detail", F.substring_index("detail", ":", 1))
+    return _scanned(spark, d).issues.withColumn("detail", F.substring_index("detail", ":", 1))
 
 
 @query("SELECT * FROM (VALUES ('nation.parquet'), ('region.parquet')) AS t(path)")
@@ -547,6 +579,7 @@ _MODULES = """modules AS (SELECT o_orderkey AS o, 'n' || c_nationkey || '.c' ||
 @query(f"""WITH {sources.BLOCKS}, {_MODULES} SELECT f AS scope, v AS name, 'variable' AS type FROM block JOIN binds ON block.k = binds.k JOIN modules ON block.o = modules.o GROUP BY ALL
     UNION ALL SELECT f, unnest(['a', 'b']), 'variable' FROM modules UNION ALL SELECT 's.s' || s_suppkey, 'value', 'global_variable' FROM supplier
     UNION ALL SELECT 'lib.m' || p_partkey % {sources.LIBRARIES} || '.P' || p_partkey || '.go', 'self', 'variable' FROM part WHERE p_partkey % 5 = 0
+    UNION ALL SELECT 'n' || n_nationkey || '.extra.Outer.Inner.deep', 'self', 'variable' FROM nation WHERE n_nationkey % 3 = 2
     UNION ALL SELECT 'lib.mix.X' || i || '.' || m, 'self', 'variable' FROM range({sources.MIXINS}) x(i), (SELECT unnest(['go', 'only']) AS m0) y, LATERAL (SELECT CASE m0 WHEN 'go' THEN m0 ELSE m0 || i END AS m) z""")
 def a17_variables(spark, d):
     rows = flow.extract(sources.all_files(spark, d))
@@ -565,7 +598,6 @@ def a17_definition_uses(spark, d):
     return found.select(_FUNCTION.alias("function"), "name", "from_n", "to_n")
 
 
-_CLASS = f"'lib.m' || ({{0}}) % {sources.LIBRARIES} || '.P' || ({{0}})"
 
 
 @query(f"""WITH RECURSIVE {sources.BLOCKS}, {_MODULES}, value(s, p) AS (SELECT s_suppkey, s_suppkey % 7 + 1 FROM supplier WHERE s_suppkey % {sources.CHAIN + 1} = 0
@@ -573,6 +605,7 @@ _CLASS = f"'lib.m' || ({{0}}) % {sources.LIBRARIES} || '.P' || ({{0}})"
     SELECT f || '.' || v AS variable, {_CLASS.format('p')} AS class FROM block JOIN binds ON block.k = binds.k JOIN modules ON block.o = modules.o WHERE block.k <> 4 GROUP BY ALL
     UNION ALL SELECT 's.s' || s || '.value', {_CLASS.format('p')} FROM value
     UNION ALL SELECT {_CLASS.format('p_partkey')} || '.go.self', {_CLASS.format('p_partkey')} FROM part WHERE p_partkey % 5 = 0
+    UNION ALL SELECT 'n' || n_nationkey || '.extra.Outer.Inner.deep.self', 'n' || n_nationkey || '.extra.Outer.Inner' FROM nation WHERE n_nationkey % 3 = 2
     UNION ALL SELECT 'lib.mix.X' || i || '.' || CASE m WHEN 'go' THEN m ELSE m || i END || '.self', 'lib.mix.X' || i FROM range({sources.MIXINS}) x(i), (SELECT unnest(['go', 'only']) AS m) y""")
 def a14_instance_of(spark, d):
     rows = flow.extract(sources.all_files(spark, d))

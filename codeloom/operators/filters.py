@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import schema
+from codeloom.sources import work
 
 
 def matches(filters: dict) -> Column:
@@ -15,10 +16,24 @@ def matches(filters: dict) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in filters.items()], F.lit(True))
 
 
-def find(table: DataFrame, filters: dict | None = None, limit: int | None = None) -> DataFrame:
-    """Rows that equal all ``filters`` (none: all rows), at most ``limit``."""
+def find(table: DataFrame, filters: dict | None = None, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """Rows that equal all ``filters`` (none: all rows), at most ``limit``: the first ones by ``order``, if it is given, else any."""
     rows = table.where(matches(filters)) if filters else table
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    return rows.limit(limit) if order is None else rows.orderBy(order).limit(limit)
+
+
+def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``place``, each row's number (from 1) in the order of ``by``; rows alike there take numbers in any order.
+
+    The rows are sorted by range into parts, numbered in each, and moved on by the sizes of the parts before, so that no task
+    holds them all.
+    """
+    parts = work.save(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranked")
+    before = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
+    return parts.withColumn("__own", own).join(before, "__part").withColumn("place", F.col("__own") + F.col("__before")).drop("__part", "__own", "__n", "__before")
 
 
 def find_one(table: DataFrame, filters: dict | None = None, order: str = "id") -> DataFrame:

@@ -34,6 +34,11 @@ def latest(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("qname").agg(F.max_by("id", F.struct("seq", "id")).alias("id"))
 
 
+def known_symbols(symbols: DataFrame) -> DataFrame:
+    """All names that are registered, each once."""
+    return symbols.select("qname").distinct()
+
+
 def file_imports(bindings: DataFrame, by: str = "path", alias: str = "alias", value: str = "qname") -> DataFrame:
     """Of each file, its imports as one map from alias to the name bound last (by ``seq``): columns ``by`` and imports."""
     last = bindings.groupBy(by, alias).agg(F.max_by(value, "seq").alias("value"))
