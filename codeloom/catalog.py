@@ -15,7 +15,7 @@ from codeloom.operators import filters, graph, joins, rollups, trees
 from codeloom.plans import flow, scan, sources, testbed
 from codeloom.plans.testbed import EDGES, NODES, table
 from codeloom.sources import files as source_files
-from codeloom.sources import store, work
+from codeloom.sources import datasource, store, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -624,3 +624,19 @@ def g10_member_uses(spark, d):
 
 def _as_sources(files):
     return files.withColumn("module", names.module_name(F.col("path")))
+
+
+@query("SELECT * FROM (VALUES ('region.parquet'), ('nation.parquet'), ('customer.parquet'), ('supplier.parquet'), ('part.parquet'), ('orders.parquet'), ('lineitem.parquet'), ('events.parquet'), ('documents.parquet'), ('embeddings.parquet'), ('pages.parquet'), ('benchmark.parquet'), ('labels.parquet'), ('conversations.parquet')) AS t(path) WHERE path NOT LIKE 'l%' AND path NOT LIKE '%s.parquet'")
+def s2_listed_by_data_source(spark, d):
+    found = spark.read.format(datasource.register(spark)).option("content", "false").option("patterns", '["l*.parquet"]').load(d)
+    return found.where(F.col("path").endswith(".parquet") & ~F.col("path").endswith("s.parquet")).select("path")
+
+
+@query("SELECT n_nationkey AS nation, regexp_extract(n_name, '^[A-Za-z_]+') AS word FROM nation WHERE n_nationkey % 4 <> 0")
+def s4_written_and_read_sources(spark, d):
+    """Nations as files, some of which are no UTF-8, read back as sources."""
+    key = F.col("n_nationkey")
+    content = F.concat(F.encode("n_name", "UTF-8"), F.when(key % 4 == 0, F.unhex(F.lit("FF"))).otherwise(F.encode(F.lit("\n"), "UTF-8")))
+    rows = table(spark, d, "nation").select(F.concat(F.lit("n"), key, F.lit(".py")).alias("path"), content.alias("content"))
+    good, _ = source_files.read_sources(rows)
+    return good.select(F.regexp_extract("module", "[0-9]+", 0).cast("int").alias("nation"), F.regexp_extract("content", "^[A-Za-z_]+", 0).alias("word"))

@@ -1,26 +1,21 @@
-"""Extracts rows from source files as they arrive.
-
-Spark's file stream passes over names that begin with ``_`` or ``.``; files such as ``__init__.py`` need a batch
-scan (``plans.scan``).
-"""
+"""Extracts rows from source files as they arrive."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.functions import pysource
+from codeloom.sources import datasource
 from codeloom.sources import files as source_files
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
-
 
-def source_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New ``.py`` files below ``root`` as a stream of (path, module, content)."""
-    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return source_files.read_sources(files.withColumn("path", F.regexp_replace("path", f"^.*?{base}/", "")))[0]
+def source_stream(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
+    """New and changed ``.py`` files below ``root``, ``__init__.py`` included, as a stream of (path, module, content)."""
+    stream = spark.readStream.format(datasource.register(spark)).option("suffixes", '[".py"]').option("patterns", json.dumps(patterns or []))
+    return source_files.read_sources(stream.load(root))[0]
 
 
 def keep_rows(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
