@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom import schema
 from codeloom.api import Manager
 from codeloom.functions import names
-from codeloom.operators import filters, graph, joins, rollups, trees
+from codeloom.operators import filters, graph, joins, rollups, trees, validate
 from codeloom.plans import flow, scan, sources, testbed
 from codeloom.plans.testbed import EDGES, NODES, table
 from codeloom.sources import files as source_files
@@ -467,14 +467,10 @@ def g10_nearest_definition(spark, d):
 
 @query("SELECT 'region/2' AS parent_id, 'nation/' || n_nationkey AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'nation/' || c_nationkey, 'customer/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
 def g3_nested_tree(spark, d):
-    below = graph.descendants(testbed.edges(spark, d, "contains"), "region/2", max_depth=2)
-    tree, out = graph.nested_tree({"id": "region/2"}, [r.asDict() for r in below.orderBy("depth", "id").toLocalIterator()]), []
-    todo = [tree]
-    while todo:
-        node = todo.pop()
-        out += [(node["id"], c["id"]) for c in node["children"]]
-        todo += node["children"]
-    return spark.createDataFrame(out, "parent_id string, id string")
+    """The tree is assembled as one value, and taken apart again."""
+    contains = testbed.edges(spark, d, "contains").where("to_id NOT LIKE 'orders/%'")
+    trees_ = graph.assembled(contains, spark.createDataFrame([("region/2",)], "start_id string"), testbed.nodes(spark, d))
+    return graph.tree_edges(trees_).select("parent_id", "id")
 
 
 _CLASS = f"'lib.m' || ({{0}}) % {sources.LIBRARIES} || '.P' || ({{0}})"
@@ -640,3 +636,27 @@ def s4_written_and_read_sources(spark, d):
     rows = table(spark, d, "nation").select(F.concat(F.lit("n"), key, F.lit(".py")).alias("path"), content.alias("content"))
     good, _ = source_files.read_sources(rows)
     return good.select(F.regexp_extract("module", "[0-9]+", 0).cast("int").alias("nation"), F.regexp_extract("content", "^[A-Za-z_]+", 0).alias("word"))
+
+
+_FAULTY = f"""{NODES}, {EDGES}, held AS (SELECT o_custkey AS c, min(o_orderkey) AS o FROM orders GROUP BY o_custkey),
+    faulty AS (SELECT from_id, to_id FROM edges WHERE edge_type = 'contains' AND NOT (to_id LIKE 'customer/%' AND string_split(to_id, '/')[2]::BIGINT % 50 = 2)
+        UNION ALL SELECT 'orders/' || o, 'customer/' || c FROM held WHERE c % 50 = 0 UNION ALL SELECT 'nation/' || (c_nationkey + 1) % 25, 'customer/' || c_custkey FROM customer WHERE c_custkey % 50 = 1
+        UNION ALL SELECT 'customer/' || c_custkey, 'orders/gone' FROM customer WHERE c_custkey % 50 = 3)"""
+
+
+@query(f"""WITH RECURSIVE {_FAULTY}, inside(id) AS (SELECT id FROM nodes WHERE node_type = 'project' UNION SELECT to_id FROM inside JOIN faulty ON from_id = inside.id)
+    SELECT unnest(['customer/' || c, 'orders/' || o]) AS id, 'cycle' AS fault, 'orders/' || o AS detail FROM held WHERE c % 50 = 0
+    UNION ALL SELECT to_id, 'several_parents', count(DISTINCT from_id)::VARCHAR FROM faulty GROUP BY to_id HAVING count(DISTINCT from_id) > 1
+    UNION ALL SELECT id, 'unreachable', NULL FROM nodes WHERE node_type <> 'package' AND id NOT IN (SELECT id FROM inside)
+    UNION ALL SELECT 'orders/gone', 'missing', 'lost' FROM customer WHERE c_custkey % 50 = 3""")
+def s18_faults(spark, d):
+    """The star schema's graph with planted faults."""
+    key = F.substring_index("to_id", "/", -1).cast("long")
+    good = testbed.edges(spark, d, "contains").where(~(F.col("to_id").startswith("customer/") & (key % 50 == 2))).select("id", "from_id", "to_id")
+    customers = table(spark, d, "customer")
+    named = lambda kind, c: F.concat(F.lit(f"{kind}/"), c)
+    first = table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o"))
+    loops = first.where("o_custkey % 50 = 0").select(F.lit("loop").alias("id"), named("orders", F.col("o")).alias("from_id"), named("customer", F.col("o_custkey")).alias("to_id"))
+    second = customers.where("c_custkey % 50 = 1").select(F.lit("second").alias("id"), named("nation", (F.col("c_nationkey") + 1) % 25).alias("from_id"), named("customer", F.col("c_custkey")).alias("to_id"))
+    lost = customers.where("c_custkey % 50 = 3").select(F.lit("lost").alias("id"), named("customer", F.col("c_custkey")).alias("from_id"), F.lit("orders/gone").alias("to_id"))
+    return validate.faults(testbed.nodes(spark, d), good.unionByName(loops).unionByName(second).unionByName(lost))
