@@ -552,7 +552,9 @@ def s1_find_files(spark, d):
 
 # Execution graphs, variables and members, over sources made from the tables (``plans.sources``)
 
-_FUNCTION = F.regexp_extract("scope", "^f([0-9]+)$", 1).cast("long")
+def _function():
+    """The order that a function of a made file is named after."""
+    return F.regexp_extract("scope", "^f([0-9]+)$", 1).cast("long").alias("function")
 
 
 @query(f"""WITH {sources.BLOCKS} SELECT o AS function, pos + a AS from_n, pos + b AS to_n, branch FROM block JOIN inside ON block.k = inside.k
@@ -560,13 +562,13 @@ _FUNCTION = F.regexp_extract("scope", "^f([0-9]+)$", 1).cast("long")
     UNION ALL SELECT o_orderkey, 0, 1, '' FROM orders""")
 def g9_execution_graph(spark, d):
     edges = flow.executes(flow.extract(_as_sources(sources.customer_files(spark, d)))).where("scope_kind = 'function'")
-    return edges.select(_FUNCTION.alias("function"), "from_n", "to_n", F.coalesce("branch", F.lit("")).alias("branch"))
+    return edges.select(_function(), "from_n", "to_n", F.coalesce("branch", F.lit("")).alias("branch"))
 
 
 @query(f"""WITH {sources.BLOCKS} SELECT o AS function, pos + dead AS n FROM block WHERE runs AND dead >= 0
     UNION ALL SELECT o, unnest(range(pos, pos + size)) FROM block WHERE NOT runs""")
 def g9_unreachable(spark, d):
-    return flow.unreachable(flow.extract(_as_sources(sources.customer_files(spark, d)))).select(_FUNCTION.alias("function"), "n")
+    return flow.unreachable(flow.extract(_as_sources(sources.customer_files(spark, d)))).select(_function(), "n")
 
 
 _MODULES = """modules AS (SELECT o_orderkey AS o, 'n' || c_nationkey || '.c' || c_custkey || '.f' || o_orderkey AS f FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -591,7 +593,7 @@ def a17_variables(spark, d):
     UNION ALL SELECT o, name, 0, pos + a FROM block JOIN takes_parameter t ON block.k = t.k WHERE runs""")
 def a17_definition_uses(spark, d):
     found = flow.definition_uses(flow.extract(_as_sources(sources.customer_files(spark, d)))).where("scope_kind = 'function'")
-    return found.select(_FUNCTION.alias("function"), "name", "from_n", "to_n")
+    return found.select(_function(), "name", "from_n", "to_n")
 
 
 
@@ -615,7 +617,7 @@ def a14_instance_of(spark, d):
     SELECT block.o AS function, pos + 2 AS n, block.v || '.go' AS chain, {_CLASS.format('held.p')} AS class, member, hops FROM block JOIN held ON held.o = block.o AND held.v = block.v JOIN member ON member.p = held.p WHERE block.k = 6""")
 def g10_member_uses(spark, d):
     found = flow.member_uses(flow.resolve(flow.extract(sources.all_files(spark, d))))
-    return found.select(_FUNCTION.alias("function"), "n", F.array_join("chain", ".").alias("chain"), "class", "member", "hops")
+    return found.select(_function(), "n", F.array_join("chain", ".").alias("chain"), "class", "member", "hops")
 
 
 def _as_sources(files):
