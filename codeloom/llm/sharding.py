@@ -84,8 +84,11 @@ def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int
     names = rows.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # one column, so that no name can clash
     held = (rows if stable else shared.save(rows, "shard-rows")).select(row)
-    counts = dict(held.groupBy(F.spark_partition_id().alias("part")).count().collect())  # one row for each part
-    order = sorted(counts)
+    digest = F.min(F.xxhash64(*[F.col("row").getField(c) for c in by]))
+    parts = held.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), digest.alias("digest")).collect()  # one row for each part
+    counts = {r["part"]: r["n"] for r in parts}
+    # By what they hold: which number a part gets may follow from the order in which files are listed.
+    order = [r["part"] for r in sorted(parts, key=lambda r: (r["digest"], r["n"], r["part"]))]
     per_shard = max(1, math.ceil(len(order) / PARTS_PER_CELL / n_shards))
     sizes, cells = [], []
     for shard, n in enumerate(shard_sizes(sum(counts.values()), n_shards)):
