@@ -7,7 +7,7 @@ every test item is then binary-searched in the shard; the range that it finds
 gives the verbatim matches and their places, which are extended to full length.
 
 The longest match at a place is found in the test side's own suffix array: the suffixes that
-begin with a window are one range of it, and each further word narrows the range.
+begin with a window are one range of it, and each further block of words narrows the range.
 
 The test side is cut into chunks of bounded size, built by a task each, that lie as files in the
 shared folder; a worker holds a few chunks at a time, so nothing here grows with the test
@@ -80,12 +80,20 @@ class TestSide:
         self.low, self.high = (as_keys(self._table(self.starts, self.sizes, fill)) for fill in (0, 0xFFFFFFFF))
 
     def _suffix_ranks(self, longest: int) -> np.ndarray:
-        """The rank of each place among the suffixes, compared over ``longest`` words: twice as many words in each round."""
+        """The rank of each place among the suffixes, compared over twice ``longest`` words: twice as many words in each round.
+
+        The ranks of the blocks of 1, 2, 4 ... words, up to ``longest``, are kept in ``blocks``, and the pairs of which each is made in ``made_of``.
+        """
         rank, k = self.tokens, 1
-        while k < longest:
+        self.blocks, self.made_of = [self.tokens], []
+        while k < 2 * longest:
+            base = int(rank.max()) + 1
             after = np.concatenate([rank[k:], np.zeros(min(k, len(rank)), np.int64)])
-            rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1]
+            made_of, rank = np.unique(rank * base + after, return_inverse=True)
             k *= 2
+            if k <= longest:
+                self.blocks.append(rank.astype(np.int32))
+                self.made_of.append((base, made_of))
         return rank
 
     def _table(self, places: np.ndarray, sizes: np.ndarray, fill: int) -> np.ndarray:
@@ -97,26 +105,49 @@ class TestSide:
         """The items that hold a window."""
         return [self.names[k] for k in np.unique(self.owner[self.places[self.first[window] : self.end[window]]])]
 
+    def known_blocks(self, ids: np.ndarray, where: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the stretches of known words around the places ``where``: for 1, 2, 4 ... words, the places of blocks that some item holds, with their ranks."""
+        stretch = np.cumsum(ids == 0)
+        near = np.zeros(int(stretch[-1]) + 1, bool)
+        near[stretch[where]] = True
+        at = np.flatnonzero((ids > 0) & near[stretch])
+        rank, out = ids[at], []
+        for k in range(len(self.blocks)):
+            if not len(at):
+                break
+            out.append((at, rank))
+            if k < len(self.made_of):
+                base, made_of = self.made_of[k]
+                j = np.minimum(np.searchsorted(at, at + (1 << k)), len(at) - 1)
+                pair = rank.astype(np.int64) * base + rank[j]
+                new = np.minimum(np.searchsorted(made_of, pair), len(made_of) - 1)
+                there = (at[j] == at + (1 << k)) & (made_of[new] == pair)
+                at, rank = at[there], new[there]
+        return out
+
     def extend(self, ids: np.ndarray, where: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of matches of window ``which`` at place ``where`` of ``ids``: the words of the longest match with any item, and the range of its suffixes."""
+        """Of matches of window ``which`` at place ``where`` of ``ids``: the words of the longest match with any item, and the range of its suffixes.
+
+        Each match grows by blocks of a power of two words, the longest first, so there are as many rounds as the longest item has binary digits.
+        """
         length, lo, hi = self.sizes[which].copy(), self.first[which].copy(), self.end[which].copy()
-        alive = np.arange(len(which))
-        while len(alive):
-            word = ids[where[alive] + length[alive]]
-            alive, word = alive[word > 0], word[word > 0]
-            a = self._bound(lo[alive], hi[alive], length[alive], word)
-            b = self._bound(a, hi[alive], length[alive], word + 1)
+        for k, (at, rank) in reversed(list(enumerate(self.known_blocks(ids, where)))):
+            j = np.minimum(np.searchsorted(at, where + length), len(at) - 1)
+            alive = np.flatnonzero(at[j] == where + length)
+            block = rank[j[alive]]
+            a = self._bound(lo[alive], hi[alive], length[alive], block, self.blocks[k])
+            b = self._bound(a, hi[alive], length[alive], block + 1, self.blocks[k])
             alive, a, b = alive[a < b], a[a < b], b[a < b]
-            length[alive] += 1
+            length[alive] += 1 << k
             lo[alive], hi[alive] = a, b
         return length, lo, hi
 
-    def _bound(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The first suffix in each range, all alike in ``length`` words, whose next word is ``word`` or more."""
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray, block: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The first suffix in each range, all alike in ``length`` words, whose next block has the rank ``block`` or more."""
         lo, hi = lo.copy(), hi.copy()
         while (live := np.flatnonzero(lo < hi)).size:
             middle = (lo[live] + hi[live]) >> 1
-            less = self.tokens[self.places[middle] + length[live]] < word[live]
+            less = blocks[self.places[middle] + length[live]] < block[live]
             lo[live[less]], hi[live[~less]] = middle[less] + 1, middle[~less]
         return lo
 
@@ -158,7 +189,10 @@ def search(test: TestSide, docs: list[list[bytes]]) -> tuple[np.ndarray, list[se
         change += np.bincount(where, minlength=len(change)) - np.bincount(where + test.sizes[which], minlength=len(change))
         length, lo, hi = test.extend(ids, where, which)
         of = np.searchsorted(first, where, side="right") - 1
-        for d, k in np.unique(np.stack([of, which], 1), axis=0):
+        single = test.end[which] - test.first[which] == 1
+        for d, k in np.unique(np.stack([of[single], test.owner[test.starts[which[single]]]], 1), axis=0):
+            found[d].add(test.names[k])
+        for d, k in np.unique(np.stack([of[~single], which[~single]], 1), axis=0):
             found[d].update(test.items(k))
         at = where - first[of]
         order = np.lexsort((at, -length, of))
@@ -209,10 +243,11 @@ def _scan(chunks: list[str], document_columns: list[str], schema: pa.Schema):
 
 
 def chunked(benchmark: DataFrame, item: str, text: str, window: int) -> list[str]:
-    """Test items as files of bounded size in the shared folder, built by a task each; items are dealt by their hash."""
+    """Test items as files of bounded size in the shared folder, built by a task each; unlike items are dealt by their hash."""
     spark = benchmark.sparkSession
     folder = shared.new_dir(spark, "testside")
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # Rows that repeat find nothing more.
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = 1 + size // CHUNK_BYTES
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("item", "text"), F.lit(chunks)).cast("int"))
