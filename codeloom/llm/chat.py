@@ -24,6 +24,8 @@ BUDGET = 4096
 HISTORY = 512
 #: Turns whose prefix sums are taken together.
 STRETCH = 256
+#: Windows that one row names at most.
+SLICE = 1024
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 
@@ -55,9 +57,11 @@ def bound(role: Column, text: Column) -> Column:
 def _placed(turns: DataFrame, tokens: str | None, budget: int, history: int) -> DataFrame:
     """Turns with key (a struct, so that nulls are equal), pos, n_turns, is_system, half (of the room), total, and the tokens before (``lo``) and up to the end (``hi``)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    cost = bound(role, text) if tokens is None else F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))
     rows = turns.select(
         F.struct("conv_id").alias("key"), "turn", role.alias("role"), text.alias("text"),
-        (bound(role, text) if tokens is None else F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))).alias("cost"),
+        # A turn beyond the budget counts as the budget: it stands alone and is out of the history's reach either way, and leaves few stretches empty.
+        F.least(cost, F.lit(budget)).alias("cost"),
         F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(2**62))).alias("stretch"),
     )
     along = Window.partitionBy("key").orderBy("stretch")
@@ -107,7 +111,10 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HIS
     # The stretches that begin after the turn and within the history's reach of it.
     first, last = F.ceil(F.greatest(F.col("hi"), F.lit(1)) / half), F.floor((F.col("lo") + history) / half)
     later = F.when(last >= first, F.flatten(F.transform(F.sequence(first, last), lambda x: F.array(place(2 * x, REPEATED), place(2 * x + 1, REPEATED)))))
-    every = F.transform(F.sequence(F.lit(0).cast("long"), (2 * F.floor(F.col("total") / half) + 1).cast("long")), lambda x: place(x, REPEATED))
+    # The system turn goes to every window that there can be, SLICE of them at a time.
+    most = 2 * F.floor(F.col("total") / half) + 1
+    slices = F.when(F.col("is_system"), F.sequence(F.lit(0).cast("long"), F.floor(most / SLICE))).otherwise(F.array(F.lit(0).cast("long")))
+    every = F.transform(F.sequence(F.col("slice") * SLICE, F.least(F.col("slice") * SLICE + (SLICE - 1), most)), lambda x: place(x, REPEATED))
     own = F.array(place(2 * k + F.when(alone, 0).otherwise(1), OWN))
     gap = F.when(alone, F.array(place(2 * k + 1, GAP)))
     none = F.array().cast("array<struct<window:bigint,kind:int>>")
@@ -117,7 +124,7 @@ def format_windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HIS
         F.col("pos"), F.col("p.kind").alias("kind"), F.col("is_system"), (F.col("role") == "assistant").alias("assistant"),
         text(F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))).alias("head"), text(escape(F.col("text"))).alias("body"),
     )
-    exploded = placed.withColumn("p", F.explode(places)).select("key", F.col("p.window").alias("window"), piece.alias("piece"))
+    exploded = placed.withColumn("slice", F.explode(slices)).withColumn("p", F.explode(places)).select("key", F.col("p.window").alias("window"), piece.alias("piece"))
     grouped = exploded.groupBy("key", "window").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.max(F.when(F.col("piece.kind") == GAP, F.col("piece.pos"))).alias("gap"))
     grouped = grouped.where(F.exists("pieces", lambda x: x["kind"] == OWN))
     opening = F.exists("pieces", lambda x: (x["kind"] == OWN) & (x["pos"] == 1))  # only the first window's system turn is new
