@@ -1,12 +1,12 @@
 """Uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Source parts are the partitions that Spark reads the rows in.  A shard is made of cells
-of exact sizes, small enough for a task.  How many rows go from each part to each cell is
-drawn exactly (multivariate hypergeometric), so that the counts are those of a uniform
+Source parts are the partitions that Spark reads the rows in.  How many rows go from each part to each
+shard is drawn exactly (multivariate hypergeometric), so that the counts are those of a uniform
 permutation of all rows; each part then permutes its rows locally (a sort within the
-partition, without a shuffle) and hands them out by those counts, and each cell permutes
-what it got.  So whole rows are moved once.  The driver sees one number for each part and
-cell, never a row.
+partition, without a shuffle) and hands them out by those counts.  Within its shard a row falls into a
+cell by a hash of its place in the part's permutation; the cells of a shard stand end to end, and each permutes
+what it got.  So whole rows are moved once, and a cell is small enough for a task.  Places alone decide the cells, so they are
+counted without reading a column.  The driver sees one number for each part and shard and one for each cell, never a row.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import shared
 
-#: Source parts whose rows fill a cell, about.
+#: Source parts whose rows fill a cell, on average.
 PARTS_PER_CELL = 2
 #: Bits that number the rows of a partition in ``monotonically_increasing_id``.
 ROW_BITS = 33
@@ -71,13 +71,13 @@ def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int
 
     Shard sizes differ by one row at most, and every arrangement is as likely as
     any other.  ``by`` names the columns whose values the permutations are drawn from (nulls
-    allowed); rows alike in all of them take places in any order.  No row is dropped; an
+    allowed); rows alike in all of them are told apart by their other columns.  No row is dropped; an
     empty table stays empty; all columns are carried, texts of any length included.  A
     column named ``shard`` or ``slot`` is refused; other names never clash.
 
     The rows are read twice, first to count them.  ``stable`` says that they come from files
     alone and fall into the same partitions each time; otherwise they are saved first.
-    The driver draws one number for each partition and cell.
+    The driver draws one number for each partition and shard.
     """
     if clash := {"shard", "slot"} & {c.lower() for c in rows.columns}:
         raise ValueError(f"columns that the result adds exist already: {sorted(clash)}")
@@ -89,25 +89,30 @@ def assign_shards(rows: DataFrame, by: list[str], n_shards: int = 16, seed: int
     counts = {r["part"]: r["n"] for r in parts}
     # By what they hold: which number a part gets may follow from the order in which files are listed.
     order = [r["part"] for r in sorted(parts, key=lambda r: (r["digest"], r["n"], r["part"]))]
-    per_shard = max(1, math.ceil(len(order) / PARTS_PER_CELL / n_shards))
-    sizes, cells = [], []
-    for shard, n in enumerate(shard_sizes(sum(counts.values()), n_shards)):
-        first = 0
-        for size in shard_sizes(n, per_shard):
-            cells.append({"cell": len(cells), "shard": shard, "first": first})
-            sizes.append(size)
-            first += size
-    matrix = communication_matrix([counts[p] for p in order], sizes, seed)
-    ends = [{"part": p, "ends": np.cumsum(m).tolist()} for p, m in zip(order, matrix, strict=True)]
+    matrix = communication_matrix([counts[p] for p in order], shard_sizes(sum(counts.values()), n_shards), seed)
     spark = rows.sparkSession
-    ends, cells = F.broadcast(_table(spark, ends, "part:int,ends:array<bigint>")), F.broadcast(_table(spark, cells, "cell:int,shard:int,first:bigint"))
+    ends = [{"part": p, "place": k, "ends": np.cumsum(m).tolist()} for k, (p, m) in enumerate(zip(order, matrix, strict=True))]
+    ends = F.broadcast(_table(spark, ends, "part:int,place:int,ends:array<bigint>"))  # n_shards numbers for each partition read
+    per_shard = max(1, math.ceil(len(order) / PARTS_PER_CELL / n_shards))
+    number = [F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("rank")]
+    mixed = lambda k: F.xxhash64(F.lit(seed + k), "place", "rank")
+
+    def deal(numbered: DataFrame) -> DataFrame:
+        shard = F.size(F.filter("ends", lambda end: end <= F.col("rank"))).alias("shard")
+        return numbered.join(ends, "part").select("*", shard, F.pmod(mixed(3), F.lit(per_shard)).alias("cell"))
+
+    found = deal(held.select(*number)).groupBy("shard", "cell").count().orderBy("shard", "cell").collect()  # one row for each cell
+    cells, total = [], dict.fromkeys(range(n_shards), 0)
+    for r in found:
+        cells.append({"shard": r["shard"], "cell": r["cell"], "first": total[r["shard"]]})
+        total[r["shard"]] += r["count"]
+    cells = F.broadcast(_table(spark, cells, "shard:int,cell:bigint,first:bigint"))
     own = [F.col("row").getField(c) for c in by]
-    shuffled = lambda k: [F.xxhash64(F.lit(seed + k), *own), *own]
-    local = held.sortWithinPartitions(*shuffled(1)).select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
-    rank = F.col("id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    dealt = local.join(ends, "part").select("row", F.size(F.filter("ends", lambda end: end <= rank)).alias("cell")).join(cells, "cell")
+    # The whole row decides where ``by`` does not, so that a task that runs again deals alike.
+    whole = F.xxhash64(F.to_json("row") if "map<" in rows.schema.simpleString() else F.col("row"))
+    dealt = deal(held.sortWithinPartitions(F.xxhash64(F.lit(seed + 1), *own), *own, whole).select("row", *number)).join(cells, ["shard", "cell"])
     # Each cell is permuted alone and takes the slots after those of the shard's earlier cells.
-    again = Window.partitionBy("shard", "first").orderBy(*shuffled(2))
+    again = Window.partitionBy("shard", "first").orderBy(mixed(2), "place", "rank")
     return dealt.select(*[F.col("row").getField(c).alias(c) for c in names], "shard", (F.col("first") + F.row_number().over(again) - 1).alias("slot"))
 
 
