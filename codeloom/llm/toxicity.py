@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -150,8 +150,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, char
     """At most ``limit`` labelled documents as (label, text), chosen by a hash of their ids.
 
     Of several labels of one document the largest counts; rows without a label, id or
-    text are left out.  ``chars`` bounds the characters in all: the documents are taken in the order of their hashes
-    until the next one would exceed it, whatever their lengths.
+    text are left out.  ``chars`` bounds the characters in all: the documents are taken in the order of their hashes,
+    and one that would exceed it is passed over.
     """
     chosen = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("id"), "id").limit(limit))  # at most ``limit`` rows
@@ -160,8 +160,12 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, char
     if chars is None:
         return rows.join(chosen, own).select("label", "text")
     sizes = rows.join(chosen, own).groupBy("id").agg(F.sum(F.length("text")).alias("size"), F.max("label").alias("label"))
-    upto = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id"))  # over at most ``limit`` rows
-    within = F.broadcast(sizes.withColumn("upto", upto).where(F.col("upto") <= chars).select("id", "label"))
+    within, left = [], chars
+    for r in sizes.orderBy(F.xxhash64("id"), "id").collect():  # at most ``limit`` rows of three numbers
+        if r["size"] <= left:
+            within.append((r["id"], r["label"]))
+            left -= r["size"]
+    within = F.broadcast(documents.sparkSession.createDataFrame(within, sizes.select("id", "label").schema))
     return rows.join(within, own).select("label", "text")
 
 
