@@ -322,6 +322,9 @@ def test_training_sample_is_bounded_and_takes_long_texts(spark):
     assert toxicity.sample(docs, labels, "toxic", 7).count() == 7
     assert 300_000 in {len(r["text"]) for r in toxicity.sample(docs, labels, "toxic", 1000, 400_000).collect()}
     assert sum(len(r["text"]) for r in toxicity.sample(docs, labels, "toxic", 1000, 95).collect()) <= 95
+    # One text beyond the bound leaves the others in.
+    others = docs.where("length(text) < 1000").count()
+    assert toxicity.sample(docs, labels, "toxic", 1000, 200_000).count() >= min(others, 49)
 
 
 def site_names(source):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -105,6 +106,15 @@ def test_longest_match_equals_brute_force(items, doc):
     assert found[0] == owners and best[0] == longest
 
 
+def test_very_long_verbatim_matches(spark):
+    passage = [f"w{i % 7919}x{i % 10_007}" for i in range(200_000)]
+    items = spark.createDataFrame([("a", " ".join(passage)), ("b", " ".join(passage[1000:150_000])), ("a", " ".join(passage))], "item_id string, text string")
+    docs = [(1, passage), (2, ["q", *passage[500:160_001], "q", *passage[:20]]), (3, [*passage[990:1010], "none"]), (4, passage[1000:150_000])]
+    rows = decontaminate.find_contamination(spark.createDataFrame([(k, " ".join(x)) for k, x in docs], "doc_id long, text string"), items).collect()
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["longest"], r["longest_at"], r["longest_item"]) for r in rows}
+    assert got == {1: (200_000, ["a", "b"], 200_000, 0, "a"), 2: (159_521, ["a", "b"], 159_501, 1, "a"), 3: (20, ["a"], 20, 0, "a"), 4: (149_000, ["a", "b"], 149_000, 0, "a")}
+
+
 def test_contamination_of_a_very_long_text(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     docs = spark.createDataFrame([(1, "word " * 400_000 + passage + " word" * 1000)], "doc_id long, text string")
@@ -179,6 +189,23 @@ def test_communication_matrix_is_exact_and_fair():
     assert abs(big - 10**9 / 16) < 10 * 10**4.5
 
 
+def test_communication_matrix_of_many_parts():
+    parts = [50_000 + k % 1000 for k in range(10_000)]
+    shards, began = sharding.shard_sizes(sum(parts), 16), time.monotonic()
+    m = np.array(sharding.communication_matrix(parts, shards, 3))
+    assert time.monotonic() - began < 60 and m.sum(axis=1).tolist() == parts and m.sum(axis=0).tolist() == shards
+    assert abs(m / np.array(parts)[:, None] - 1 / 16).max() < 0.01
+
+
+def test_shards_deal_rows_of_one_id_alike_when_tasks_run_again(spark, tmp_path):
+    rows = [(k % 3, f"text {k % 700}", {"k": k % 700}) for k in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>").repartition(6).write.parquet(path := str(tmp_path / "rows"))
+    deal = lambda: Counter((r["text"], r["shard"], r["slot"]) for r in sharding.assign_shards(spark.read.parquet(path), ["doc_id"], 16, stable=True).collect())
+    one = deal()
+    assert one == deal() and Counter(t for t, *_ in one.elements()) == Counter(r[1] for r in rows)
+    assert set(Counter(s for _, s, _ in one.elements()).values()) == {125}
+
+
 def test_shards_are_exact(spark):
     rows = [(i if i % 10 else None, f"t{i % 40}") for i in range(1003)] + [(5, "same")] * 20
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -305,6 +332,16 @@ def test_chat_long_turns_stand_alone_and_hide_older_history(spark):
     assert [t for w in windows for t in w["targets"]] == [x[3] for x in rows if x[2] == "assistant"]
 
 
+def test_chat_copies_a_system_turn_only_as_often_as_windows_need(spark):
+    system, long = "s" * 20_000, "word " * 4_000_000
+    rows = [(1, 0, "system", system), (1, 1, "user", long), (1, 2, "assistant", "yes"), (2, 0, "system", "be brief"), *[(2, k, "user", f"turn {k}") for k in range(1, 60)]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(turns)
+    got = {(r["conv_id"], r["window"]): len(r["formatted"]) for r in windows.collect()}
+    assert sum(n for (k, _), n in got.items() if k == 1) < 20_000_000 + 3 * 21_000 and max(w for _, w in got) < 40
+    assert {r[0]: tuple(r[1:5]) for r in chat.conversation_digests(windows).collect()} == brute_chat(rows)
+
+
 def test_chat_takes_given_token_counts(spark):
     rows = [(1, i, "assistant", f"t{i}", n) for i, n in enumerate([10, 10, 10, 10, None, -3, 0, 90, 10])]
     windows = chat_windows(spark, rows, budget=60, history=0, tokens="n")
