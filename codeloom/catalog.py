@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom import schema
 from codeloom.api import Manager
 from codeloom.functions import names
-from codeloom.operators import filters, graph, joins, rollups, trees, validate
+from codeloom.operators import filters, forest, graph, joins, rollups, trees, validate
 from codeloom.plans import flow, scan, sources, testbed
 from codeloom.plans.testbed import EDGES, NODES, table
 from codeloom.sources import files as source_files
@@ -241,6 +241,35 @@ def g2_descendants_parent(spark, d):
     return graph.descendants(testbed.edges(spark, d, "contains"), "region/1", max_depth=100).select("id", "parent_id", "depth")
 
 
+_UP = f"""WITH RECURSIVE {EDGES}, up(id, above, depth) AS (
+    SELECT to_id, from_id, 1 FROM edges WHERE edge_type = 'contains'
+    UNION ALL SELECT up.id, e.from_id, depth + 1 FROM up JOIN edges e ON e.edge_type = 'contains' AND e.to_id = up.above)"""
+
+
+@query(_BELOW.format("region/1", 100) + " SELECT id, parent_id, depth FROM below")
+def g2_interval_descendants(spark, d):
+    return forest.below(forest.numbered(testbed.edges(spark, d, "contains")), "region/1").select("id", "parent_id", "depth")
+
+
+@query(f"""{_UP}, ids AS (SELECT id FROM up UNION SELECT above FROM up), n AS (SELECT above, count(*) AS n_below FROM up GROUP BY above)
+    SELECT ids.id, coalesce(arg_max(up.above, up.depth), ids.id) AS root_id, coalesce(max(up.depth), 0) AS depth, coalesce(max(n_below), 0) AS n_below
+    FROM ids LEFT JOIN up ON up.id = ids.id LEFT JOIN n ON n.above = ids.id GROUP BY ids.id""")
+def g1_subtree_sizes(spark, d):
+    return forest.numbered(testbed.edges(spark, d, "contains")).select("id", "root_id", "depth", (F.col("last") - F.col("first")).alias("n_below"))
+
+
+@query(f"{_UP} SELECT above AS start_id, depth, count(*) AS n FROM up WHERE above LIKE 'nation/%' OR above LIKE 'customer/%' GROUP BY above, depth")
+def g1_descendants_of_many(spark, d):
+    n = testbed.nodes(spark, d).where("node_type IN ('folder', 'file')").select(F.col("id").alias("start_id"))
+    return forest.below(forest.numbered(testbed.edges(spark, d, "contains")), n).groupBy("start_id", "depth").agg(F.count("*").alias("n"))
+
+
+@query(f"{_UP} SELECT id, above AS ancestor_id, depth AS hops FROM up WHERE id LIKE 'orders/%'")
+def g1_ancestors(spark, d):
+    n = testbed.nodes(spark, d).where("node_type = 'function'").select("id")
+    return forest.above(forest.numbered(testbed.edges(spark, d, "contains")), n)
+
+
 _PATHS = "paths AS (SELECT DISTINCT list_filter(string_split(regexp_extract(url, '^[a-z]+://([^?#]+)', 1), '/'), lambda x: x <> '') AS p FROM pages)"
 _TREE = f"""{_PATHS}, steps AS (SELECT array_to_string(list_slice(p, 1, i), '/') AS path, i AS depth, i = len(p) AS leaf, p[i] AS name, array_to_string(list_slice(p, 1, i - 1), '/') AS parent_path
     FROM paths, range(1, len(p) + 1) r(i)), tree AS (SELECT path, parent_path, name, depth::INTEGER AS depth, min(leaf) AS is_file FROM steps GROUP BY ALL)"""
