@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -386,51 +387,109 @@ def s14_truncate(spark, d):
     return kept.nodes.read().select("id", "name")
 
 
-def _handled(spark) -> Manager:
-    """A graph made through handles alone."""
+#: What ``_containers`` and ``_code`` make, in SQL.
+_MADE = """folders AS (SELECT n_nationkey, r_name, n_name, '/' || r_name || '/' || n_name || '/' AS path FROM nation JOIN region ON n_regionkey = r_regionkey),
+    files AS (SELECT c_custkey, n_name || '.c' || c_custkey AS qname, path || 'c' || c_custkey || '.py' AS path, n_name FROM customer JOIN folders ON c_nationkey = n_nationkey),
+    functions AS (SELECT o_orderkey, c_custkey, qname || '.f' || o_orderkey AS name, qname AS file, CAST(o_orderkey % 100 AS INT) AS line FROM orders JOIN files ON o_custkey = c_custkey),
+    classes AS (SELECT c_custkey, qname || '.K' AS name, qname AS file FROM files),
+    methods AS (SELECT o_orderkey, file || '.K::m' || o_orderkey AS name, file || '.K' AS cls, line FROM functions WHERE o_orderkey % 2 = 0)"""
+
+
+def _containers(spark, d) -> tuple[Manager, DataFrame]:
+    """Projects, folders and files of regions, nations and customers, each kind by one write; also the files, with their customers."""
     manager = Manager(spark, f"{work.root(spark)}/graph-{uuid.uuid4().hex}")
-    project = manager.create_project("one", "/one/")
-    folder = project.add_folder("src", "/one/src/")
-    file = folder.add_file("main.py", "/one/src/main.py")
-    function, cls = file.add_function("go", (1, 0, 2, 5)), file.add_class("K", (3, 0, 9, 1))
-    cls.add_method("new", (4, 4, 5, 8))
-    function.add_call(cls, (2, 4, 2, 7))
-    package = manager.get_or_create_package("numpy")
-    manager.get_or_create_package("numpy", "2.0")
-    function.uses_import(package, target_symbol="np", import_position=(1, 0, 1, 5), usage_positions=[(2, 0, 2, 2)], alias="np")
-    function.add_input(name="a", type="int")
-    function.add_input(name="b")
-    function.add_output(type="str")
-    cls.add_field(name="x")
-    return manager
-
-
-@query("""SELECT * FROM (VALUES ('project', 'one', 'one', '/one/', -1, '', '', '', NULL), ('folder', 'src', 'src', '/one/src/', -1, '', '', '', NULL), ('file', 'main.py', 'src.main', '/one/src/main.py', -1, '', '', '', NULL),
-    ('function', 'go', 'src.main.go', NULL, 1, '{"name":"a","type":"int"} {"name":"b"}', '{"type":"str"}', '', NULL), ('class', 'K', 'src.main.K', NULL, 3, '', '', '{"name":"x"}', NULL),
-    ('function', 'new', 'src.main.K::new', NULL, 4, '', '', '', NULL), ('package', 'numpy', 'numpy', NULL, -1, '', '', '', '2.0')) AS t(node_type, name, qname, path, line_no, inputs, outputs, fields, version)""")
+    slash = F.lit("/")
+    region = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("name"), F.concat(slash, "r_name", slash).alias("path"))
+    above = manager.create_projects(region).select(F.col("id").alias("parent_id"), "name").join(region, "name").select("parent_id", "r_regionkey", F.col("path").alias("root"))
+    nations = table(spark, d, "nation").join(above, F.col("n_regionkey") == F.col("r_regionkey"))
+    folders = manager.store.add(nations.select("parent_id", F.col("n_name").alias("name"), F.concat("root", "n_name", slash).alias("path"), "n_nationkey"), "folder")
+    above = folders.select(F.col("id").alias("parent_id"), "n_nationkey", F.col("path").alias("root"))
+    file = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py"))
+    customers = table(spark, d, "customer").join(above, F.col("c_nationkey") == F.col("n_nationkey"))
+    return manager, manager.store.add(customers.select("parent_id", file.alias("name"), F.concat("root", file).alias("path"), "c_custkey"), "file")
+
+
+def _code(spark, d) -> tuple[Manager, DataFrame, DataFrame]:
+    """The same with a function for each order, a class for each customer and a method for each second order; also functions and classes."""
+    manager, files = _containers(spark, d)
+    place = lambda line: F.struct(line.cast("int").alias("line_no"), *[F.lit(0).alias(n) for n in ("col_offset", "end_line_no", "end_col_offset")]).alias("position")
+    named = lambda kind: F.concat(F.lit(kind), F.col("o_orderkey").cast("string")).alias("name")
+    above = lambda made: made.select(F.col("id").alias("parent_id"), "c_custkey")
+    orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    functions = manager.store.add(orders.join(above(files), "c_custkey").select("parent_id", named("f"), place(F.col("o_orderkey") % 100), "o_orderkey", "c_custkey"), "function")
+    classes = manager.store.add(above(files).select("*", F.lit("K").alias("name"), place(F.lit(1))), "class")
+    methods = orders.where("o_orderkey % 2 = 0").join(above(classes), "c_custkey").select("parent_id", named("m"), place(F.col("o_orderkey") % 100))
+    manager.store.add(methods, "function")
+    return manager, functions, classes
+
+
+@query(f"""WITH {_MADE} SELECT 'project' AS node_type, r_name AS name, r_name AS qname, '/' || r_name || '/' AS path, -1 AS line_no FROM region
+    UNION ALL SELECT 'folder', n_name, n_name, path, -1 FROM folders
+    UNION ALL SELECT 'file', 'c' || c_custkey || '.py', qname, path, -1 FROM files
+    UNION ALL SELECT 'function', 'f' || o_orderkey, name, NULL, line FROM functions
+    UNION ALL SELECT 'class', 'K', name, NULL, 1 FROM classes
+    UNION ALL SELECT 'function', 'm' || o_orderkey, name, NULL, line FROM methods""")
 def w1_handle_nodes(spark, d):
-    texts = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.to_json(x)), " "), F.lit("")).alias(c)
-    return _handled(spark).store.nodes.read().select("node_type", "name", "qname", "path", F.coalesce("position.line_no", F.lit(-1)).alias("line_no"), *map(texts, ("inputs", "outputs", "fields")), "version")
+    return _code(spark, d)[0].store.nodes.read().select("node_type", "name", "qname", "path", F.coalesce("position.line_no", F.lit(-1)).alias("line_no"))
 
 
-@query("""SELECT * FROM (VALUES ('contains', 'one', 'src', 0, NULL, -1), ('contains', 'src', 'main.py', 0, NULL, -1), ('contains', 'main.py', 'go', 1, NULL, -1), ('contains', 'main.py', 'K', 3, NULL, -1),
-    ('implements', 'K', 'new', -1, NULL, -1), ('calls', 'go', 'K', 2, NULL, -1), ('uses_import', 'go', 'numpy', -1, 'np', 2)) AS t(edge_type, from_name, to_name, line_no, alias, usage_line)""")
+@query(f"""WITH {_MADE}, uses AS (SELECT l_orderkey, l_suppkey, string_agg(l_linenumber, ' ' ORDER BY l_linenumber) AS usage_lines FROM lineitem GROUP BY ALL)
+    SELECT 'contains' AS edge_type, r_name AS from_qname, n_name AS to_qname, 0 AS line_no, '' AS alias, '' AS usage_lines FROM folders
+    UNION ALL SELECT 'contains', n_name, qname, 0, '', '' FROM files
+    UNION ALL SELECT 'contains', file, name, line, '', '' FROM functions
+    UNION ALL SELECT 'contains', file, name, 1, '', '' FROM classes
+    UNION ALL SELECT 'implements', cls, name, -1, '', '' FROM methods
+    UNION ALL SELECT 'calls', f.name, c.name, f.line, '', '' FROM functions f JOIN classes c ON f.c_custkey = c.c_custkey
+    UNION ALL SELECT 'uses_import', name, s_name, -1, 's' || l_suppkey, usage_lines FROM uses JOIN functions ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""")
 def w3_handle_edges(spark, d):
-    kept = _handled(spark).store
-    ends = lambda side: kept.nodes.read().select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
-    line = lambda c, name: F.coalesce(c, F.lit(-1)).alias(name)
+    manager, functions, classes = _code(spark, d)
+    kept = manager.store
+    kept.link(functions.join(classes.select(F.col("id").alias("to_id"), "c_custkey"), "c_custkey").select(F.col("id").alias("from_id"), "to_id", "position"), "calls")
+    packages = manager.get_or_create_packages(table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit(None).cast("string").alias("version")))
+    named = packages.select(F.col("id").alias("to_id"), F.col("name").alias("s_name")).join(table(spark, d, "supplier").select("s_name", F.col("s_suppkey").alias("l_suppkey")), "s_name")
+    place = F.struct(F.col("l_linenumber").cast("int").alias("line_no"), *[F.lit(0).alias(n) for n in ("col_offset", "end_line_no", "end_col_offset")])
+    uses = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sort_array(F.collect_list(place)).alias("usage_positions"))
+    uses = uses.join(functions.select(F.col("id").alias("from_id"), F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").join(named, "l_suppkey")
+    kept.link(uses.select("from_id", "to_id", "usage_positions", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("alias")), "uses_import")
+    ends = lambda side: kept.nodes.read().select(F.col("id").alias(f"{side}_id"), F.col("qname").alias(f"{side}_qname"))
+    lines = F.array_join(F.transform(F.coalesce("usage_positions", F.array().cast("array<struct<line_no:int,col_offset:int,end_line_no:int,end_col_offset:int>>")), lambda p: p["line_no"].cast("string")), " ")
     rows = kept.edges.read().join(ends("from"), "from_id").join(ends("to"), "to_id")
-    return rows.select("edge_type", "from_name", "to_name", line(F.col("position.line_no"), "line_no"), "alias", line(F.get("usage_positions", F.lit(0))["line_no"], "usage_line"))
+    return rows.select("edge_type", "from_qname", "to_qname", F.coalesce("position.line_no", F.lit(-1)).alias("line_no"), F.coalesce("alias", F.lit("")).alias("alias"), lines.alias("usage_lines"))
+
+
+@query(f"""WITH {_MADE} SELECT name AS qname, string_agg('{{"part":' || l_partkey || '}}', ' ' ORDER BY l_linenumber > 3, l_linenumber, '{{"part":' || l_partkey || '}}') AS inputs
+    FROM functions JOIN lineitem ON o_orderkey = l_orderkey GROUP BY name""")
+def w9_appended_inputs(spark, d):
+    """Appends the first three lines of each order, then the rest; lines of one number go by their text."""
+    manager, functions, _ = _code(spark, d)
+    lines = table(spark, d, "lineitem").join(functions.select("id", F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    values = lines.select("id", F.col("l_linenumber").cast("long").alias("seq"), F.concat(F.lit('{"part":'), F.col("l_partkey").cast("string"), F.lit("}")).alias("value"))
+    for part in ("seq <= 3", "seq > 3"):
+        manager.store.extend(values.where(part), "inputs")
+    rows = manager.store.nodes.find({"node_type": "function"}).where("inputs IS NOT NULL")
+    return rows.select("qname", F.array_join(F.transform("inputs", lambda x: F.to_json(x)), " ").alias("inputs"))
+
+
+@query("""SELECT s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'v' || s_suppkey WHEN s_suppkey % 2 = 0 THEN 'v0' END AS version FROM supplier
+    UNION ALL SELECT 'new ' || s_name, 'v1' FROM supplier WHERE s_suppkey % 5 = 0""")
+def w12_packages(spark, d):
+    """Packages of all suppliers, some of a version; then a third again with other versions, some without any, and new ones."""
+    manager = Manager(spark, f"{work.root(spark)}/graph-{uuid.uuid4().hex}")
+    rows = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name"))
+    manager.get_or_create_packages(rows.select("name", F.when(F.col("s_suppkey") % 2 == 0, "v0").alias("version")))
+    again = rows.select("name", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("v"), F.col("s_suppkey").cast("string"))).alias("version"))
+    new = rows.where("s_suppkey % 5 = 0").select(F.concat(F.lit("new "), "name").alias("name"), F.lit("v1").alias("version"))
+    manager.get_or_create_packages(again.unionByName(new))
+    return manager.store.nodes.read().select("name", "version")
 
 
-@query("SELECT * FROM (VALUES ('one', 'project'), ('src', 'folder'), ('main.py', 'file'), ('K', 'class'), ('new', 'function')) AS t(name, found)")
+@query(f"""WITH {_MADE} SELECT r_name AS project, 'folder' AS node_type, n_name AS qname, 1 AS depth FROM folders
+    UNION ALL SELECT r_name, 'file', f.qname, 2 FROM files f JOIN folders USING (n_name)""")
 def f6_loaded_handles(spark, d):
-    manager = _handled(spark)
-    project = manager.load_project(manager.projects()[0].id)
-    (folder,) = project.folders()
-    (file,) = folder.files()
-    (cls,) = file.classes()
-    return spark.createDataFrame([(x.name, x.node_type) for x in (project, folder, file, cls, *cls.methods())], "name string, found string")
+    """What lies in each project that is listed and loaded by its id."""
+    manager, _ = _containers(spark, d)
+    below = [manager.load_project(p.id).descendants(2).select(F.lit(p.name).alias("project"), "node_type", "qname", F.col("depth").cast("int").alias("depth")) for p in manager.projects()]
+    return reduce(DataFrame.unionByName, below)
 
 
 @query("SELECT 'orders/' || l_orderkey AS from_id, count(*) AS n FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY l_orderkey")

@@ -26,3 +26,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at(spark: SparkSession, path: str):
+    """A path and the file system that it is on, as Hadoop has them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(*saved: DataFrame) -> None:
+    """Deletes the files of saved tables that nothing will read again."""
+    for df in saved:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path, files = at(df.sparkSession, folder)
+            files.delete(path, True)

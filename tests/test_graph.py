@@ -269,7 +269,7 @@ def test_store_writes(spark, tmp_path):
     again = spark.createDataFrame([("class/3", "class", "x"), ("class/3", "class", "y"), ("class/3", "class", None)], "id string, node_type string, name string")
     GraphStore(spark, str(tmp_path / "g")).nodes.insert(again)  # another writer
     assert store.nodes.get("class/3")["name"] == "y"
-    assert ids(store.nodes.compacted(str(tmp_path / "h")).read()) == ["class/2", "class/3"]
+    assert ids(store.nodes.copied(str(tmp_path / "h"), 3).read()) == ["class/2", "class/3"]
     store.truncate()
     assert store.nodes.find_one() is None
     store.nodes.insert(again)
