@@ -207,6 +207,7 @@ _held: OrderedDict[str, TestSide] = OrderedDict()
 
 def _chunk(uri: str) -> TestSide:
     """A chunk of the test side; a worker keeps the HELD_CHUNKS that it used last."""
+    shared.let_go(_held)
     if uri not in _held:
         _held[uri] = pickle.loads(shared.read_file(uri))
         if len(_held) > HELD_CHUNKS:

@@ -288,6 +288,7 @@ _mapped: OrderedDict[str, tuple[int, object]] = OrderedDict()
 
 def _map(uri: str, reader):
     """A file's content by ``reader``; of those not used lately, only MAPPED_BYTES stay mapped."""
+    shared.let_go(_mapped)
     if uri in _mapped:
         _mapped.move_to_end(uri)
     else:

@@ -105,6 +105,7 @@ def most_flips(threshold: float) -> int:
 
 def _sketcher(size: int, keep: Sequence[str] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         for batch, texts in words.blocks(batches):
             sets = shingle_sets([words.space_words(x) for x in texts], size)
             full = [k for k, x in enumerate(sets) if len(x)]
@@ -124,6 +125,7 @@ def _sketcher(size: int, keep: Sequence[str] = ()):
 
 def _set_maker(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         for _, texts in words.blocks(batches):
             sets = [x for x in shingle_sets([words.space_words(x) for x in texts], size) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "shingles"])

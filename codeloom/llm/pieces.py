@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.llm import words
+from codeloom.llm import shared, words
 
 SPACE = "▁"
 #: Stretches of text whose ids are kept, in each of two generations, and pairs of pieces known to withstand merging or not.
@@ -236,7 +236,8 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """The worker's own codec, which outlives the task and keeps what it knows."""
+    """The worker's own codec, which outlives the task and keeps what it knows until another operator's task comes."""
+    shared.let_go(_codecs)
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

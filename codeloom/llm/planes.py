@@ -244,9 +244,10 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str, end: int | None = None) -> Callable[[], Callable[[list[bytes]], Iterator[np.ndarray]]]:
-    """Makes, in a task, the worker's own encoder; it outlives the task and keeps its words."""
+    """Makes, in a task, the worker's own encoder; it outlives the task and keeps its words until another operator's task comes."""
 
     def make():
+        shared.let_go(_encoders)
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         return lambda texts: _encoders[path](texts, end)

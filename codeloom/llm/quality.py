@@ -105,6 +105,7 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared.let_go()
     for batch, texts in words.blocks(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([features(x) for x in texts], pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -197,6 +198,7 @@ def score(documents: DataFrame, labels: DataFrame, model: Model, *, keep: list[s
     out = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("document_odds", T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         for batch, texts in words.blocks(batches):
             x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "sites")), pa.array(model.log_odds(x))], names=out.names)

@@ -5,11 +5,14 @@ The folder is the one the session names in ``spark.checkpoint.dir`` (see ``sourc
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import mmap
 import posixpath
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +63,29 @@ def aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str
     return df.withColumnsRenamed({c: new for new, c in back.items()}), back
 
 
+#: What this worker keeps between tasks, in tables of one operator.
+_kept: dict | None = None
+
+
+def let_go(own: dict | None = None) -> None:
+    """Empties what the worker's earlier tasks kept in a table other than ``own``, and hands free memory back to the system.
+
+    Workers outlive their tasks and serve one stage after the other; what one operator keeps would else
+    stand beside the needs of all that follow.
+    """
+    global _kept
+    if _kept is own and own is not None:
+        return
+    if _kept is not None:
+        _kept.clear()
+        gc.collect()
+    _kept = own
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")

@@ -202,6 +202,7 @@ def score(documents: DataFrame, model: Model, *, keep: list[str] | None = None)
     sent = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 ** BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.let_go()
         scorer = sent.value.scorer()
         for batch, texts in words.blocks(batches):
             got = [scorer(x) for x in texts]
