@@ -187,6 +187,22 @@ _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARACTERS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - _VISIBLE))}
 
 
+#: Marks that, at a word's end, are one piece of their own for the pre-tokenizer; none that special strings end with.
+_MARKS = b".,!?;:#$%&*+-=/@^_~()[]{}\"'`\\"
+_AS_CHARACTERS = str.maketrans(_BYTE_CHARACTERS)
+
+
+class _Kept(dict):
+    """Packed ids by word; words that it lacks are asked for."""
+
+    def __init__(self, ask: Callable[[bytes], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.ask(word)
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer of the ``tokenizers`` library that never looks across white space.
 
@@ -200,33 +216,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.kept = _Kept(self._known)
         self.older: dict[bytes, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
-        base = word[:-1]
-        if word[-1:] in (b".", b",") and base and base[-1] >= 97 and base[-1] <= 122:
-            # A letter and a mark are always two pieces for the pre-tokenizer.
-            return self._known(base) + self._known(word[-1:])
         text = word.decode()
+        base = word.rstrip(_MARKS)
+        if 0 < len(base) < len(word):
+            last = text[len(text) - len(word) + len(base) - 1]
+            if last < "\u0250" and last.isalpha():
+                # A letter and the marks behind it are always two pieces for the pre-tokenizer.
+                return self.kept[base] + self.kept[word[len(base) :]]
         low = text.lower()
         if low.isalpha() and max(text) < "\u0250" and max(low) < "\u0250":
             # One piece, in normal form already: only the merges are left to do.
-            plain = low if low.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, low.encode()))
-            ids = [x.id for x in self.tokenizer.model.tokenize(plain)]
+            plain = low if low.isascii() else low.encode().decode("latin-1").translate(_AS_CHARACTERS)
+            ids = [x.id for x in self.merge(plain)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _known(self, word: bytes) -> bytes:
-        ids = self.kept.get(word)
+        """The ids of a word that was not used lately."""
+        ids = self.older.get(word)
         if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                ids = self._word(word)
-            if len(self.kept) >= self.KEPT:
-                self.kept, self.older = {}, self.kept
-            self.kept[word] = ids
+            ids = self._word(word)
+        if len(self.kept) >= self.KEPT:
+            self.older, self.kept = self.kept, _Kept(self._known)
+        self.kept[word] = ids
         return ids
 
     def __call__(self, texts: list[bytes], end: int | None = None) -> Iterator[np.ndarray]:
@@ -234,10 +252,7 @@ class WordEncoder:
         for text in texts:
             # Letter case is lost anyway; only the special strings, if any, tell it apart.
             own = text.split() if b"<|" in text else text.translate(words.LOWER).split()
-            got = list(map(self.kept.get, own))
-            if None in got:
-                got = [self._known(w) if ids is None else ids for w, ids in zip(own, got, strict=True)]
-            yield np.frombuffer(b"".join(got) + last, "<u4")
+            yield np.frombuffer(b"".join(map(self.kept.__getitem__, own)) + last, "<u4")
 
 
 _encoders: dict[str, WordEncoder] = {}
