@@ -126,11 +126,14 @@ class EliasFano:
         h, low = high[ask].astype(np.int64), low[ask]
         # The values with high bits h lie between the zeros h - 1 and h: a binary search of their low bits.
         first = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0) - h
-        end = stop = self._zero(h) - h
-        while (live := first < stop).any():
-            middle = (first + stop) >> 1
-            less = live & (self._lows(np.minimum(middle, self.n - 1)) < low)
-            first, stop = np.where(less, middle + 1, first), np.where(live & ~less, middle, stop)
+        end = self._zero(h) - h
+        stop = end.copy()
+        live = np.flatnonzero(first < stop)
+        while len(live):
+            middle = (first[live] + stop[live]) >> 1
+            less = self._lows(middle) < low[live]
+            first[live[less]], stop[live[~less]] = middle[less] + 1, middle[~less]
+            live = live[first[live] < stop[live]]
         same = first < end
         same[same] = self._lows(first[same]) == low[same]
         out[ask[same]] = first[same]
@@ -172,6 +175,13 @@ def _aligned(*parts: bytes) -> tuple[list[int], bytes]:
     return [0, *np.cumsum([len(x) for x in padded])[:-1].tolist()], b"".join(padded)
 
 
+def absent(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The distinct values of ``x`` that ``known`` lacks; both are sorted."""
+    x = x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+    at = np.searchsorted(known, x)
+    return x[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != x)] if len(known) else x
+
+
 def _pieces(keys: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of equal keys below ``count``, in their order, for each key that occurs."""
     order = np.argsort(keys.astype(np.uint16) if count <= 1 << 16 else keys, kind="stable")
@@ -399,7 +409,7 @@ def _gram_counter(model: Model):
         a, b, c = (own.number[own.word(x, k)] for x, k in ((pairs, 1), (pairs, 0), (triples, 0)))
         # A pair across the slice's beginning was counted with the slice before; here it may stand for its triples alone.
         two = triples >> LOCAL
-        missing = np.setdiff1d(two, pairs)
+        missing = absent(two, pairs)
         if len(missing):
             pairs, where = np.unique(np.concatenate([pairs, missing]), return_index=True)
             pair_counts = np.concatenate([pair_counts, np.zeros(len(missing), np.int64)])[where]
